@@ -12,9 +12,8 @@ from trafficgraph.constants import CONGESTION_CLASS_THRESHOLD, CONGESTION_THRESH
 from trafficgraph.functions.congestion import congestion_class
 from trafficgraph.functions.output import with_key
 from trafficgraph.operators.components import connected_components
-from trafficgraph.operators.materialize import DEFAULT_BROADCAST_MAX_ROWS
+from trafficgraph.operators.graph import RoadGraph
 from trafficgraph.operators.placement import place_on_edges
-from trafficgraph.operators.vertices import decode_vertices, encode_edges, vertex_numeric_ids
 from trafficgraph.sources.measurements import valid_measurements
 
 CLASS_COLUMN = "congestionClassStreaming"
@@ -26,19 +25,26 @@ def with_congestion_class(measurements: DataFrame,
     return measurements.withColumn(CLASS_COLUMN, congestion_class(thresholds=thresholds))
 
 
-def congested_edges(measurements: DataFrame, encoded_edges: DataFrame,
+def measurements_on_edges(measurements: DataFrame, graph: RoadGraph,
+                          thresholds: Sequence[float] = CONGESTION_THRESHOLDS) -> DataFrame:
+    """Classed measurements joined to every id-encoded edge ending at their sensor."""
+    m = with_congestion_class(valid_measurements(measurements), thresholds)
+    return place_on_edges(m, graph.side("encoded"), broadcast_max_rows=None)
+
+
+def congested_edges(measurements: DataFrame, graph: RoadGraph,
                     threshold: int = CONGESTION_CLASS_THRESHOLD,
-                    thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
-                    broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+                    thresholds: Sequence[float] = CONGESTION_THRESHOLDS) -> DataFrame:
     """``(eventTime, src int, dst int)``: measured edges at class >= threshold.
 
     The filter is a ``Column`` on measurement columns only, so the optimizer
-    applies it before the join with the edges.
+    applies it before the join with the edges, and only the three needed
+    measurement columns are read.
     """
     m = with_congestion_class(valid_measurements(measurements), thresholds)
-    edges = encoded_edges.select("dst", "srcNumericId", "dstNumericId")
-    placed = place_on_edges(m, edges, broadcast_max_rows=broadcast_max_rows)
-    return (placed.where(F.col(CLASS_COLUMN) >= F.lit(int(threshold)))
+    m = m.where(F.col(CLASS_COLUMN) >= F.lit(int(threshold))).select("eventTime", "detectorId")
+    edges = graph.side("encoded").select("dst", "srcNumericId", "dstNumericId")
+    return (place_on_edges(m, edges, broadcast_max_rows=None)
             .select("eventTime", F.col("srcNumericId").alias("src"),
                     F.col("dstNumericId").alias("dst")))
 
@@ -53,23 +59,20 @@ def component_labels(cc_edges: DataFrame, final: bool = True) -> DataFrame:
 
 @dataclass
 class CongestedComponentsResult:
-    ids: DataFrame          # numericId, id
-    encoded_edges: DataFrame
+    graph: RoadGraph
     edges: DataFrame        # eventTime, src, dst (numeric, congested)
     labels: DataFrame       # componentId, eventTime, final, vertexId
     decoded: DataFrame      # + id
     keyed: DataFrame        # + key
 
 
-def congested_components(measurements: DataFrame, edges: DataFrame,
+def congested_components(measurements: DataFrame, edges: DataFrame | RoadGraph,
                          threshold: int = CONGESTION_CLASS_THRESHOLD,
                          thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
-                         broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS
                          ) -> CongestedComponentsResult:
     """The whole batch job, every event time at once."""
-    ids = vertex_numeric_ids(edges)
-    encoded = encode_edges(edges, ids, broadcast_max_rows=broadcast_max_rows)
-    ce = congested_edges(measurements, encoded, threshold, thresholds, broadcast_max_rows)
+    graph = edges if isinstance(edges, RoadGraph) else RoadGraph.build(edges)
+    ce = congested_edges(measurements, graph, threshold, thresholds)
     labels = component_labels(ce)
-    decoded = decode_vertices(labels, ids, broadcast_max_rows=broadcast_max_rows)
-    return CongestedComponentsResult(ids, encoded, ce, labels, decoded, with_key(decoded, "id"))
+    decoded = graph.decode(labels)
+    return CongestedComponentsResult(graph, ce, labels, decoded, with_key(decoded, "id"))

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from trafficgraph.constants import DENGRAPH_EPSILON, DENGRAPH_ETA, DENGRAPH_WEIGHT_FIELD
 from trafficgraph.functions.output import with_key
 from trafficgraph.operators.density import dengraph_clusters, with_distance
-from trafficgraph.operators.materialize import DEFAULT_BROADCAST_MAX_ROWS
+from trafficgraph.operators.graph import RoadGraph
 from trafficgraph.operators.placement import place_on_edges
 from trafficgraph.sources.measurements import valid_measurements
 
 
-def weighted_edges(measurements: DataFrame, edges: DataFrame,
-                   weight_field: str = DENGRAPH_WEIGHT_FIELD,
-                   broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+def weighted_edges(measurements: DataFrame, edges: DataFrame | RoadGraph,
+                   weight_field: str = DENGRAPH_WEIGHT_FIELD) -> DataFrame:
     """``(eventTime, src, dst, weight)``: a measurement field on each in-edge."""
+    graph = edges if isinstance(edges, RoadGraph) else RoadGraph.build(edges, with_ids=False)
     m = valid_measurements(measurements).select("eventTime", "detectorId", weight_field)
-    placed = place_on_edges(m, edges.select("src", "dst"), broadcast_max_rows=broadcast_max_rows)
+    placed = place_on_edges(m, graph.side("edges").select("src", "dst"), broadcast_max_rows=None)
     return placed.select("eventTime", "src", "dst", F.col(weight_field).cast("double").alias("weight"))
 
 
@@ -31,12 +31,11 @@ class DengraphResult:
     keyed: DataFrame        # + key
 
 
-def dengraph(measurements: DataFrame, edges: DataFrame,
+def dengraph(measurements: DataFrame, edges: DataFrame | RoadGraph,
              weight_field: str = DENGRAPH_WEIGHT_FIELD, eps: float = DENGRAPH_EPSILON,
-             eta: int = DENGRAPH_ETA, final: bool = True,
-             broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DengraphResult:
+             eta: int = DENGRAPH_ETA, final: bool = True) -> DengraphResult:
     """The whole batch job, every event time at once."""
-    w = weighted_edges(measurements, edges, weight_field, broadcast_max_rows)
+    w = weighted_edges(measurements, edges, weight_field)
     c = dengraph_clusters(w, eps, eta, ["eventTime"])
     clusters = c.select("clusterId", "eventTime", F.lit(bool(final)).alias("final"),
                         "vertexId", "vertexType")
