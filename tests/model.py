@@ -1,0 +1,60 @@
+"""Plain-Python models of the normative rules, for property tests only."""
+
+
+def components(edges):
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    label = {}
+    for start in sorted(adj):
+        if start in label:
+            continue
+        stack, seen = [start], {start}
+        while stack:
+            v = stack.pop()
+            for w in adj[v]:
+                if w not in seen:
+                    seen.add(w)
+                    stack.append(w)
+        m = min(seen)
+        for v in seen:
+            label[v] = m
+    return label
+
+
+def dengraph(pairs, eps, eta):
+    """pairs: list of (src, dst, distance) possibly repeated; min per pair."""
+    best = {}
+    for s, d, x in pairs:
+        if x is None:
+            best.setdefault((s, d), None)
+        elif best.get((s, d)) is None or x < best[(s, d)]:
+            best[(s, d)] = x
+    ends = {v for s, d in best for v in (s, d)}
+    rows = []
+    for (s, d), x in best.items():
+        if x is not None and x <= eps:
+            rows.append((s, d))
+            if s != d:
+                rows.append((d, s))
+    size = {}
+    for v, _ in rows:
+        size[v] = size.get(v, 0) + 1
+    core = {v for v, n in size.items() if n >= eta}
+    core_edges = [(v, n) for v, n in rows if v in core and n in core] + [(v, v) for v in core]
+    name = components(core_edges)
+    border = {}
+    for v, n in rows:
+        if v not in core and n in core:
+            border[v] = min(border.get(v, name[n]), name[n])
+    rank = {c: i for i, c in enumerate(sorted(set(name.values())))}
+    out = {}
+    for v in ends:
+        if v in core:
+            out[v] = ("CORE", rank[name[v]])
+        elif v in border:
+            out[v] = ("BORDER", rank[border[v]])
+        else:
+            out[v] = ("NOISE", -1)
+    return out

@@ -1,0 +1,116 @@
+"""Hand cases of FIXTURES §4 for the distributed batch operators."""
+
+import datetime as dt
+
+import pytest
+
+from trafficgraph.operators import connected_components, dengraph_clusters, dense_number
+
+T1 = dt.datetime(2016, 5, 9, 0, 0)
+T2 = dt.datetime(2016, 5, 9, 0, 1)
+
+
+def _cc(spark, edges, t=T1):
+    df = spark.createDataFrame([(t, a, b) for a, b in edges], "eventTime timestamp, src int, dst int")
+    return {r["vertexId"]: r["componentId"] for r in connected_components(df).collect()}
+
+
+@pytest.mark.parametrize("edges, expected", [
+    ([(5, 6)], {5: 5, 6: 5}),
+    ([(5, 6), (2, 5)], {2: 2, 5: 2, 6: 2}),
+    ([(1, 2), (8, 9), (2, 8)], {1: 1, 2: 1, 8: 1, 9: 1}),
+    ([(4, 5), (3, 4), (2, 3), (1, 2)], {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}),
+    ([(3, 3)], {3: 3}),
+    ([(1, 2), (1, 2), (2, 1)], {1: 1, 2: 1}),
+])
+def test_components_cases(spark, edges, expected):
+    assert _cc(spark, edges) == expected
+
+
+def test_components_per_event_time(spark):
+    df = spark.createDataFrame([(T1, 1, 2), (T2, 2, 3)], "eventTime timestamp, src int, dst int")
+    got = {(r["eventTime"], r["vertexId"]): r["componentId"]
+           for r in connected_components(df).collect()}
+    assert got == {(T1, 1): 1, (T1, 2): 1, (T2, 2): 2, (T2, 3): 2}
+
+
+def test_components_long_path_and_strings(spark):
+    n = 300
+    edges = [(f"v{i:04d}", f"v{i + 1:04d}") for i in range(n)]
+    df = spark.createDataFrame([(T1, a, b) for a, b in reversed(edges)],
+                               "eventTime timestamp, src string, dst string")
+    got = {r["componentId"] for r in connected_components(df).collect()}
+    assert got == {"v0000"}
+
+
+NEAR, FAR = 40.0, 20.0
+
+
+def _dg(spark, edges, eta=2):
+    rows = [(T1, a, b, w) for a, b, w in edges]
+    df = spark.createDataFrame(rows, "eventTime timestamp, src string, dst string, weight double")
+    return {r["vertexId"]: (r["vertexType"], r["clusterId"])
+            for r in dengraph_clusters(df, eta=eta).collect()}
+
+
+def test_dengraph_far_only(spark):
+    assert _dg(spark, [("a", "b", FAR)]) == {"a": ("NOISE", -1), "b": ("NOISE", -1)}
+
+
+def test_dengraph_one_edge(spark):
+    assert _dg(spark, [("a", "b", NEAR)]) == {"a": ("NOISE", -1), "b": ("NOISE", -1)}
+
+
+def test_dengraph_star(spark):
+    got = _dg(spark, [("a", "u", NEAR), ("b", "u", NEAR), ("c", "u", NEAR)])
+    assert got == {"u": ("CORE", 0), "a": ("BORDER", 0), "b": ("BORDER", 0), "c": ("BORDER", 0)}
+
+
+def test_dengraph_reciprocal(spark):
+    assert _dg(spark, [("a", "b", NEAR), ("b", "a", NEAR)]) == {"a": ("CORE", 0), "b": ("CORE", 0)}
+
+
+def test_dengraph_self_loop(spark):
+    got = _dg(spark, [("a", "a", NEAR), ("a", "b", NEAR)])
+    assert got == {"a": ("CORE", 0), "b": ("BORDER", 0)}
+
+
+def test_dengraph_path(spark):
+    got = _dg(spark, [("a", "b", NEAR), ("b", "c", NEAR), ("c", "d", NEAR)])
+    assert got == {"a": ("BORDER", 0), "b": ("CORE", 0), "c": ("CORE", 0), "d": ("BORDER", 0)}
+
+
+def test_dengraph_contested_border(spark):
+    edges = [("a", "b", NEAR), ("b", "c", NEAR), ("c", "d", NEAR), ("d", "e", NEAR),
+             ("b", "x", NEAR), ("d", "y", NEAR)]
+    got = _dg(spark, edges, eta=3)
+    assert got == {"b": ("CORE", 0), "d": ("CORE", 1), "c": ("BORDER", 0), "a": ("BORDER", 0),
+                   "x": ("BORDER", 0), "e": ("BORDER", 1), "y": ("BORDER", 1)}
+
+
+def test_dengraph_two_clusters(spark):
+    got = _dg(spark, [("a", "u", NEAR), ("b", "u", NEAR), ("m", "w", NEAR), ("n", "w", NEAR)])
+    assert got == {"u": ("CORE", 0), "a": ("BORDER", 0), "b": ("BORDER", 0),
+                   "w": ("CORE", 1), "m": ("BORDER", 1), "n": ("BORDER", 1)}
+
+
+def test_dengraph_upgraded_edge(spark):
+    got = _dg(spark, [("a", "b", FAR), ("a", "b", NEAR), ("b", "c", NEAR)])
+    assert got == {"b": ("CORE", 0), "a": ("BORDER", 0), "c": ("BORDER", 0)}
+
+
+def test_dengraph_null_weight_still_reported(spark):
+    got = _dg(spark, [("a", "b", None), ("c", "d", NEAR)])
+    assert got == {k: ("NOISE", -1) for k in "abcd"}
+
+
+def test_dense_number_groups(spark):
+    rows = [(g, k) for g in ("x", "y") for k in range(0, 200, 3)] + [("z", 5)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    got = dense_number(df, "k", ["g"], name="n", num_partitions=7).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["k"], r["n"]))
+    for g, pairs in by.items():
+        pairs.sort()
+        assert [n for _, n in pairs] == list(range(1, len(pairs) + 1)), g

@@ -80,9 +80,20 @@ def dengraph_clusters(weighted: DataFrame, eps: float = DENGRAPH_EPSILON, eta: i
                       keys: Sequence[str] = ("eventTime",), src: str = "src", dst: str = "dst",
                       weight: str = "weight") -> DataFrame:
     """``(clusterId int, *keys, vertexId, vertexType)`` for every edge end point."""
+    pairs = edge_distances(weighted, keys, src, dst, weight)
+    return clusters_from_distances(pairs, eps, eta, keys, src, dst)
+
+
+def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
+                            eta: int = DENGRAPH_ETA, keys: Sequence[str] = ("eventTime",),
+                            src: str = "src", dst: str = "dst",
+                            distance: str = "distance") -> DataFrame:
+    """Clusters from ``(*keys, src, dst, distance)``, one smallest distance per pair.
+
+    Every pair's ends are reported, also far pairs and pairs without a distance.
+    """
     k = list(keys)
-    pairs = edge_distances(weighted, k, src, dst, weight)
-    nb = neighbour_rows(pairs.where(F.col("distance") <= F.lit(eps)), k, src, dst)
+    nb = neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst)
     core = core_vertices(nb, eta, k).select(*k, "vertexId")
 
     # Clusters: components of cores over core-core rows; every core also
@@ -100,8 +111,8 @@ def dengraph_clusters(weighted: DataFrame, eps: float = DENGRAPH_EPSILON, eta: i
                     [*k, "neighbourId"])
               .groupBy(*k, "vertexId").agg(F.min("_minCore").alias("_borderOf")))
 
-    ends = (weighted.select(*k, F.col(src).alias("vertexId"))
-            .unionByName(weighted.select(*k, F.col(dst).alias("vertexId")))
+    ends = (pairs.select(*k, F.col(src).alias("vertexId"))
+            .unionByName(pairs.select(*k, F.col(dst).alias("vertexId")))
             .where(F.col("vertexId").isNotNull())
             .distinct())
     typed = (ends.join(core_labels, [*k, "vertexId"], "left")

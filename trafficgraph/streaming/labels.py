@@ -1,0 +1,99 @@
+"""Small per-event-time helpers used inside the stateful streaming function.
+
+They apply the same order-free rules as the distributed batch operators
+(``trafficgraph.operators``) to the distinct edges of one event time: a
+union-find whose root is always the smallest vertex, and the DenGraph rules.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable, Sequence
+
+from trafficgraph.constants import BORDER, CORE, NOISE, NOISE_CLUSTER_ID
+
+
+class _MinUnionFind:
+    """Union-find whose representative is the smallest member."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
+
+    def add(self, v) -> None:
+        self.parent.setdefault(v, v)
+
+    def find(self, v):
+        p = self.parent
+        root = v
+        while p[root] != root:
+            root = p[root]
+        while p[v] != root:  # path compression
+            p[v], v = root, p[v]
+        return root
+
+    def union(self, a, b) -> None:
+        self.add(a)
+        self.add(b)
+        ra, rb = self.find(a), self.find(b)
+        if ra != rb:
+            lo, hi = (ra, rb) if ra < rb else (rb, ra)
+            self.parent[hi] = lo
+
+
+def component_labels(edges: Iterable[tuple]) -> dict:
+    """``vertex -> smallest vertex of its component`` for undirected edges."""
+    uf = _MinUnionFind()
+    for a, b in edges:
+        uf.union(a, b)
+    return {v: uf.find(v) for v in uf.parent}
+
+
+def _near(d, eps: float) -> bool:
+    return d is not None and not (isinstance(d, float) and math.isnan(d)) and d <= eps
+
+
+def density_labels(pairs: Sequence[tuple], eps: float, eta: int) -> dict:
+    """``vertex -> (clusterId, vertexType)`` for ``(src, dst, distance)`` pairs.
+
+    ``pairs`` holds one smallest distance per ordered pair. Rules: neighbour
+    rows in both directions (a self-loop once); CORE with at least ``eta``
+    rows; clusters are components of cores over core-core rows, named by
+    their smallest core; BORDER joins the adjacent cluster with the smallest
+    name; NOISE gets -1; cluster ids are the 0-based rank of the names.
+    """
+    nb: list[tuple] = []
+    ends: set = set()
+    for s, d, dist in pairs:
+        ends.add(s)
+        ends.add(d)
+        if _near(dist, eps):
+            nb.append((s, d))
+            if s != d:
+                nb.append((d, s))
+    size: dict = {}
+    for v, _ in nb:
+        size[v] = size.get(v, 0) + 1
+    core = {v for v, n in size.items() if n >= eta}
+    uf = _MinUnionFind()
+    for v in core:
+        uf.add(v)
+    for v, n in nb:
+        if v in core and n in core:
+            uf.union(v, n)
+    name = {v: uf.find(v) for v in core}
+    border: dict = {}
+    for v, n in nb:
+        if v not in core and n in core:
+            c = name[n]
+            if v not in border or c < border[v]:
+                border[v] = c
+    rank = {c: i for i, c in enumerate(sorted(set(name.values())))}
+    out = {}
+    for v in ends:
+        if v in core:
+            out[v] = (rank[name[v]], CORE)
+        elif v in border:
+            out[v] = (rank[border[v]], BORDER)
+        else:
+            out[v] = (NOISE_CLUSTER_ID, NOISE)
+    return out

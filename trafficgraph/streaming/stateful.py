@@ -1,0 +1,178 @@
+"""Interim and final labels per event time (grouped state, update mode).
+
+Rows are grouped by their exact event time. Each trigger, a group's state
+(the distinct edges of that event time) is extended with the new rows and
+the labels of the *whole* current graph are emitted with ``final = false``.
+When the event-time watermark passes ``eventTime + grace`` the group times
+out: its labels are emitted once more with ``final = true`` and the state is
+dropped. Labels are recomputed from the edge set, so they do not depend on
+arrival order.
+
+The timeout is clamped to ``watermark + 1 ms``: rows accepted late by the
+lagging late-row filter would otherwise ask for a timeout before the current
+watermark, which fails the query.
+
+State per group is bounded by the distinct edges of one event time, i.e. by
+the size of the static road graph, not by the volume of the stream. For
+finals over arbitrarily large graphs see ``trafficgraph.streaming.finals``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from trafficgraph.constants import DENGRAPH_EPSILON, DENGRAPH_ETA, FINAL_GRACE
+from trafficgraph.schemas import CLUSTER_SCHEMA, COMPONENT_SCHEMA
+from trafficgraph.session import ship_package
+from trafficgraph.streaming.labels import component_labels, density_labels
+
+EVENT_TIMEOUT = "event"
+PROCESSING_TIMEOUT = "processing"
+
+_CC_STATE = T.StructType([
+    T.StructField("etms", T.LongType()),
+    T.StructField("src", T.ArrayType(T.IntegerType())),
+    T.StructField("dst", T.ArrayType(T.IntegerType())),
+])
+_DG_STATE = T.StructType([
+    T.StructField("etms", T.LongType()),
+    T.StructField("src", T.ArrayType(T.StringType())),
+    T.StructField("dst", T.ArrayType(T.StringType())),
+    T.StructField("distance", T.ArrayType(T.DoubleType())),
+])
+
+
+def interval_ms(spark, interval: str) -> int:
+    """Milliseconds of an interval string such as ``"30 seconds"``."""
+    row = spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP'1970-01-01 00:00:00 UTC' + "
+                    f"INTERVAL {interval}) / 1000 AS BIGINT) AS ms").first()
+    return int(row["ms"])
+
+
+def _set_timeout(state: GroupState, etms: int, grace_ms: int, timeout: str) -> None:
+    if timeout == EVENT_TIMEOUT:
+        wm = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(etms + grace_ms, wm + 1))
+    else:
+        state.setTimeoutDuration(grace_ms)
+
+
+def _timeout_conf(timeout: str) -> str:
+    if timeout == EVENT_TIMEOUT:
+        return GroupStateTimeout.EventTimeTimeout
+    if timeout == PROCESSING_TIMEOUT:
+        return GroupStateTimeout.ProcessingTimeTimeout
+    raise ValueError(f"timeout must be {EVENT_TIMEOUT!r} or {PROCESSING_TIMEOUT!r}")
+
+
+def _event_time(etms: int) -> pd.Timestamp:
+    return pd.Timestamp(int(etms), unit="ms", tz="UTC")
+
+
+def _cc_function(grace_ms: int, timeout: str):
+    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            etms, src, dst = state.get
+            state.remove()
+            final = True
+        else:
+            edges = set()
+            etms = None
+            if state.exists:
+                etms, src0, dst0 = state.get
+                edges.update(zip(src0, dst0))
+            for pdf in frames:
+                if etms is None and len(pdf):
+                    etms = int(pdf["_etms"].iloc[0])
+                edges.update(zip(pdf["src"].astype("int64").tolist(),
+                                 pdf["dst"].astype("int64").tolist()))
+            src = [int(a) for a, _ in edges]
+            dst = [int(b) for _, b in edges]
+            state.update((etms, src, dst))
+            _set_timeout(state, etms, grace_ms, timeout)
+            final = False
+        labels = component_labels(zip(src, dst))
+        yield pd.DataFrame({
+            "componentId": pd.Series(list(labels.values()), dtype="int32"),
+            "eventTime": [_event_time(etms)] * len(labels),
+            "final": [final] * len(labels),
+            "vertexId": pd.Series(list(labels.keys()), dtype="int32"),
+        })
+    return update
+
+
+def _dg_function(grace_ms: int, timeout: str, eps: float, eta: int):
+    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            etms, src, dst, dist = state.get
+            state.remove()
+            final = True
+        else:
+            best: dict = {}
+            etms = None
+            if state.exists:
+                etms, src0, dst0, d0 = state.get
+                best.update(zip(zip(src0, dst0), d0))
+            for pdf in frames:
+                if etms is None and len(pdf):
+                    etms = int(pdf["_etms"].iloc[0])
+                for s, d, x in zip(pdf["src"].tolist(), pdf["dst"].tolist(),
+                                   pdf["distance"].tolist()):
+                    x = None if x is None or pd.isna(x) else float(x)
+                    old = best.get((s, d), None)
+                    if (s, d) not in best or (x is not None and (old is None or x < old)):
+                        best[(s, d)] = x
+            src = [s for s, _ in best]
+            dst = [d for _, d in best]
+            dist = list(best.values())
+            state.update((etms, src, dst, dist))
+            _set_timeout(state, etms, grace_ms, timeout)
+            final = False
+        labels = density_labels(list(zip(src, dst, dist)), eps, eta)
+        yield pd.DataFrame({
+            "clusterId": pd.Series([c for c, _ in labels.values()], dtype="int32"),
+            "eventTime": [_event_time(etms)] * len(labels),
+            "final": [final] * len(labels),
+            "vertexId": list(labels.keys()),
+            "vertexType": [t for _, t in labels.values()],
+        })
+    return update
+
+
+def component_updates(edge_stream: DataFrame, grace: str = FINAL_GRACE,
+                      timeout: str = EVENT_TIMEOUT) -> DataFrame:
+    """``componentId, eventTime, final, vertexId`` per trigger and open event time.
+
+    ``edge_stream`` is ``(eventTime, src int, dst int)`` with a watermark on
+    ``eventTime`` (needed for the event-time timeout).
+    """
+    ship_package(edge_stream.sparkSession)
+    grace_ms = interval_ms(edge_stream.sparkSession, grace)
+    rows = edge_stream.select("eventTime", F.unix_millis("eventTime").alias("_etms"),
+                              F.col("src").cast("int"), F.col("dst").cast("int"))
+    return rows.groupBy("eventTime").applyInPandasWithState(
+        _cc_function(grace_ms, timeout), COMPONENT_SCHEMA, _CC_STATE, "update",
+        _timeout_conf(timeout))
+
+
+def cluster_updates(distance_stream: DataFrame, eps: float = DENGRAPH_EPSILON,
+                    eta: int = DENGRAPH_ETA, grace: str = FINAL_GRACE,
+                    timeout: str = EVENT_TIMEOUT) -> DataFrame:
+    """``clusterId, eventTime, final, vertexId, vertexType`` per trigger and open event time.
+
+    ``distance_stream`` is ``(eventTime, src, dst, distance)`` with a watermark.
+    """
+    ship_package(distance_stream.sparkSession)
+    grace_ms = interval_ms(distance_stream.sparkSession, grace)
+    rows = distance_stream.select("eventTime", F.unix_millis("eventTime").alias("_etms"),
+                                  F.col("src").cast("string"), F.col("dst").cast("string"),
+                                  F.col("distance").cast("double"))
+    return rows.groupBy("eventTime").applyInPandasWithState(
+        _dg_function(grace_ms, timeout, float(eps), int(eta)), CLUSTER_SCHEMA, _DG_STATE,
+        "update", _timeout_conf(timeout))
