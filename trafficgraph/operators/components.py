@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import materialize
+from trafficgraph.operators.materialize import staged
 
 
 class ComponentsDidNotConverge(RuntimeError):
@@ -82,15 +82,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     vertices = (e.select(*k, F.col("_a").alias("_v"))
                 .unionByName(e.select(*k, F.col("_b").alias("_v")))
                 .distinct())
-    cur = materialize(e.where(F.col("_a") != F.col("_b"))
-                      .select(*k, F.greatest("_a", "_b").alias("_hi"), F.least("_a", "_b").alias("_lo"))
-                      .distinct())
+    cur, release = staged(e.where(F.col("_a") != F.col("_b"))
+                          .select(*k, F.greatest("_a", "_b").alias("_hi"),
+                                  F.least("_a", "_b").alias("_lo"))
+                          .distinct())
     rounds = 0
+    # The check is the action that computes each round and writes its checkpoint.
     while _violations(cur, k) > 0:
+        release()
         if rounds >= max_rounds:
             raise ComponentsDidNotConverge(f"no star forest after {max_rounds} rounds")
-        cur = materialize(_small_star(_large_star(cur, k), k))
+        cur, release = staged(_small_star(_large_star(cur, k), k))
         rounds += 1
+    release()
     labels = (cur.select(*k, F.col("_hi").alias("_v"), F.col("_lo").alias("_c"))
               .unionByName(cur.select(*k, F.col("_lo").alias("_v"), F.col("_lo").alias("_c")))
               .groupBy(*k, "_v").agg(F.min("_c").alias("_c")))

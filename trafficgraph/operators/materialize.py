@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,25 @@ def materialize(df: DataFrame) -> DataFrame:
         df.unpersist(blocking=False)
 
 
+def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Mark ``df`` for a reliable checkpoint written by the next action on it.
+
+    Returns the checkpointed frame and a ``release`` function to call after
+    that action: the frame is cached while the action runs, so the checkpoint
+    is written from the cache instead of recomputing the plan, and ``release``
+    drops the cache once the files are there. Saves one job per round against
+    an eager checkpoint followed by a separate action.
+    """
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    marked = cached.checkpoint(eager=False)
+
+    def release() -> None:
+        cached.unpersist(blocking=False)
+
+    return marked, release
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows``.
 
