@@ -33,13 +33,31 @@ class ComponentsDidNotConverge(RuntimeError):
     pass
 
 
-def _large_star(o: DataFrame, k: list[str]) -> DataFrame:
+def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
+    """Per vertex: smallest neighbour, and its roles in the oriented edge set.
+
+    One aggregation serves both the large-star step (``_m``) and the exact
+    convergence test (``_h`` = edges where the vertex is the larger end,
+    ``_l`` = whether it is ever the smaller end).
+    """
+    both = (o.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"),
+                     F.lit(1).alias("_as_hi"), F.lit(0).alias("_as_lo"))
+            .unionByName(o.select(*k, F.col("_lo").alias("_u"), F.col("_hi").alias("_w"),
+                                  F.lit(0).alias("_as_hi"), F.lit(1).alias("_as_lo"))))
+    return both.groupBy(*k, "_u").agg(F.min("_w").alias("_m"), F.sum("_as_hi").alias("_h"),
+                                      F.max("_as_lo").alias("_l"))
+
+
+def _violations(summary: DataFrame) -> int:
+    """Vertices that break the star-forest shape (0 means done): a vertex that
+    is both a centre and a leaf, or a leaf with two centres."""
+    return summary.where((F.col("_h") > 1) | ((F.col("_h") >= 1) & (F.col("_l") == 1))).count()
+
+
+def _large_star(o: DataFrame, summary: DataFrame, k: list[str]) -> DataFrame:
     # m(u) = min over u's closed neighbourhood; every larger neighbour v of u
     # is re-linked to m(u).
-    both = (o.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"))
-            .unionByName(o.select(*k, F.col("_lo").alias("_u"), F.col("_hi").alias("_w"))))
-    m = both.groupBy(*k, "_u").agg(F.min("_w").alias("_m"))
-    return (o.withColumnRenamed("_lo", "_u").join(m, [*k, "_u"])
+    return (o.withColumnRenamed("_lo", "_u").join(summary.select(*k, "_u", "_m"), [*k, "_u"])
             .select(*k, F.col("_hi"), F.least(F.col("_u"), F.col("_m")).alias("_lo"))
             .distinct())
 
@@ -56,15 +74,6 @@ def _small_star(o: DataFrame, k: list[str]) -> DataFrame:
             .distinct())
 
 
-def _violations(o: DataFrame, k: list[str]) -> int:
-    """Vertices that break the star-forest shape (0 means done)."""
-    roles = (o.select(*k, F.col("_hi").alias("_v"), F.lit(1).alias("_as_hi"), F.lit(0).alias("_as_lo"))
-             .unionByName(o.select(*k, F.col("_lo").alias("_v"), F.lit(0).alias("_as_hi"),
-                                   F.lit(1).alias("_as_lo"))))
-    per = roles.groupBy(*k, "_v").agg(F.sum("_as_hi").alias("_h"), F.max("_as_lo").alias("_l"))
-    return per.where((F.col("_h") > 1) | ((F.col("_h") >= 1) & (F.col("_l") == 1))).count()
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          keys: Sequence[str] = ("eventTime",), vertex: str = "vertexId",
                          component: str = "componentId", max_rounds: int = 200) -> DataFrame:
@@ -79,25 +88,37 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     k = list(keys)
     e = (edges.select(*[F.col(c) for c in k], F.col(src).alias("_a"), F.col(dst).alias("_b"))
          .where(F.col("_a").isNotNull() & F.col("_b").isNotNull()))
-    vertices = (e.select(*k, F.col("_a").alias("_v"))
-                .unionByName(e.select(*k, F.col("_b").alias("_v")))
-                .distinct())
     cur, release = staged(e.where(F.col("_a") != F.col("_b"))
                           .select(*k, F.greatest("_a", "_b").alias("_hi"),
                                   F.least("_a", "_b").alias("_lo"))
-                          .distinct())
+                          .distinct(), checkpoint=False)
     rounds = 0
-    # The check is the action that computes each round and writes its checkpoint.
-    while _violations(cur, k) > 0:
+    while True:
+        summary, release_summary = staged(_vertex_summary(cur, k), checkpoint=False)
+        # The check is the action that computes the round (writing its
+        # checkpoint) and caches the summary the next large-star reads.
+        bad = _violations(summary)
         release()
+        if bad == 0:
+            break
         if rounds >= max_rounds:
+            release_summary()
             raise ComponentsDidNotConverge(f"no star forest after {max_rounds} rounds")
-        cur, release = staged(_small_star(_large_star(cur, k), k))
+        cur, release = staged(_small_star(_large_star(cur, summary, k), k))
+        release = _chain(release, release_summary)
         rounds += 1
-    release()
-    labels = (cur.select(*k, F.col("_hi").alias("_v"), F.col("_lo").alias("_c"))
-              .unionByName(cur.select(*k, F.col("_lo").alias("_v"), F.col("_lo").alias("_c")))
-              .groupBy(*k, "_v").agg(F.min("_c").alias("_c")))
-    return (vertices.join(labels, [*k, "_v"], "left")
-            .select(*k, F.col("_v").alias(vertex),
-                    F.coalesce(F.col("_c"), F.col("_v")).alias(component)))
+    # A star forest centred on minima: each vertex's label is the smaller of
+    # itself and its smallest neighbour. Vertices seen only on self-loops
+    # are their own component.
+    labels = summary.select(*k, F.col("_u").alias(vertex),
+                            F.least(F.col("_u"), F.col("_m")).alias(component))
+    loops = (e.where(F.col("_a") == F.col("_b")).select(*k, F.col("_a").alias(vertex)).distinct()
+             .join(labels.select(*k, vertex), [*k, vertex], "left_anti"))
+    return labels.unionByName(loops.select(*k, vertex, F.col(vertex).alias(component)))
+
+
+def _chain(*fns):
+    def run() -> None:
+        for fn in fns:
+            fn()
+    return run

@@ -29,21 +29,26 @@ def materialize(df: DataFrame) -> DataFrame:
         df.unpersist(blocking=False)
 
 
-def staged(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def staged(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, Callable[[], None]]:
     """Mark ``df`` for a reliable checkpoint written by the next action on it.
 
     Returns the checkpointed frame and a ``release`` function to call after
     that action: the frame is cached while the action runs, so the checkpoint
     is written from the cache instead of recomputing the plan, and ``release``
     drops the cache once the files are there. Saves one job per round against
-    an eager checkpoint followed by a separate action.
+    an eager checkpoint followed by a separate action. With ``checkpoint=False``
+    the frame is only cached (for short lineages that are cheap to recompute).
     """
-    checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    marked = cached.checkpoint(eager=False)
+    if checkpoint:
+        checkpoint_dir(df.sparkSession)
+        marked = cached.checkpoint(eager=False)
+    else:
+        marked = cached
 
     def release() -> None:
-        cached.unpersist(blocking=False)
+        if checkpoint:
+            cached.unpersist(blocking=False)
 
     return marked, release
 
