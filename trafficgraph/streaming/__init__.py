@@ -2,15 +2,19 @@
 
 from trafficgraph.streaming.finals import (clusters_handler, components_handler,
                                            final_congested_edges, final_edge_distances)
-from trafficgraph.streaming.jobs import stream_congested_components, stream_dengraph, watermarked
+from trafficgraph.streaming.jobs import (GraphTooLargeForGroupState, stream_congested_components,
+                                         stream_dengraph, watermarked)
+from trafficgraph.streaming.relabel import (EdgeStoreRelabel, relabel_congested_components,
+                                            relabel_dengraph)
 from trafficgraph.streaming.listener import ProgressCollector, progress_record, query_progress
 from trafficgraph.streaming.sinks import (console_writer, file_writer, kafka_options,
                                           kafka_writer, parquet_batch_sink, start)
 from trafficgraph.streaming.stateful import (EVENT_TIMEOUT, PROCESSING_TIMEOUT, cluster_updates,
                                              component_updates)
 
-__all__ = ["EVENT_TIMEOUT", "PROCESSING_TIMEOUT", "ProgressCollector", "cluster_updates",
+__all__ = ["EVENT_TIMEOUT", "PROCESSING_TIMEOUT", "EdgeStoreRelabel", "GraphTooLargeForGroupState",
+           "ProgressCollector", "cluster_updates",
            "clusters_handler", "component_updates", "components_handler", "console_writer",
            "file_writer", "final_congested_edges", "final_edge_distances", "kafka_options",
-           "kafka_writer", "parquet_batch_sink", "progress_record", "query_progress", "start",
+           "kafka_writer", "parquet_batch_sink", "progress_record", "query_progress", "relabel_congested_components", "relabel_dengraph", "start",
            "stream_congested_components", "stream_dengraph", "watermarked"]

@@ -18,6 +18,22 @@ from trafficgraph.plans.dengraph import weighted_edges
 from trafficgraph.sources.measurements import valid_measurements
 from trafficgraph.streaming.stateful import EVENT_TIMEOUT, cluster_updates, component_updates
 
+# Largest road graph (edges) whose per-event-time edge set may be held by one
+# group of the grouped-state jobs. The state of a group is at most the edges
+# of the static graph, so this bound is proven by the graph's counted size.
+DEFAULT_MAX_GROUP_EDGES = 200_000
+
+
+class GraphTooLargeForGroupState(ValueError):
+    pass
+
+
+def _check_group_bound(graph: RoadGraph, max_group_edges: int | None) -> None:
+    if max_group_edges is not None and graph.edge_count > max_group_edges:
+        raise GraphTooLargeForGroupState(
+            f"road graph has {graph.edge_count} edges, above {max_group_edges} for one "
+            "group: use trafficgraph.streaming.relabel (per-edge state, distributed labels)")
+
 
 def watermarked(measurements: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
     """Valid measurements with the event-time watermark set at the source.
@@ -36,8 +52,16 @@ def stream_congested_components(measurements: DataFrame, graph: RoadGraph,
                                 thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
                                 watermark_delay: str = WATERMARK_DELAY,
                                 grace: str = FINAL_GRACE,
-                                timeout: str = EVENT_TIMEOUT) -> DataFrame:
-    """``componentId, eventTime, final, vertexId, id, key``; use output mode update."""
+                                timeout: str = EVENT_TIMEOUT,
+                                max_group_edges: int | None = DEFAULT_MAX_GROUP_EDGES
+                                ) -> DataFrame:
+    """``componentId, eventTime, final, vertexId, id, key``; use output mode update.
+
+    One group per event time holds that event time's distinct congested
+    edges (at most the road graph's edges, checked against
+    ``max_group_edges``). Larger graphs: ``relabel_congested_components``.
+    """
+    _check_group_bound(graph, max_group_edges)
     m = watermarked(measurements, watermark_delay)
     ce = congested_edges(m, graph, threshold, thresholds)
     updates = component_updates(ce, grace, timeout)
@@ -47,8 +71,14 @@ def stream_congested_components(measurements: DataFrame, graph: RoadGraph,
 def stream_dengraph(measurements: DataFrame, graph: RoadGraph,
                     weight_field: str = DENGRAPH_WEIGHT_FIELD, eps: float = DENGRAPH_EPSILON,
                     eta: int = DENGRAPH_ETA, watermark_delay: str = WATERMARK_DELAY,
-                    grace: str = FINAL_GRACE, timeout: str = EVENT_TIMEOUT) -> DataFrame:
-    """``clusterId, eventTime, final, vertexId, vertexType, key``; output mode update."""
+                    grace: str = FINAL_GRACE, timeout: str = EVENT_TIMEOUT,
+                    max_group_edges: int | None = DEFAULT_MAX_GROUP_EDGES) -> DataFrame:
+    """``clusterId, eventTime, final, vertexId, vertexType, key``; output mode update.
+
+    Same bound on the group state as ``stream_congested_components``; larger
+    graphs: ``relabel_dengraph``.
+    """
+    _check_group_bound(graph, max_group_edges)
     m = watermarked(measurements, watermark_delay)
     w = weighted_edges(m, graph, weight_field)
     d = w.select("eventTime", "src", "dst", proximity_distance("src", "dst", "weight").alias("distance"))
