@@ -37,29 +37,32 @@ def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
     """Per vertex: smallest neighbour, and its roles in the oriented edge set.
 
     One aggregation serves both the large-star step (``_m``) and the exact
-    convergence test (``_h`` = edges where the vertex is the larger end,
-    ``_l`` = whether it is ever the smaller end).
+    convergence test: ``_cmin`` / ``_cmax`` are the smallest and largest
+    neighbour below the vertex (its centres), ``_l`` whether it is the
+    centre of some edge. All three ignore repeated edges, so the edge set
+    needs no ``distinct`` between rounds.
     """
     both = (o.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"),
-                     F.lit(1).alias("_as_hi"), F.lit(0).alias("_as_lo"))
+                     F.col("_lo").alias("_c"), F.lit(0).alias("_as_lo"))
             .unionByName(o.select(*k, F.col("_lo").alias("_u"), F.col("_hi").alias("_w"),
-                                  F.lit(0).alias("_as_hi"), F.lit(1).alias("_as_lo"))))
-    return both.groupBy(*k, "_u").agg(F.min("_w").alias("_m"), F.sum("_as_hi").alias("_h"),
-                                      F.max("_as_lo").alias("_l"))
+                                  F.lit(None).cast(o.schema["_lo"].dataType).alias("_c"),
+                                  F.lit(1).alias("_as_lo"))))
+    return both.groupBy(*k, "_u").agg(F.min("_w").alias("_m"), F.min("_c").alias("_cmin"),
+                                      F.max("_c").alias("_cmax"), F.max("_as_lo").alias("_l"))
 
 
 def _violations(summary: DataFrame) -> int:
     """Vertices that break the star-forest shape (0 means done): a vertex that
     is both a centre and a leaf, or a leaf with two centres."""
-    return summary.where((F.col("_h") > 1) | ((F.col("_h") >= 1) & (F.col("_l") == 1))).count()
+    leaf = F.col("_cmin").isNotNull()
+    return summary.where((F.col("_cmin") != F.col("_cmax")) | (leaf & (F.col("_l") == 1))).count()
 
 
 def _large_star(o: DataFrame, summary: DataFrame, k: list[str]) -> DataFrame:
     # m(u) = min over u's closed neighbourhood; every larger neighbour v of u
     # is re-linked to m(u).
     return (o.withColumnRenamed("_lo", "_u").join(summary.select(*k, "_u", "_m"), [*k, "_u"])
-            .select(*k, F.col("_hi"), F.least(F.col("_u"), F.col("_m")).alias("_lo"))
-            .distinct())
+            .select(*k, F.col("_hi"), F.least(F.col("_u"), F.col("_m")).alias("_lo")))
 
 
 def _small_star(o: DataFrame, k: list[str]) -> DataFrame:
