@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficgraph.operators.materialize import staged
+from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 
 class ComponentsDidNotConverge(RuntimeError):
@@ -40,7 +41,8 @@ def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
     convergence test: ``_cmin`` / ``_cmax`` are the smallest and largest
     neighbour below the vertex (its centres), ``_l`` whether it is the
     centre of some edge. All three ignore repeated edges, so the edge set
-    needs no ``distinct`` between rounds.
+    needs no ``distinct`` between rounds. ``_nlo`` / ``_nhi`` count the rows
+    the next large-star / small-star join meets on this vertex (hot keys).
     """
     both = (o.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"),
                      F.col("_lo").alias("_c"), F.lit(0).alias("_as_lo"))
@@ -48,28 +50,38 @@ def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
                                   F.lit(None).cast(o.schema["_lo"].dataType).alias("_c"),
                                   F.lit(1).alias("_as_lo"))))
     return both.groupBy(*k, "_u").agg(F.min("_w").alias("_m"), F.min("_c").alias("_cmin"),
-                                      F.max("_c").alias("_cmax"), F.max("_as_lo").alias("_l"))
+                                      F.max("_c").alias("_cmax"), F.max("_as_lo").alias("_l"),
+                                      F.sum("_as_lo").alias("_nlo"),
+                                      F.sum(F.lit(1) - F.col("_as_lo")).alias("_nhi"))
 
 
-def _violations(summary: DataFrame) -> int:
-    """Vertices that break the star-forest shape (0 means done): a vertex that
-    is both a centre and a leaf, or a leaf with two centres."""
+def _round_stats(summary: DataFrame, hot_rows: int) -> tuple[int, int]:
+    """One action: vertices that break the star-forest shape (0 means done:
+    none is both a centre and a leaf, none a leaf with two centres), and
+    vertices whose rows make a join key hot."""
     leaf = F.col("_cmin").isNotNull()
-    return summary.where((F.col("_cmin") != F.col("_cmax")) | (leaf & (F.col("_l") == 1))).count()
+    bad = (F.col("_cmin") != F.col("_cmax")) | (leaf & (F.col("_l") == 1))
+    hot = (F.col("_nlo") > F.lit(hot_rows)) | (F.col("_nhi") > F.lit(hot_rows))
+    row = summary.agg(F.count(F.when(bad, 1)).alias("bad"),
+                      F.count(F.when(hot, 1)).alias("hot")).first()
+    return int(row["bad"]), int(row["hot"])
 
 
-def _large_star(o: DataFrame, summary: DataFrame, k: list[str]) -> DataFrame:
+def _large_star(o: DataFrame, summary: DataFrame, k: list[str],
+                hot: DataFrame | None = None) -> DataFrame:
     # m(u) = min over u's closed neighbourhood; every larger neighbour v of u
-    # is re-linked to m(u).
-    return (o.withColumnRenamed("_lo", "_u").join(summary.select(*k, "_u", "_m"), [*k, "_u"])
+    # is re-linked to m(u). A star centre meets all its leaves here: hot
+    # centres are split by a salt on the leaf.
+    return (salted_join(o.withColumnRenamed("_lo", "_u"), summary.select(*k, "_u", "_m"),
+                        [*k, "_u"], hot, ["_hi"])
             .select(*k, F.col("_hi"), F.least(F.col("_u"), F.col("_m")).alias("_lo")))
 
 
-def _small_star(o: DataFrame, k: list[str]) -> DataFrame:
+def _small_star(o: DataFrame, k: list[str], hot: DataFrame | None = None) -> DataFrame:
     # m(u) = min over u and its smaller neighbours; u and those neighbours
     # are re-linked to m(u).
     m = o.groupBy(*k, "_hi").agg(F.min("_lo").alias("_m"))
-    return (o.join(m, [*k, "_hi"])
+    return (salted_join(o, m, [*k, "_hi"], hot, ["_lo"])
             .select(*k,
                     F.when(F.col("_lo") == F.col("_m"), F.col("_hi"))
                     .otherwise(F.col("_lo")).alias("_hi"),
@@ -79,14 +91,16 @@ def _small_star(o: DataFrame, k: list[str]) -> DataFrame:
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          keys: Sequence[str] = ("eventTime",), vertex: str = "vertexId",
-                         component: str = "componentId", max_rounds: int = 200) -> DataFrame:
+                         component: str = "componentId", max_rounds: int = 200,
+                         hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Label the undirected connected components of each keyed graph.
 
     ``edges`` has the key columns plus ``src`` and ``dst`` of any orderable
     type (duplicates, both directions and self-loops allowed). Returns
     ``(*keys, vertex, component)`` with one row per distinct end point, where
     ``component`` is the smallest vertex of its component. Rows with a null
-    end point are ignored.
+    end point are ignored. A vertex meeting more than ``hot_rows`` edges in a
+    round's join is split over several tasks (``trafficgraph.operators.skew``).
     """
     k = list(keys)
     e = (edges.select(*[F.col(c) for c in k], F.col(src).alias("_a"), F.col(dst).alias("_b"))
@@ -100,14 +114,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         summary, release_summary = staged(_vertex_summary(cur, k), checkpoint=False)
         # The check is the action that computes the round (writing its
         # checkpoint) and caches the summary the next large-star reads.
-        bad = _violations(summary)
+        bad, n_hot = _round_stats(summary, hot_rows)
         release()
         if bad == 0:
             break
         if rounds >= max_rounds:
             release_summary()
             raise ComponentsDidNotConverge(f"no star forest after {max_rounds} rounds")
-        cur, release = staged(_small_star(_large_star(cur, summary, k), k))
+        hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_rows) if n_hot else None
+        hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_rows).withColumnRenamed("_u", "_hi")
+                  if n_hot else None)
+        cur, release = staged(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
         release = _chain(release, release_summary)
         rounds += 1
     # A star forest centred on minima: each vertex's label is the smaller of

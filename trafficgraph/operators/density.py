@@ -32,6 +32,7 @@ from trafficgraph.constants import (BORDER, CORE, DENGRAPH_EPSILON, DENGRAPH_ETA
 from trafficgraph.functions.distance import proximity_distance
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.numbering import dense_number
+from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 
 def with_distance(weighted: DataFrame, src: str = "src", dst: str = "dst",
@@ -76,39 +77,59 @@ def core_vertices(nb: DataFrame, eta: int = DENGRAPH_ETA,
     return neighbourhood_sizes(nb, keys).where(F.col("neighbourhoodSize") >= F.lit(int(eta)))
 
 
+def _if_any(hot: DataFrame) -> DataFrame | None:
+    """``hot`` when it has a row (one scalar action), else None (plain joins)."""
+    return hot if hot.limit(1).count() else None
+
+
 def dengraph_clusters(weighted: DataFrame, eps: float = DENGRAPH_EPSILON, eta: int = DENGRAPH_ETA,
                       keys: Sequence[str] = ("eventTime",), src: str = "src", dst: str = "dst",
-                      weight: str = "weight") -> DataFrame:
+                      weight: str = "weight", hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """``(clusterId int, *keys, vertexId, vertexType)`` for every edge end point."""
     pairs = edge_distances(weighted, keys, src, dst, weight)
-    return clusters_from_distances(pairs, eps, eta, keys, src, dst)
+    return clusters_from_distances(pairs, eps, eta, keys, src, dst, hot_rows=hot_rows)
 
 
 def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
                             eta: int = DENGRAPH_ETA, keys: Sequence[str] = ("eventTime",),
                             src: str = "src", dst: str = "dst",
-                            distance: str = "distance") -> DataFrame:
+                            distance: str = "distance",
+                            hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Clusters from ``(*keys, src, dst, distance)``, one smallest distance per pair.
 
     Every pair's ends are reported, also far pairs and pairs without a distance.
+    Neighbour rows are joined on both of their vertices; a vertex with more
+    than ``hot_rows`` neighbour rows is split over several tasks there.
     """
     k = list(keys)
     nb = neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst)
-    core = core_vertices(nb, eta, k).select(*k, "vertexId")
+    sizes = neighbourhood_sizes(nb, k)
+    core = sizes.where(F.col("neighbourhoodSize") >= F.lit(int(eta))).select(*k, "vertexId")
+    # Neighbour rows are symmetric: a vertex has as many rows as neighbour.
+    # One scalar action decides whether any vertex is hot; usually none is
+    # and the joins stay plain.
+    hot_v = _if_any(hot_keys(sizes, [*k, "vertexId"], "neighbourhoodSize", hot_rows))
+    hot_n = None if hot_v is None else hot_v.withColumnRenamed("vertexId", "neighbourId")
+
+    def by_vertex(big, small, how):
+        return salted_join(big, small, [*k, "vertexId"], hot_v, ["neighbourId"], how)
+
+    def by_neighbour(big, small, how):
+        return salted_join(big, small, [*k, "neighbourId"], hot_n, ["vertexId"], how)
 
     # Clusters: components of cores over core-core rows; every core also
     # enters as a self-loop so that isolated cores form their own cluster.
-    core_rows = (nb.join(core, [*k, "vertexId"], "left_semi")
-                 .join(core.withColumnRenamed("vertexId", "neighbourId"), [*k, "neighbourId"],
-                       "left_semi"))
+    core_rows = by_neighbour(by_vertex(nb, core, "left_semi"),
+                             core.withColumnRenamed("vertexId", "neighbourId"), "left_semi")
     cc_in = (core_rows.select(*k, "vertexId", "neighbourId")
              .unionByName(core.select(*k, "vertexId", F.col("vertexId").alias("neighbourId"))))
     core_labels = connected_components(cc_in, "vertexId", "neighbourId", k,
-                                       vertex="vertexId", component="_minCore")
+                                       vertex="vertexId", component="_minCore",
+                                       hot_rows=hot_rows)
 
-    border = (nb.join(core, [*k, "vertexId"], "left_anti")
-              .join(core_labels.select(*k, F.col("vertexId").alias("neighbourId"), "_minCore"),
-                    [*k, "neighbourId"])
+    border = (by_neighbour(by_vertex(nb, core, "left_anti"),
+                           core_labels.select(*k, F.col("vertexId").alias("neighbourId"),
+                                              "_minCore"), "inner")
               .groupBy(*k, "vertexId").agg(F.min("_minCore").alias("_borderOf")))
 
     ends = (pairs.select(*k, F.col(src).alias("vertexId"))
@@ -125,7 +146,14 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
 
     ranks = dense_number(core_labels.select(*k, F.col("_minCore").alias("_cluster")).distinct(),
                          "_cluster", k, name="_rank")
-    return (typed.join(ranks, [*k, "_cluster"], "left")
+    # A cluster holding a large share of all vertices is a hot key here. Its
+    # rows are at most its cores plus their neighbour rows (every border
+    # vertex neighbours one of its cores): a bound from data already at hand.
+    load = (core_labels.join(sizes, [*k, "vertexId"])
+            .groupBy(*k, F.col("_minCore").alias("_cluster"))
+            .agg(F.sum(F.col("neighbourhoodSize") + F.lit(1)).alias("_rows")))
+    hot_c = _if_any(hot_keys(load, [*k, "_cluster"], "_rows", hot_rows))
+    return (salted_join(typed, ranks, [*k, "_cluster"], hot_c, ["vertexId"], "left")
             .select(F.coalesce(F.col("_rank") - F.lit(1), F.lit(NOISE_CLUSTER_ID))
                     .cast("int").alias("clusterId"),
                     *k, "vertexId", "vertexType"))
