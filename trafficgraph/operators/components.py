@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import staged
+from trafficgraph.operators.materialize import materialize, staged
 from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 
@@ -105,10 +105,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     k = list(keys)
     e = (edges.select(*[F.col(c) for c in k], F.col(src).alias("_a"), F.col(dst).alias("_b"))
          .where(F.col("_a").isNotNull() & F.col("_b").isNotNull()))
-    cur, release = staged(e.where(F.col("_a") != F.col("_b"))
-                          .select(*k, F.greatest("_a", "_b").alias("_hi"),
-                                  F.least("_a", "_b").alias("_lo"))
-                          .distinct(), checkpoint=False)
+    # The input is read once: distinct oriented edges, self-loops included,
+    # written to the checkpoint folder; rounds and the self-loop pass read it.
+    base = materialize(e.select(*k, F.greatest("_a", "_b").alias("_hi"),
+                                F.least("_a", "_b").alias("_lo")).distinct())
+    cur, release = base.where(F.col("_hi") != F.col("_lo")), _chain()
     rounds = 0
     while True:
         summary, release_summary = staged(_vertex_summary(cur, k), checkpoint=False)
@@ -132,7 +133,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     # are their own component.
     labels = summary.select(*k, F.col("_u").alias(vertex),
                             F.least(F.col("_u"), F.col("_m")).alias(component))
-    loops = (e.where(F.col("_a") == F.col("_b")).select(*k, F.col("_a").alias(vertex)).distinct()
+    loops = (base.where(F.col("_hi") == F.col("_lo")).select(*k, F.col("_hi").alias(vertex))
              .join(labels.select(*k, vertex), [*k, vertex], "left_anti"))
     return labels.unionByName(loops.select(*k, vertex, F.col(vertex).alias(component)))
 

@@ -31,6 +31,7 @@ from trafficgraph.constants import (BORDER, CORE, DENGRAPH_EPSILON, DENGRAPH_ETA
                                     NOISE_CLUSTER_ID)
 from trafficgraph.functions.distance import proximity_distance
 from trafficgraph.operators.components import connected_components
+from trafficgraph.operators.materialize import materialize
 from trafficgraph.operators.numbering import dense_number
 from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
@@ -102,6 +103,9 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
     than ``hot_rows`` neighbour rows is split over several tasks there.
     """
     k = list(keys)
+    # Read the input once: the checks, the components rounds and the final
+    # labelling all start from this table in the checkpoint folder.
+    pairs = materialize(pairs.select(*k, src, dst, distance))
     nb = neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst)
     sizes = neighbourhood_sizes(nb, k)
     core = sizes.where(F.col("neighbourhoodSize") >= F.lit(int(eta))).select(*k, "vertexId")
