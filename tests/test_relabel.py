@@ -61,6 +61,10 @@ def test_interim_and_final(spark, scratch, graph):
     assert {(r["eventTime"].minute, r["id"]) for r in b2} == {(21, "A"), (21, "B")}
     # keys follow the reference layout
     assert out.where("key IS NULL").count() == 0
+    # only folders that still hold open event times are read later on
+    progress = spark.read.parquet(os.path.join(scratch, "chk", "relabel-store", "progress"))
+    last = progress.orderBy(F.col("batchId").desc()).first()
+    assert [o["batchId"] for o in last["open"]] == [3]      # the folder holding 00:30
 
 
 def test_finals_equal_batch_result(spark, scratch, graph):
@@ -128,3 +132,28 @@ def test_group_state_bound_is_checked(spark, graph):
                                   "density double, vFreeflowMin double")
     with pytest.raises(GraphTooLargeForGroupState):
         stream_congested_components(m, graph, max_group_edges=graph.edge_count - 1)
+
+
+def test_restart_continues_from_progress_files(spark, scratch):
+    def frame(t, pairs):
+        return (spark.createDataFrame([(t, a, b) for a, b in pairs], "t string, src int, dst int")
+                .select(F.col("t").cast("timestamp").alias("eventTime"), "src", "dst"))
+
+    def labeller(edges, final):
+        return edges.select("eventTime", "src", "dst", final.alias("final"))
+
+    got = {}
+
+    def sink(out, b):
+        got[b] = sorted((r["eventTime"].minute, r["src"], r["final"]) for r in out.collect())
+
+    store = os.path.join(scratch, "store")
+    EdgeStoreRelabel(store, ["eventTime", "src", "dst"], labeller, sink, 30_000_000)(
+        frame("2016-05-09 00:10:00", [(1, 2)]), 0)
+    # a new process: nothing in memory, progress comes from the files
+    h = EdgeStoreRelabel(store, ["eventTime", "src", "dst"], labeller, sink, 30_000_000)
+    h(frame("2016-05-09 00:10:00", [(2, 3)]), 1)
+    h(frame("2016-05-09 00:20:00", [(5, 6)]), 2)
+    h(frame("2016-05-09 00:20:00", []), 3)               # a batch without data
+    assert got[1] == [(10, 1, False), (10, 2, False)]      # batch 0's edge is still there
+    assert got[3] == [(10, 1, True), (10, 2, True)]         # 10:00 final once 20:00 is seen

@@ -20,9 +20,9 @@ late-row filter then already rejects ``T`` (it lags by one batch, and
 ``T < M - delay``), so no row of ``T`` can arrive after its final. The
 running maximum is kept as one row per batch next to the store.
 
-The store grows with the distinct (event time, edge) rows of the stream;
-event times before the final cutoff are never read again and can be expired
-with the query's other retention.
+The store grows with the distinct (event time, edge) rows of the stream, but
+each batch reads only the folders of batches that still hold open event
+times; closed folders can be expired with the query's other retention.
 """
 
 from __future__ import annotations
@@ -49,8 +49,23 @@ BatchSink = Callable[[DataFrame, int], None]
 Labeller = Callable[[DataFrame, F.Column], DataFrame]
 
 
+_OPEN = T.ArrayType(T.StructType([T.StructField("batchId", T.LongType()),
+                                   T.StructField("minMicros", T.LongType()),
+                                   T.StructField("maxMicros", T.LongType())]))
+_PROGRESS = T.StructType([T.StructField("batchId", T.LongType()),
+                          T.StructField("maxMicros", T.LongType()),
+                          T.StructField("open", _OPEN)])
+
+
 class EdgeStoreRelabel:
-    """``foreachBatch`` function: store changed edges, relabel, pass labels on."""
+    """``foreachBatch`` function: store changed edges, relabel, pass labels on.
+
+    Each batch's progress row holds the running maximum event time and the
+    *open* batch folders: those whose newest event time is not below the
+    final cutoff. Every event time a later batch can touch or finalise lies
+    at or after that cutoff, so only open folders are read; the list stays
+    as short as the open time window, however long the stream runs.
+    """
 
     def __init__(self, store: str, columns: Sequence[str], labeller: Labeller, sink: BatchSink,
                  lag_micros: int) -> None:
@@ -59,7 +74,7 @@ class EdgeStoreRelabel:
         self.labeller = labeller
         self.sink = sink
         self.lag_micros = int(lag_micros)        # delay + grace
-        self._max: dict[int, int | None] = {}    # batch id -> largest event time so far
+        self._progress_rows: dict[int, tuple] = {}   # batch id -> (max so far, open folders)
 
     def _edges(self, batch_id: int | None = None) -> str:
         base = f"{self.store}/edges"
@@ -68,17 +83,23 @@ class EdgeStoreRelabel:
     def _progress(self, batch_id: int) -> str:
         return f"{self.store}/progress/batchId={int(batch_id)}"
 
-    def _running_max(self, spark: SparkSession, batch_id: int) -> int | None:
-        """Largest event time (µs) of batches ``0 .. batch_id``; None before any."""
+    def _progress_of(self, spark: SparkSession, batch_id: int) -> tuple:
+        """``(largest event time µs of batches 0..batch_id, open folders)``."""
         if batch_id < 0:
-            return None
-        if batch_id not in self._max:
+            return None, []
+        if batch_id not in self._progress_rows:
             try:
-                row = spark.read.parquet(self._progress(batch_id)).first()
-                self._max[batch_id] = None if row is None else row["maxMicros"]
+                row = spark.read.schema(_PROGRESS).parquet(self._progress(batch_id)).first()
             except Exception:  # no record: the batch never ran (fresh store)
-                self._max[batch_id] = None
-        return self._max[batch_id]
+                row = None
+            self._progress_rows[batch_id] = (
+                (None, []) if row is None else
+                (row["maxMicros"], [(o["batchId"], o["minMicros"], o["maxMicros"])
+                                    for o in row["open"] or []]))
+        return self._progress_rows[batch_id]
+
+    def _cut(self, running: int | None) -> int | None:
+        return None if running is None else running - self.lag_micros
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -88,20 +109,32 @@ class EdgeStoreRelabel:
         rows.write.mode("overwrite").parquet(self._edges(batch_id))
         this = spark.read.schema(rows.schema).parquet(self._edges(batch_id))
         micros = F.unix_micros(F.col("eventTime"))
-        this_max = this.agg(F.max(micros).alias("m")).first()["m"]
-        before = self._running_max(spark, batch_id - 1)
-        before2 = self._running_max(spark, batch_id - 2)
-        seen = [v for v in (before, this_max) if v is not None]
+        span = this.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+        before, open_before = self._progress_of(spark, batch_id - 1)
+        before2, _ = self._progress_of(spark, batch_id - 2)
+        cut, cut_before = self._cut(before), self._cut(before2)
+
+        opened = [o for o in open_before if o[0] != batch_id]
+        if span["hi"] is not None:
+            opened.append((batch_id, span["lo"], span["hi"]))
+        seen = [v for v in (before, span["hi"]) if v is not None]
         running = max(seen) if seen else None
-        (spark.createDataFrame([(batch_id, running)], "batchId long, maxMicros long")
+        keep = [o for o in opened if cut is None or o[2] >= cut]
+        (spark.createDataFrame([(batch_id, running, keep)], _PROGRESS)
          .coalesce(1).write.mode("overwrite").parquet(self._progress(batch_id)))
-        self._max[batch_id] = running
+        self._progress_rows[batch_id] = (running, keep)
 
-        cut = None if before is None else before - self.lag_micros
-        cut_before = None if before2 is None else before2 - self.lag_micros
         stored = T.StructType(rows.schema.fields + [T.StructField("batchId", T.LongType())])
-        store = (spark.read.schema(stored).parquet(self._edges())
-                 .where(F.col("batchId") <= F.lit(batch_id)).drop("batchId"))
+        if cut_before is not None and span["lo"] is not None and span["lo"] < cut_before:
+            paths = [self._edges()]      # a row older than the cutoff: read everything
+        else:
+            paths = [self._edges(b) for b, _, hi in opened
+                     if cut_before is None or hi >= cut_before]
+        if paths:
+            store = (spark.read.schema(stored).option("basePath", self._edges()).parquet(*paths)
+                     .where(F.col("batchId") <= F.lit(batch_id)).drop("batchId"))
+        else:
+            store = spark.createDataFrame([], rows.schema)
         times = this.select("eventTime")
         if cut is not None:
             newly_final = micros < F.lit(cut)
