@@ -157,3 +157,41 @@ def test_restart_continues_from_progress_files(spark, scratch):
     h(frame("2016-05-09 00:20:00", []), 3)               # a batch without data
     assert got[1] == [(10, 1, False), (10, 2, False)]      # batch 0's edge is still there
     assert got[3] == [(10, 1, True), (10, 2, True)]         # 10:00 final once 20:00 is seen
+
+
+@pytest.mark.parametrize("edges, expected", [
+    ([(5, 6), (2, 5)], {2: 2, 5: 2, 6: 2}),                       # attach lower
+    ([(1, 2), (8, 9), (2, 8)], {1: 1, 2: 1, 8: 1, 9: 1}),          # merge
+    ([(4, 5), (3, 4), (2, 3), (1, 2)], {v: 1 for v in range(1, 6)}),  # chain reversed
+])
+def test_components_cases_one_edge_per_trigger(spark, scratch, edges, expected):
+    from trafficgraph.operators import connected_components
+
+    def frame(t, pairs):
+        return (spark.createDataFrame([(t, a, b) for a, b in pairs], "t string, src int, dst int")
+                .select(F.col("t").cast("timestamp").alias("eventTime"), "src", "dst"))
+
+    def labeller(e, final):
+        return connected_components(e).select("eventTime", "vertexId", "componentId",
+                                              final.alias("final"))
+
+    out = {}
+
+    def sink(df, b):
+        out[b] = {(r["eventTime"].minute, r["vertexId"]): (r["componentId"], r["final"])
+                  for r in df.collect()}
+
+    h = EdgeStoreRelabel(os.path.join(scratch, "store"), ["eventTime", "src", "dst"], labeller,
+                         sink, 30_000_000)
+    for b, e in enumerate(edges):
+        h(frame("2016-05-09 00:10:00", [e]), b)
+        seen = {v for pair in edges[:b + 1] for v in pair}
+        # interim labels: smallest vertex of each component seen so far
+        assert {v for (_, v) in out[b]} == seen
+        assert all(c == min(x for x in seen if out[b][(10, x)][0] == c)
+                   for (_, v), (c, _) in out[b].items())
+    n = len(edges)
+    h(frame("2016-05-09 00:20:00", [(7, 7)]), n)
+    h(frame("2016-05-09 00:20:00", []), n + 1)
+    final = {v: c for (m, v), (c, f) in out[n + 1].items() if m == 10 and f}
+    assert final == expected
