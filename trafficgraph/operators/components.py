@@ -113,8 +113,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     rounds = 0
     while True:
         summary, release_summary = staged(_vertex_summary(cur, k), checkpoint=False)
-        # The check is the action that computes the round (writing its
-        # checkpoint) and caches the summary the next large-star reads.
+        # The check caches the summary that the next large-star reads; each
+        # round's edge set is a table in the checkpoint folder.
         bad, n_hot = _round_stats(summary, hot_rows)
         release()
         if bad == 0:
@@ -125,8 +125,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_rows) if n_hot else None
         hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_rows).withColumnRenamed("_u", "_hi")
                   if n_hot else None)
-        cur, release = staged(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
-        release = _chain(release, release_summary)
+        cur = materialize(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
+        release = release_summary
         rounds += 1
     # A star forest centred on minima: each vertex's label is the smaller of
     # itself and its smallest neighbour. Vertices seen only on self-loops

@@ -1,7 +1,8 @@
-"""Cutting lineage with reliable checkpoints, and size-checked broadcasts."""
+"""Cutting lineage with tables in the shared checkpoint folder; size-checked broadcasts."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -15,18 +16,17 @@ DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a parquet table in the shared checkpoint folder; read it back.
 
     Iterative operators call this once per round so that lineage stays short
-    and a lost executor costs one re-read, not a replay of every round. The
-    frame is persisted while it is checkpointed so the plan runs only once.
+    and a lost executor costs one re-read, not a replay of every round. One
+    job runs the plan and writes the table; later reads are columnar scans
+    that prune columns and push filters down.
     """
-    checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist(blocking=False)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def staged(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, Callable[[], None]]:
@@ -47,8 +47,7 @@ def staged(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, Callable[
         marked = cached
 
     def release() -> None:
-        if checkpoint:
-            cached.unpersist(blocking=False)
+        cached.unpersist(blocking=False)
 
     return marked, release
 
