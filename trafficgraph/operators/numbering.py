@@ -3,7 +3,7 @@
 ``row_number() over (order by k)`` moves every row into one task. Here the
 keys are range-partitioned and sorted inside each partition; each row's
 position in its partition comes from ``monotonically_increasing_id`` and is
-frozen by a reliable checkpoint. Per-partition counts (one row per partition
+frozen by a table written to the checkpoint folder. Per-partition counts (one row per partition
 and group) give the offsets, added back with a join. Work stays spread over
 all partitions, also when one group holds most keys.
 """

@@ -20,7 +20,7 @@ def road_vertices(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataF
 def vertex_numeric_ids(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``numericId int, id string``: 1-based, in order of ``id``.
 
-    Materialised once (reliable checkpoint inside the numbering), so the three
+    Materialised once (a written table inside the numbering), so the three
     consumers (two encode joins, one decode join) see the same numbers.
     """
     numbered = dense_number(road_vertices(edges, src, dst), "id", name="numericId")
