@@ -114,3 +114,16 @@ def test_dense_number_groups(spark):
     for g, pairs in by.items():
         pairs.sort()
         assert [n for _, n in pairs] == list(range(1, len(pairs) + 1)), g
+
+
+def test_components_keep_only_input_and_last_round_tables(spark):
+    import os
+    from trafficgraph.session import checkpoint_dir
+    tables = os.path.join(checkpoint_dir(spark).replace("file:", ""), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    n = 64                                   # a reversed path needs several rounds
+    df = spark.createDataFrame([(T1, i, i + 1) for i in reversed(range(n))],
+                               "eventTime timestamp, src int, dst int")
+    got = {r["vertexId"]: r["componentId"] for r in connected_components(df).collect()}
+    assert got == {v: 0 for v in range(n + 1)}
+    assert len(set(os.listdir(tables)) - before) == 2

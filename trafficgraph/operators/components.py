@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import materialize, staged
+from trafficgraph.operators.materialize import cached, drop_table, materialize, write_table
 from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 
@@ -110,13 +110,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     base = materialize(e.select(*k, F.greatest("_a", "_b").alias("_hi"),
                                 F.least("_a", "_b").alias("_lo")).distinct())
     cur, release = base.where(F.col("_hi") != F.col("_lo")), _chain()
+    spent: list[str] = []      # round tables no frame reads once the next round is summarised
     rounds = 0
     while True:
-        summary, release_summary = staged(_vertex_summary(cur, k), checkpoint=False)
+        summary, release_summary = cached(_vertex_summary(cur, k))
         # The check caches the summary that the next large-star reads; each
         # round's edge set is a table in the checkpoint folder.
         bad, n_hot = _round_stats(summary, hot_rows)
         release()
+        while len(spent) > 1:
+            drop_table(edges.sparkSession, spent.pop(0))
         if bad == 0:
             break
         if rounds >= max_rounds:
@@ -125,7 +128,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_rows) if n_hot else None
         hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_rows).withColumnRenamed("_u", "_hi")
                   if n_hot else None)
-        cur = materialize(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
+        cur, path = write_table(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
+        spent.append(path)
         release = release_summary
         rounds += 1
     # A star forest centred on minima: each vertex's label is the smaller of

@@ -15,41 +15,44 @@ from trafficgraph.session import checkpoint_dir
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as a parquet table in the shared checkpoint folder; read it back.
 
     Iterative operators call this once per round so that lineage stays short
     and a lost executor costs one re-read, not a replay of every round. One
     job runs the plan and writes the table; later reads are columnar scans
-    that prune columns and push filters down.
+    that prune columns and push filters down. Returns the frame and its path.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``write_table`` for tables that live as long as the frames built on them."""
+    return write_table(df)[0]
+
+
+def drop_table(spark, path: str) -> None:
+    """Delete a table of ``write_table`` once no frame reads it any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def staged(df: DataFrame, checkpoint: bool = True) -> tuple[DataFrame, Callable[[], None]]:
-    """Mark ``df`` for a reliable checkpoint written by the next action on it.
+def cached(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Cache ``df`` for a few reads; returns it and a ``release`` function.
 
-    Returns the checkpointed frame and a ``release`` function to call after
-    that action: the frame is cached while the action runs, so the checkpoint
-    is written from the cache instead of recomputing the plan, and ``release``
-    drops the cache once the files are there. Saves one job per round against
-    an eager checkpoint followed by a separate action. With ``checkpoint=False``
-    the frame is only cached (for short lineages that are cheap to recompute).
+    For short lineages over a written table (a lost block is recomputed from
+    the table), e.g. the per-round vertex summary of the components loop.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        marked = cached.checkpoint(eager=False)
-    else:
-        marked = cached
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def release() -> None:
-        cached.unpersist(blocking=False)
+        kept.unpersist(blocking=False)
 
-    return marked, release
+    return kept, release
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
