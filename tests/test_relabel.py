@@ -65,6 +65,12 @@ def test_interim_and_final(spark, scratch, graph):
     progress = spark.read.parquet(os.path.join(scratch, "chk", "relabel-store", "progress"))
     last = progress.orderBy(F.col("batchId").desc()).first()
     assert [o["batchId"] for o in last["open"]] == [3]      # the folder holding 00:30
+    # closed folders and old progress rows are deleted
+    store = os.path.join(scratch, "chk", "relabel-store")
+    left = sorted(os.listdir(os.path.join(store, "edges")))
+    # 0 and 1 are closed for good; 2 was open after batch 3, so a replay of 4 reads it
+    assert left == ["batchId=2", "batchId=3", "batchId=4"]
+    assert len(os.listdir(os.path.join(store, "progress"))) <= 3
 
 
 def test_finals_equal_batch_result(spark, scratch, graph):

@@ -20,9 +20,9 @@ late-row filter then already rejects ``T`` (it lags by one batch, and
 ``T < M - delay``), so no row of ``T`` can arrive after its final. The
 running maximum is kept as one row per batch next to the store.
 
-The store grows with the distinct (event time, edge) rows of the stream, but
-each batch reads only the folders of batches that still hold open event
-times; closed folders can be expired with the query's other retention.
+Each batch reads only the folders of batches that still hold open event
+times, and folders that no later batch (nor a replay) can read are deleted,
+so the store stays as large as the open time window.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ from trafficgraph.functions.output import with_key
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.density import clusters_from_distances
 from trafficgraph.operators.graph import RoadGraph
+from trafficgraph.operators.materialize import drop_table
 from trafficgraph.streaming.finals import final_congested_edges, final_edge_distances
 from trafficgraph.streaming.stateful import interval_ms
 
@@ -111,7 +112,7 @@ class EdgeStoreRelabel:
         micros = F.unix_micros(F.col("eventTime"))
         span = this.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
         before, open_before = self._progress_of(spark, batch_id - 1)
-        before2, _ = self._progress_of(spark, batch_id - 2)
+        before2, open_before2 = self._progress_of(spark, batch_id - 2)
         cut, cut_before = self._cut(before), self._cut(before2)
 
         opened = [o for o in open_before if o[0] != batch_id]
@@ -144,6 +145,26 @@ class EdgeStoreRelabel:
         scope = store.join(times.distinct(), "eventTime", "left_semi")
         final = (micros < F.lit(cut)) if cut is not None else F.lit(False)
         self.sink(self.labeller(scope, final), batch_id)
+        self._expire(spark, batch_id, open_before, open_before2)
+
+    def _expire(self, spark: SparkSession, batch_id: int, open_before: list,
+                open_before2: list) -> None:
+        """Delete folders no batch from ``batch_id`` on can read, even on replay.
+
+        A replay of this batch reads only the folders open after batch - 1
+        (and its own); so folders open after batch - 2, and that batch's own
+        folder (empty, or closed at once), are gone for good unless still
+        open. Progress rows older than batch - 2 are not read either.
+        """
+        still = {b for b, _, _ in open_before} | {batch_id}
+        candidates = {b for b, _, _ in open_before2}
+        if batch_id - 2 >= 0:
+            candidates.add(batch_id - 2)
+        for b in sorted(candidates - still):
+            drop_table(spark, self._edges(b))
+        if batch_id - 3 >= 0:
+            drop_table(spark, self._progress(batch_id - 3))
+            self._progress_rows.pop(batch_id - 3, None)
 
 
 def _store_path(checkpoint_location: str) -> str:
