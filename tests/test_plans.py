@@ -72,3 +72,15 @@ def test_entry_smoke(spark):
     assert [f.name for f in df.schema.fields] == ["componentId", "eventTime", "final", "vertexId", "id"]
     assert df.count() > 0
     assert set(se.oracle_sql()) == set(se.queries())
+
+
+def test_salting_only_when_a_key_is_hot(spark):
+    from trafficgraph.operators.density import dengraph_clusters
+    from trafficgraph.plans.dengraph import weighted_edges
+    edges, m = road_tables(spark, SF)
+    w = weighted_edges(m, RoadGraph.build(edges, with_ids=False))
+    plain = dengraph_clusters(w, keys=["eventTime"])
+    assert "_salt" not in plan(plain, "simple")
+    salted = dengraph_clusters(w, keys=["eventTime"], hot_rows=1)
+    assert "_salt" in plan(salted, "simple")
+    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))

@@ -106,13 +106,18 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
     # Read the input once: the checks, the components rounds and the final
     # labelling all start from this table in the checkpoint folder.
     pairs = materialize(pairs.select(*k, src, dst, distance))
+    # A vertex has at most 2 * pairs neighbour rows and a cluster's load
+    # bound below is at most 4 * pairs: small inputs skip the hot-key checks
+    # (the count reads parquet metadata only).
+    may_be_hot = 4 * pairs.count() > hot_rows
     nb = neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst)
     sizes = neighbourhood_sizes(nb, k)
     core = sizes.where(F.col("neighbourhoodSize") >= F.lit(int(eta))).select(*k, "vertexId")
     # Neighbour rows are symmetric: a vertex has as many rows as neighbour.
     # One scalar action decides whether any vertex is hot; usually none is
     # and the joins stay plain.
-    hot_v = _if_any(hot_keys(sizes, [*k, "vertexId"], "neighbourhoodSize", hot_rows))
+    hot_v = (_if_any(hot_keys(sizes, [*k, "vertexId"], "neighbourhoodSize", hot_rows))
+             if may_be_hot else None)
     hot_n = None if hot_v is None else hot_v.withColumnRenamed("vertexId", "neighbourId")
 
     def by_vertex(big, small, how):
@@ -156,7 +161,7 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
     load = (core_labels.join(sizes, [*k, "vertexId"])
             .groupBy(*k, F.col("_minCore").alias("_cluster"))
             .agg(F.sum(F.col("neighbourhoodSize") + F.lit(1)).alias("_rows")))
-    hot_c = _if_any(hot_keys(load, [*k, "_cluster"], "_rows", hot_rows))
+    hot_c = _if_any(hot_keys(load, [*k, "_cluster"], "_rows", hot_rows)) if may_be_hot else None
     return (salted_join(typed, ranks, [*k, "_cluster"], hot_c, ["vertexId"], "left")
             .select(F.coalesce(F.col("_rank") - F.lit(1), F.lit(NOISE_CLUSTER_ID))
                     .cast("int").alias("clusterId"),
