@@ -107,3 +107,28 @@ def test_dengraph_with_hub_equal_model(spark, skew_conf):
         got = {r["vertexId"]: (r["vertexType"], r["clusterId"])
                for r in clusters_from_distances(df, 0.035, 2, hot_rows=hot_rows).collect()}
         assert got == expected
+
+
+def test_hot_detector_placement_join_is_split(spark, skew_conf, tmp_path):
+    """Beyond the broadcast bound, a detector with most measurements is split by AQE.
+
+    Unlike the graph joins, both sides here are plain shuffles of scans, the
+    shape adaptive skew-join handling splits.
+    """
+    from trafficgraph.operators.graph import RoadGraph
+    from trafficgraph.plans.congested import congested_edges
+    edges = spark.createDataFrame(
+        [(f"D{i:03d}", f"D{i + 1:03d}", 0.0, 0.0, 1.0, 0.0, True, False) for i in range(200)],
+        "src string, dst string, src_X double, src_Y double, dst_X double, dst_Y double, "
+        "same_road boolean, is_dummy boolean")
+    g = RoadGraph.build(edges, broadcast_max_rows=1)
+    rnd = random.Random(5)
+    rows = [(T1, "D007" if i % 3 else f"D{rnd.randrange(1, 201):03d}", 10, 40.0, 70.0)
+            for i in range(30_000)]
+    path = str(tmp_path / "m")
+    spark.createDataFrame(rows, "eventTime timestamp, detectorId string, averageSpeed int, "
+                                "density double, vFreeflowMin double").write.parquet(path)
+    m = spark.read.parquet(path)
+    out = congested_edges(m, g)
+    assert len(out.collect()) == 30_000      # runs this frame's own plan
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
