@@ -201,3 +201,16 @@ def test_components_cases_one_edge_per_trigger(spark, scratch, edges, expected):
     h(frame("2016-05-09 00:20:00", []), n + 1)
     final = {v: c for (m, v), (c, f) in out[n + 1].items() if m == 10 and f}
     assert final == expected
+
+
+def test_batches_leave_no_intermediate_tables_or_caches(spark, scratch, graph):
+    from trafficgraph.session import checkpoint_dir
+    tables = os.path.join(checkpoint_dir(spark).replace("file:", ""), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    cached_before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    files = [[row("10:00", "B"), row("10:00", "C")], [row("11:00", "D")], [row("12:00", "B")]]
+    for job in (relabel_congested_components, relabel_dengraph):
+        out = replay(spark, os.path.join(scratch, job.__name__), graph, files, job=job)
+        assert out.where("final").count() > 0
+    assert set(os.listdir(tables)) - before == set()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == cached_before

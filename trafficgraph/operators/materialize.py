@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -26,9 +28,40 @@ def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _on_scope_exit(lambda: drop_table(spark, path))
     return spark.read.parquet(path), path
 
 
+_local = threading.local()   # per thread: each streaming query runs its batches on its own
+
+
+def _on_scope_exit(cleanup: Callable[[], None]) -> None:
+    scopes = getattr(_local, "scopes", None)
+    if scopes:
+        scopes[-1].append(cleanup)
+
+
+@contextmanager
+def table_scope() -> Iterator[None]:
+    """Delete every table written, and release every cache made, inside the block.
+
+    For work whose results are consumed inside the block, e.g. one
+    ``foreachBatch`` call that labels a micro-batch and hands the labels to
+    its sink: the intermediate tables and caches of that batch do not pile
+    up over a long-running stream.
+    """
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    cleanups: list[Callable[[], None]] = []
+    _local.scopes.append(cleanups)
+    try:
+        yield
+    finally:
+        _local.scopes.pop()
+        for cleanup in cleanups:
+            cleanup()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``write_table`` for tables that live as long as the frames built on them."""
     return write_table(df)[0]
@@ -52,6 +85,7 @@ def cached(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     def release() -> None:
         kept.unpersist(blocking=False)
 
+    _on_scope_exit(release)
     return kept, release
 
 

@@ -23,6 +23,7 @@ from trafficgraph.functions.distance import proximity_distance
 from trafficgraph.functions.output import with_key
 from trafficgraph.operators.density import clusters_from_distances
 from trafficgraph.operators.graph import RoadGraph
+from trafficgraph.operators.materialize import table_scope
 from trafficgraph.plans.congested import component_labels, congested_edges
 from trafficgraph.plans.dengraph import weighted_edges
 from trafficgraph.streaming.jobs import watermarked
@@ -54,8 +55,9 @@ def final_edge_distances(measurements: DataFrame, graph: RoadGraph,
 def components_handler(graph: RoadGraph, sink: BatchSink) -> BatchSink:
     """``foreachBatch`` function: label one batch of final edges and pass it on."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        labels = component_labels(batch.select("eventTime", "src", "dst"), final=True)
-        sink(with_key(graph.decode(labels), "id"), batch_id)
+        with table_scope():   # the labels are consumed by the sink
+            labels = component_labels(batch.select("eventTime", "src", "dst"), final=True)
+            sink(with_key(graph.decode(labels), "id"), batch_id)
     return handle
 
 
@@ -63,8 +65,9 @@ def clusters_handler(sink: BatchSink, eps: float = DENGRAPH_EPSILON,
                      eta: int = DENGRAPH_ETA) -> BatchSink:
     """``foreachBatch`` function: cluster one batch of final pair distances."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        c = clusters_from_distances(batch, eps, eta, ["eventTime"])
-        out = c.select("clusterId", "eventTime", F.lit(True).alias("final"), "vertexId",
-                       "vertexType")
-        sink(with_key(out, "vertexId"), batch_id)
+        with table_scope():   # the labels are consumed by the sink
+            c = clusters_from_distances(batch, eps, eta, ["eventTime"])
+            out = c.select("clusterId", "eventTime", F.lit(True).alias("final"), "vertexId",
+                           "vertexType")
+            sink(with_key(out, "vertexId"), batch_id)
     return handle

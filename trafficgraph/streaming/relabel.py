@@ -41,7 +41,7 @@ from trafficgraph.functions.output import with_key
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.density import clusters_from_distances
 from trafficgraph.operators.graph import RoadGraph
-from trafficgraph.operators.materialize import drop_table
+from trafficgraph.operators.materialize import drop_table, table_scope
 from trafficgraph.streaming.finals import final_congested_edges, final_edge_distances
 from trafficgraph.streaming.stateful import interval_ms
 
@@ -144,7 +144,8 @@ class EdgeStoreRelabel:
             times = times.unionByName(store.where(newly_final).select("eventTime"))
         scope = store.join(times.distinct(), "eventTime", "left_semi")
         final = (micros < F.lit(cut)) if cut is not None else F.lit(False)
-        self.sink(self.labeller(scope, final), batch_id)
+        with table_scope():                # the labels are consumed by the sink
+            self.sink(self.labeller(scope, final), batch_id)
         self._expire(spark, batch_id, open_before, open_before2)
 
     def _expire(self, spark: SparkSession, batch_id: int, open_before: list,
