@@ -214,3 +214,36 @@ def test_batches_leave_no_intermediate_tables_or_caches(spark, scratch, graph):
         assert out.where("final").count() > 0
     assert set(os.listdir(tables)) - before == set()
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == cached_before
+
+
+def test_relabel_over_the_events_binding_equals_batch(spark, scratch):
+    """sf0.001 measurements replayed day by day: finals equal the batch job."""
+    from trafficgraph.operators.graph import RoadGraph
+    from trafficgraph.schemas import MEASUREMENT_SCHEMA
+    from trafficgraph.sources.binding import road_tables
+    edges, m = road_tables(spark, "/root/testdata/sf0.001", "day")
+    g = RoadGraph.build(edges)
+    names = [f.name for f in MEASUREMENT_SCHEMA.fields]
+
+    def text(v):
+        if v is None or v != v:
+            return ""
+        return v.strftime("%Y-%m-%d %H:%M:%S") if hasattr(v, "strftime") else str(v)
+
+    days = {}
+    for r in m.collect():                       # 1,000 rows: a test fixture
+        days.setdefault(r["eventTime"], []).append(",".join(text(r[c]) for c in names) + "\n")
+    src = os.path.join(scratch, "in")
+    write_files(src, [days[d] for d in sorted(days)])
+    s = stream_measurements_csv(spark, src, max_files_per_trigger=3)
+    out_dir = os.path.join(scratch, "out")
+    q = start(relabel_congested_components(s, g, batch_files_sink(out_dir),
+                                           os.path.join(scratch, "chk")), available_now=True)
+    q.awaitTermination(600)
+    assert q.exception() is None
+    got = {(r["eventTime"], r["id"]): r["componentId"]
+           for r in spark.read.parquet(out_dir).where("final").collect()}
+    last = max(days)
+    expected = {(r["eventTime"], r["id"]): r["componentId"]
+                for r in congested_components(m, g).decoded.collect() if r["eventTime"] < last}
+    assert got == expected and len(expected) > 300
