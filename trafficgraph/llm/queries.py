@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficgraph.llm import packing
+from trafficgraph.llm import decontamination, licenses, packing
 from trafficgraph.session import ensure_checkpoint_dir
 
 
@@ -21,6 +21,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark, sf_dir):
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    pairs = decontamination.find_contamination(_table(spark, sf_dir, "documents"),
+                                               _table(spark, sf_dir, "benchmark"))
+    return pairs.drop("tiles")
+
+
 def op10_packing(spark, sf_dir):
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"),
                                     tokenizer_path("byte_bpe_50k.json"))
@@ -28,6 +38,8 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
+    "op5_decontamination": op5_decontamination,
     "op10_packing": op10_packing,
 }
 
