@@ -40,7 +40,7 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "BSD-line": "Use of this source code is governed by a BSD-style license.",
-    "GPL-line": "Distributed under the GNU General Public License.",
+    "GPL-line": "Licensed under the GNU General Public License, version 3.",
     "CC-BY-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
            "software and associated documentation files (the \"Software\"), to deal in the Software "

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trafficgraph.llm import decontamination, licenses, packing
+from trafficgraph.llm import decontamination, language, licenses, packing, quality
 from trafficgraph.session import ensure_checkpoint_dir
 
 
@@ -25,12 +26,25 @@ def op1_licenses(spark, sf_dir):
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.fit(docs.where(~F.col("held_out")))
+    # held_out is made of doc_id alone: attached to the result, no join is needed
+    return language.predict(docs, model).withColumn("held_out", language.held_out())
+
+
 def op5_decontamination(spark, sf_dir):
     pairs = decontamination.find_contamination(_table(spark, sf_dir, "documents"),
                                                _table(spark, sf_dir, "benchmark"))
     return pairs.drop("tiles")
 
 
+def op8_quality(spark, sf_dir):
+    scored = quality.score_documents(_table(spark, sf_dir, "documents"),
+                                     _table(spark, sf_dir, "labels"))
+    return scored.withColumn("kept", F.col("quality") >= quality.MIN_QUALITY)
+
+
 def op10_packing(spark, sf_dir):
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"),
                                     tokenizer_path("byte_bpe_50k.json"))
@@ -39,7 +53,9 @@ def op10_packing(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
+    "op8_quality": op8_quality,
     "op10_packing": op10_packing,
 }
 
