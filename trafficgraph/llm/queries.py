@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficgraph.llm import chat, decontamination, language, licenses, packing, quality, tokencounts, urlfilter
+from trafficgraph.llm import chat, decontamination, language, licenses, minhash, packing, quality, tokencounts, urlfilter
 from trafficgraph.session import ensure_checkpoint_dir
 
 
@@ -75,6 +75,10 @@ def op8_quality(spark, sf_dir):
     return scored.withColumn("kept", F.col("quality") >= quality.MIN_QUALITY)
 
 
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"),
                                     tokenizer_path("byte_bpe_50k.json"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
+    "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
 
