@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficgraph.llm import chat, decontamination, language, licenses, minhash, packing, quality, tokencounts, urlfilter
+from trafficgraph.llm import (chat, decontamination, embeddings, language, licenses, minhash,
+                              packing, quality, tokencounts, urlfilter)
 from trafficgraph.session import ensure_checkpoint_dir
 
 
@@ -38,6 +39,10 @@ def op3_language(spark, sf_dir):
     return language.predict(docs, model).withColumn("held_out", language.held_out())
 
 
+def op4_embeddings(spark, sf_dir):
+    return embeddings.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark, sf_dir):
     pairs = decontamination.find_contamination(_table(spark, sf_dir, "documents"),
                                                _table(spark, sf_dir, "benchmark"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
+    "op4_embeddings": op4_embeddings,
     "op5_decontamination": op5_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_url_filter": op7_url_filter,
