@@ -33,7 +33,7 @@ WINDOW = 2048
 END_ID = 1
 BUFFER_TOKENS = 1 << 22
 SLACK = 32
-CACHE_UNITS = 600_000        # cached units of text a worker (about 150 MB)
+CACHE_UNITS = 500_000        # cached units and pre-tokens of a worker (about 100 MB each)
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
@@ -42,13 +42,43 @@ _PLAIN = re.compile(r"[^\n\t\x20-\x7e\xa1-ɏ]")
 _GAP = re.compile(r"\s ")
 
 
+# The byte-level pre-tokenizer's pattern (fixed value); on plain texts it means
+# the same to every regular expression engine.
+_PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Tokens of a byte-level BPE file as bytes with their ids, if merging by id
+    is merging by rank (every merge makes the token with the next id) and the
+    file asks for the pattern above; else None."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if (model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel"
+            or pre.get("add_prefix_space") or not pre.get("use_regex", True)):
+        return None
+    # Byte-level alphabet: printable bytes stand for themselves, others follow from 256.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    vocab = model["vocab"]
+    for i, merge in enumerate(model["merges"]):
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        if vocab.get(left + right) != 256 + i:
+            return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(model["merges"])}
+
+
 class TokenIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The pre-tokenizer never joins a character that is not white space to a
     space that follows it, so a text falls into independent units at such
-    spaces; units repeat and are cached. Texts with white space before a
-    space, with control or special strings or other scripts are encoded whole.
+    spaces; units repeat and are cached, and so are the pre-tokens of units,
+    which a rank-based encoder over the file's own vocabulary turns to ids.
+    Texts with white space before a space, with control or special strings or
+    other scripts are encoded whole by the tokenizer.
     """
 
     def __init__(self, path: str, cache: int = CACHE_UNITS):
@@ -57,7 +87,24 @@ class TokenIds:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        encode = self.encode
+        encode, ranks = self.encode, _byte_ranks(path)
+        if ranks:
+            import regex
+            import tiktoken
+            single = tiktoken.Encoding("file", pat_str=_PRE, mergeable_ranks=ranks,
+                                       special_tokens={})._core_bpe.encode_single_piece
+            split = regex.compile(_PRE).findall
+
+            class PreTokens(dict):
+                def __missing__(self, token):
+                    ids = np.array(single(token.encode()), "<u4").tobytes()
+                    if len(self) < cache:
+                        self[token] = ids
+                    return ids
+            known = PreTokens().__getitem__
+
+            def encode(text):
+                return b"".join(map(known, split(text)))
 
         class Units(dict):
             def __missing__(self, unit):
