@@ -1,0 +1,74 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+CHAT = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+    SELECT *, regexp_replace(text, '([<\[])(\\*/?(?:s>|(?:INST|SYS|ROLE)\]))', '\1\\\2', 'g') AS safe,
+           regexp_replace(role, '([<\[])(\\*/?(?:s>|(?:INST|SYS|ROLE)\]))', '\1\\\2', 'g') AS safe_role
+    FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+           AS loss_sha256,
+       CAST(sum(length(safe) + 7 + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13
+                WHEN 'assistant' THEN 0 ELSE 13 + length(safe_role) END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_COMPONENTS = """
+, reach AS (
+    SELECT {id} AS a, {id} AS b FROM nodes
+    UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), parts AS (SELECT a AS {id}, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+MINHASH = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+                                 ELSE array_to_string(w[i:i + 4], ' ') END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0)
+), nodes AS (
+    SELECT t.doc_id, coalesce(c.n, 0) AS n
+    FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id) c USING (doc_id)
+), links AS (
+    SELECT p.a, p.b
+    FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+          FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+    JOIN nodes na ON na.doc_id = p.a JOIN nodes nb ON nb.doc_id = p.b
+    WHERE 100 * p.both >= 85 * (na.n + nb.n - p.both)
+)""" + _COMPONENTS.format(id="doc_id") + """
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM nodes JOIN parts USING (doc_id)
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE nodes AS (SELECT vec_id FROM embeddings),
+usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+)""" + _COMPONENTS.format(id="vec_id") + """
+SELECT p.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, p.vec_id = p.component_id AS kept
+FROM parts p LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) c USING (vec_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_embeddings": EMBEDDINGS,
+    "op6_chat_formatting": CHAT,
+    "op9_minhash": MINHASH,
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trafficgraph.llm import (chat, decontamination, embeddings, language, licenses, minhash,
                               packing, quality, tokencounts, urlfilter)
+from trafficgraph.llm.oracle import ORACLE
 from trafficgraph.session import ensure_checkpoint_dir
 
 
@@ -90,6 +91,8 @@ def op10_packing(spark, sf_dir):
     return packing.with_digest(pieces)
 
 
+__all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_token_counts": op2_token_counts,
@@ -102,5 +105,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
-
-ORACLE: dict[str, str] = {}
