@@ -60,3 +60,26 @@ def test_key_is_null_when_a_part_is_null(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2016-05-09 00:01:00' AS eventTime, "
                    "CAST(NULL AS STRING) AS id, true AS final")
     assert with_key(df, "id").first()["key"] is None
+
+
+def test_long_detector_numbers_stay_distinct(spark):
+    from trafficgraph.sources.binding import measurements_from_events
+    events = spark.sql("SELECT TIMESTAMP_NTZ'2016-05-09 00:00:00' AS ts, id AS user_id, 1.0D AS value "
+                       "FROM VALUES (7L), (12345678901L), (12345678902L), (1234567890L) AS t(id)")
+    got = [r["detectorId"] for r in measurements_from_events(events).collect()]
+    assert sorted(got) == ["D0000000007", "D1234567890", "D12345678901", "D12345678902"]
+
+
+def test_conform_raises_on_a_missing_column(spark):
+    from trafficgraph.schemas import EDGE_SCHEMA
+    from trafficgraph.sources import conform
+    with pytest.raises(Exception, match="dst"):
+        conform(spark.sql("SELECT 'A' AS src"), EDGE_SCHEMA).count()
+
+
+def test_components_stop_when_nothing_moves(spark, monkeypatch):
+    from trafficgraph.operators import ComponentsDidNotConverge, components
+    df = spark.createDataFrame([(1, 2), (2, 3)], "src int, dst int")
+    monkeypatch.setattr(components, "_small_star", lambda o, k, hot=None: df.selectExpr("dst _hi", "src _lo"))
+    with pytest.raises(ComponentsDidNotConverge):
+        components.connected_components(df, keys=())

@@ -1,8 +1,7 @@
 """Scalar ``Column`` functions."""
 
-from trafficgraph.functions.congestion import congestion_class, congestion_class_sql
-from trafficgraph.functions.distance import proximity_distance, proximity_distance_sql
+from trafficgraph.functions.congestion import congestion_class
+from trafficgraph.functions.distance import proximity_distance
 from trafficgraph.functions.output import to_key_value, update_key, with_key
 
-__all__ = ["congestion_class", "congestion_class_sql", "proximity_distance",
-           "proximity_distance_sql", "to_key_value", "update_key", "with_key"]
+__all__ = ["congestion_class", "proximity_distance", "to_key_value", "update_key", "with_key"]

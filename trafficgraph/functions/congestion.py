@@ -32,13 +32,3 @@ def congestion_class(free_flow: Column | str = "vFreeflowMin",
     for k, upper in enumerate(ts[1:], start=1):
         expr = expr.when(diff < F.lit(upper), F.lit(k))
     return expr.otherwise(F.lit(len(ts))).cast("int")
-
-
-def congestion_class_sql(free_flow: str = "vFreeflowMin", speed: str = "averageSpeed",
-                         thresholds: Sequence[float] = CONGESTION_THRESHOLDS) -> str:
-    """The same rule as an ANSI ``CASE`` (used by the DuckDB oracle)."""
-    ts = [float(t) for t in thresholds]
-    diff = f"({free_flow} - {speed})"
-    parts = [f"WHEN {diff} IS NULL THEN NULL", f"WHEN {diff} <= {ts[0]!r} THEN 0"]
-    parts += [f"WHEN {diff} < {u!r} THEN {k}" for k, u in enumerate(ts[1:], start=1)]
-    return "CAST(CASE " + " ".join(parts) + f" ELSE {len(ts)} END AS INTEGER)"

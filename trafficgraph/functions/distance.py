@@ -23,10 +23,3 @@ def proximity_distance(src: Column | str = "src", dst: Column | str = "dst",
     return (F.when(s == d, F.lit(0.0))
             .when(w == F.lit(0.0), F.lit(float("inf")))
             .otherwise(F.lit(1.0) - proximity))
-
-
-def proximity_distance_sql(src: str = "src", dst: str = "dst", weight: str = "weight") -> str:
-    """The same rule as an ANSI ``CASE`` (used by the DuckDB oracle)."""
-    w = f"CAST({weight} AS DOUBLE)"
-    return (f"CASE WHEN {src} = {dst} THEN 0.0 WHEN {w} = 0.0 THEN CAST('inf' AS DOUBLE) "
-            f"ELSE 1.0 - (1.0 - 1.0 / {w}) END")

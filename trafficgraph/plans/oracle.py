@@ -8,15 +8,24 @@ quadratic in component size, which is fine for the correctness scale.
 
 from __future__ import annotations
 
-from trafficgraph.constants import (CONGESTION_CLASS_THRESHOLD, DENGRAPH_EPSILON, DENGRAPH_ETA,
-                                    NOISE_CLUSTER_ID)
-from trafficgraph.functions.congestion import congestion_class_sql
-from trafficgraph.functions.distance import proximity_distance_sql
-from trafficgraph.sources.binding import DETECTOR_DIGITS, DETECTOR_PREFIX, FREE_FLOW_KMH, RAMP_EVERY
-
+# The rules below are written out as SQL on purpose: nothing is taken from the
+# code under test, so a wrong threshold, radius or id there shows as a difference.
 
 def _det(col: str) -> str:
-    return f"('{DETECTOR_PREFIX}' || lpad(CAST({col} AS VARCHAR), {DETECTOR_DIGITS}, '0'))"
+    digits = f"CAST({col} AS VARCHAR)"
+    return f"('D' || CASE WHEN length({digits}) < 10 THEN lpad({digits}, 10, '0') ELSE {digits} END)"
+
+
+_CLASS = """CAST(CASE WHEN vFreeflowMin - averageSpeed IS NULL THEN NULL
+  WHEN vFreeflowMin - averageSpeed <= 0 THEN 0 WHEN vFreeflowMin - averageSpeed < 5 THEN 1
+  WHEN vFreeflowMin - averageSpeed < 10 THEN 2 WHEN vFreeflowMin - averageSpeed < 15 THEN 3
+  WHEN vFreeflowMin - averageSpeed < 20 THEN 4 WHEN vFreeflowMin - averageSpeed < 25 THEN 5
+  WHEN vFreeflowMin - averageSpeed < 30 THEN 6 WHEN vFreeflowMin - averageSpeed < 35 THEN 7
+  WHEN vFreeflowMin - averageSpeed < 40 THEN 8 WHEN vFreeflowMin - averageSpeed < 45 THEN 9
+  WHEN vFreeflowMin - averageSpeed < 50 THEN 10 ELSE 11 END AS INTEGER)"""
+
+_DISTANCE = """CASE WHEN src = dst THEN 0.0 WHEN weight = 0.0 THEN CAST('inf' AS DOUBLE)
+  ELSE 1.0 - (1.0 - 1.0 / weight) END"""
 
 
 def _edge_select(step: int, extra: str = "") -> str:
@@ -27,19 +36,18 @@ def _edge_select(step: int, extra: str = "") -> str:
 
 
 def _ctes(bucket: str = "day") -> str:
-    cls = congestion_class_sql()
-    dist = proximity_distance_sql("src", "dst", "weight")
+    cls, dist = _CLASS, _DISTANCE
     return f"""
 users AS (SELECT DISTINCT user_id AS u FROM events WHERE user_id IS NOT NULL),
 road_edges AS (
   {_edge_select(1)}
   UNION ALL
-  {_edge_select(RAMP_EVERY, f" WHERE a.u % {RAMP_EVERY} = 0")}),
+  {_edge_select(10, " WHERE a.u % 10 = 0")}),
 measurements AS (
   SELECT CAST(date_trunc('{bucket}', ts) AS TIMESTAMP) AS eventTime, {_det('user_id')} AS detectorId,
-         'R1' AS road, CAST(user_id AS INTEGER) AS kmRef, 1 AS detectorNumber, 0 AS flowIn,
+         'R1' AS road, 0 AS kmRef, 1 AS detectorNumber, 0 AS flowIn,
          CAST(floor(value) AS INTEGER) AS averageSpeed, CAST(value AS DOUBLE) AS density,
-         CAST({FREE_FLOW_KMH!r} AS DOUBLE) AS vFreeflowMin, 0 AS congestionClass
+         CAST(70.0 AS DOUBLE) AS vFreeflowMin, 0 AS congestionClass
   FROM events),
 valid AS (SELECT * FROM measurements WHERE eventTime IS NOT NULL AND detectorId IS NOT NULL),
 road_vertices AS (SELECT src AS id FROM road_edges UNION SELECT dst FROM road_edges),
@@ -53,7 +61,7 @@ on_edges AS (
   WHERE c.eventTime IS NOT NULL AND c.detectorId IS NOT NULL),
 congested_edges AS (
   SELECT eventTime, srcNumericId AS src, dstNumericId AS dst FROM on_edges
-  WHERE congestionClassStreaming >= {CONGESTION_CLASS_THRESHOLD}),
+  WHERE congestionClassStreaming >= 5),
 cc_und AS (SELECT eventTime, src AS a, dst AS b FROM congested_edges
            UNION SELECT eventTime, dst, src FROM congested_edges),
 cc_reach(eventTime, v, r) AS (
@@ -68,12 +76,12 @@ weighted AS (
   FROM valid v JOIN road_edges e ON v.detectorId = e.dst),
 weighted_d AS (SELECT *, {dist} AS distance FROM weighted),
 pair_dist AS (SELECT eventTime, src, dst, min(distance) AS distance FROM weighted_d GROUP BY eventTime, src, dst),
-eps_edges AS (SELECT * FROM pair_dist WHERE distance <= {DENGRAPH_EPSILON!r}),
+eps_edges AS (SELECT * FROM pair_dist WHERE distance <= 0.035),
 nb AS (SELECT eventTime, src AS vertexId, dst AS neighbourId FROM eps_edges
        UNION ALL SELECT eventTime, dst, src FROM eps_edges WHERE src <> dst),
 nb_size AS (SELECT eventTime, vertexId, CAST(count(*) AS INTEGER) AS neighbourhoodSize
             FROM nb GROUP BY eventTime, vertexId),
-core AS (SELECT * FROM nb_size WHERE neighbourhoodSize >= {DENGRAPH_ETA}),
+core AS (SELECT * FROM nb_size WHERE neighbourhoodSize >= 2),
 core_und AS (
   SELECT nb.eventTime, nb.vertexId AS a, nb.neighbourId AS b FROM nb
   JOIN core c1 ON nb.eventTime = c1.eventTime AND nb.vertexId = c1.vertexId
@@ -94,7 +102,7 @@ cluster_rank AS (
          CAST(dense_rank() OVER (PARTITION BY eventTime ORDER BY minCore) - 1 AS INTEGER) AS clusterId
   FROM (SELECT DISTINCT eventTime, minCore FROM core_label) q),
 clusters AS (
-  SELECT COALESCE(r.clusterId, {NOISE_CLUSTER_ID}) AS clusterId, en.eventTime, true AS final, en.vertexId,
+  SELECT COALESCE(r.clusterId, -1) AS clusterId, en.eventTime, true AS final, en.vertexId,
          CASE WHEN cl.minCore IS NOT NULL THEN 'CORE' WHEN b.borderOf IS NOT NULL THEN 'BORDER'
               ELSE 'NOISE' END AS vertexType
   FROM ends en
@@ -121,6 +129,9 @@ _FINAL_SELECTS = {
     "epsilon_edges": "SELECT * FROM eps_edges",
     "congested_components": "SELECT eventTime, vertexId, componentId FROM cc",
     "components_decoded": "SELECT * FROM cc_decoded",
+    "components_by_sql": """
+SELECT eventTime, componentId, count(*) AS vertices, min(id) AS firstId, max(id) AS lastId
+FROM cc_decoded GROUP BY eventTime, componentId""",
     "component_map_exploded": "SELECT componentId, eventTime, final, vertexId FROM cc",
     "dengraph_neighborhood": "SELECT * FROM nb_size",
     "dengraph_core": "SELECT * FROM core",

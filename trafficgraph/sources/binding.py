@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficgraph.operators.materialize import materialize
 from trafficgraph.sources.conform import conform
 from trafficgraph.schemas import EDGE_SCHEMA, MEASUREMENT_SCHEMA
 
@@ -26,8 +27,11 @@ FREE_FLOW_KMH = 70.0
 
 
 def detector_id(user: Column) -> Column:
-    return F.concat(F.lit(DETECTOR_PREFIX),
-                    F.lpad(user.cast("string"), DETECTOR_DIGITS, "0"))
+    """Prefix and number, zero-padded to ``DETECTOR_DIGITS``; longer numbers are kept whole."""
+    digits = user.cast("string")
+    padded = F.when(F.length(digits) < DETECTOR_DIGITS,
+                    F.lpad(digits, DETECTOR_DIGITS, "0")).otherwise(digits)
+    return F.concat(F.lit(DETECTOR_PREFIX), padded)
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,9 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_from_events(events: DataFrame) -> DataFrame:
     """The chain-with-ramps road graph over all detectors in ``events``."""
-    users = events.where(F.col("user_id").isNotNull()).select(F.col("user_id").alias("u")).distinct()
+    # Written once: the two self-joins read it four times.
+    users = materialize(events.where(F.col("user_id").isNotNull())
+                        .select(F.col("user_id").alias("u")).distinct())
     a = users.alias("a")
     chain = (a.join(users.alias("b"), F.col("b.u") == F.col("a.u") + F.lit(1))
              .select(F.col("a.u").alias("su"), F.col("b.u").alias("du")))
@@ -62,7 +68,7 @@ def measurements_from_events(events: DataFrame, bucket: str = "day") -> DataFram
         F.date_trunc(bucket, F.col("ts")).cast("timestamp").alias("eventTime"),
         detector_id(F.col("user_id")).alias("detectorId"),
         F.lit("R1").alias("road"),
-        F.col("user_id").cast("int").alias("kmRef"),
+        F.lit(0).alias("kmRef"),
         F.lit(1).alias("detectorNumber"),
         F.lit(0).alias("flowIn"),
         F.floor(F.col("value")).cast("int").alias("averageSpeed"),
