@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficgraph.operators.materialize import cached, drop_table, materialize, write_table
-from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
+from trafficgraph.operators.skew import (DEFAULT_HOT_ROWS, hot_keys, hot_threshold,
+                                         salted_join)
 
 
 class ComponentsDidNotConverge(RuntimeError):
@@ -55,16 +56,20 @@ def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
                                       F.sum(F.lit(1) - F.col("_as_lo")).alias("_nhi"))
 
 
-def _round_stats(summary: DataFrame, hot_rows: int) -> tuple[int, int]:
+def _round_stats(summary: DataFrame, hot_rows: int) -> tuple[int, int, int, tuple]:
     """One action: vertices that break the star-forest shape (0 means done:
-    none is both a centre and a leaf, none a leaf with two centres), and
-    vertices whose rows make a join key hot."""
+    none is both a centre and a leaf, none a leaf with two centres), vertices
+    whose rows make a join key hot, the row count that makes them so, and a
+    fingerprint of the round."""
     leaf = F.col("_cmin").isNotNull()
     bad = (F.col("_cmin") != F.col("_cmax")) | (leaf & (F.col("_l") == 1))
     hot = (F.col("_nlo") > F.lit(hot_rows)) | (F.col("_nhi") > F.lit(hot_rows))
-    row = summary.agg(F.count(F.when(bad, 1)).alias("bad"),
-                      F.count(F.when(hot, 1)).alias("hot")).first()
-    return int(row["bad"]), int(row["hot"])
+    same = F.xxhash64(*summary.columns)
+    row = summary.agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(hot, 1)).alias("hot"),
+                      F.sum("_nlo").alias("rows"), F.count(F.lit(1)).alias("vertices"),
+                      F.bit_xor(same).alias("mark")).first()
+    return (int(row["bad"]), int(row["hot"]), hot_threshold(int(row["rows"] or 0), hot_rows),
+            (row["rows"], row["vertices"], row["mark"]))
 
 
 def _large_star(o: DataFrame, summary: DataFrame, k: list[str],
@@ -91,7 +96,7 @@ def _small_star(o: DataFrame, k: list[str], hot: DataFrame | None = None) -> Dat
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          keys: Sequence[str] = ("eventTime",), vertex: str = "vertexId",
-                         component: str = "componentId", max_rounds: int = 200,
+                         component: str = "componentId",
                          hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """Label the undirected connected components of each keyed graph.
 
@@ -111,27 +116,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                                 F.least("_a", "_b").alias("_lo")).distinct())
     cur, release = base.where(F.col("_hi") != F.col("_lo")), _chain()
     spent: list[str] = []      # round tables no frame reads once the next round is summarised
-    rounds = 0
+    last = None
     while True:
         summary, release_summary = cached(_vertex_summary(cur, k))
         # The check caches the summary that the next large-star reads; each
         # round's edge set is a table in the checkpoint folder.
-        bad, n_hot = _round_stats(summary, hot_rows)
+        bad, n_hot, hot_from, mark = _round_stats(summary, hot_rows)
         release()
         while len(spent) > 1:
             drop_table(edges.sparkSession, spent.pop(0))
         if bad == 0:
             break
-        if rounds >= max_rounds:
+        if mark == last:       # a round that changed nothing would go on forever
             release_summary()
-            raise ComponentsDidNotConverge(f"no star forest after {max_rounds} rounds")
-        hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_rows) if n_hot else None
-        hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_rows).withColumnRenamed("_u", "_hi")
+            raise ComponentsDidNotConverge(f"{bad} vertices break the star forest and no edge moves")
+        last = mark
+        hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_from) if n_hot else None
+        hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_from).withColumnRenamed("_u", "_hi")
                   if n_hot else None)
         cur, path = write_table(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
         spent.append(path)
         release = release_summary
-        rounds += 1
     # A star forest centred on minima: each vertex's label is the smaller of
     # itself and its smallest neighbour. Vertices seen only on self-loops
     # are their own component.

@@ -33,7 +33,8 @@ from trafficgraph.functions.distance import proximity_distance
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.materialize import materialize
 from trafficgraph.operators.numbering import dense_number
-from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
+from trafficgraph.operators.skew import (DEFAULT_HOT_ROWS, hot_keys, hot_threshold,
+                                         salted_join)
 
 
 def with_distance(weighted: DataFrame, src: str = "src", dst: str = "dst",
@@ -106,17 +107,20 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
     # Read the input once: the checks, the components rounds and the final
     # labelling all start from this table in the checkpoint folder.
     pairs = materialize(pairs.select(*k, src, dst, distance))
-    # A vertex has at most 2 * pairs neighbour rows and a cluster's load
-    # bound below is at most 4 * pairs: small inputs skip the hot-key checks
-    # (the count reads parquet metadata only).
-    may_be_hot = 4 * pairs.count() > hot_rows
-    nb = neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst)
-    sizes = neighbourhood_sizes(nb, k)
+    # A vertex has at most 2 * pairs neighbour rows and a cluster at most
+    # 2 * pairs vertices: small inputs skip the hot-key checks (the count
+    # reads parquet metadata only).
+    n_pairs = pairs.count()
+    hot_from = hot_threshold(2 * n_pairs, hot_rows)
+    may_be_hot = 2 * n_pairs > hot_rows
+    # Neighbour rows and sizes are each used several times: written once.
+    nb = materialize(neighbour_rows(pairs.where(F.col(distance) <= F.lit(eps)), k, src, dst))
+    sizes = materialize(neighbourhood_sizes(nb, k))
     core = sizes.where(F.col("neighbourhoodSize") >= F.lit(int(eta))).select(*k, "vertexId")
     # Neighbour rows are symmetric: a vertex has as many rows as neighbour.
     # One scalar action decides whether any vertex is hot; usually none is
     # and the joins stay plain.
-    hot_v = (_if_any(hot_keys(sizes, [*k, "vertexId"], "neighbourhoodSize", hot_rows))
+    hot_v = (_if_any(hot_keys(sizes, [*k, "vertexId"], "neighbourhoodSize", hot_from))
              if may_be_hot else None)
     hot_n = None if hot_v is None else hot_v.withColumnRenamed("vertexId", "neighbourId")
 
@@ -126,43 +130,37 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
     def by_neighbour(big, small, how):
         return salted_join(big, small, [*k, "neighbourId"], hot_n, ["vertexId"], how)
 
-    # Clusters: components of cores over core-core rows; every core also
-    # enters as a self-loop so that isolated cores form their own cluster.
-    core_rows = by_neighbour(by_vertex(nb, core, "left_semi"),
+    # Clusters: components of cores over core-core rows, one direction of each;
+    # every core also enters as a self-loop so that isolated cores form their
+    # own cluster.
+    one_way = nb.where(F.col("vertexId") < F.col("neighbourId"))
+    core_rows = by_neighbour(by_vertex(one_way, core, "left_semi"),
                              core.withColumnRenamed("vertexId", "neighbourId"), "left_semi")
     cc_in = (core_rows.select(*k, "vertexId", "neighbourId")
              .unionByName(core.select(*k, "vertexId", F.col("vertexId").alias("neighbourId"))))
-    core_labels = connected_components(cc_in, "vertexId", "neighbourId", k,
-                                       vertex="vertexId", component="_minCore",
-                                       hot_rows=hot_rows)
-
+    core_labels = materialize(connected_components(cc_in, "vertexId", "neighbourId", k,
+                                                   vertex="vertexId", component="_cluster",
+                                                   hot_rows=hot_rows))
     border = (by_neighbour(by_vertex(nb, core, "left_anti"),
-                           core_labels.select(*k, F.col("vertexId").alias("neighbourId"),
-                                              "_minCore"), "inner")
-              .groupBy(*k, "vertexId").agg(F.min("_minCore").alias("_borderOf")))
-
+                           core_labels.withColumnRenamed("vertexId", "neighbourId"), "inner")
+              .groupBy(*k, "vertexId").agg(F.min("_cluster").alias("_cluster")))
+    # Only vertices with a cluster meet the ranks; noise is added by a union, so
+    # no join ever has the (null) key that most vertices would share.
+    clustered = materialize(core_labels.withColumn("vertexType", F.lit(CORE))
+                            .unionByName(border.withColumn("vertexType", F.lit(BORDER))))
+    ranks = dense_number(core_labels.select(*k, "_cluster").distinct(), "_cluster", k, name="_rank")
+    hot_c = None
+    if may_be_hot:
+        load = clustered.groupBy(*k, "_cluster").agg(F.count(F.lit(1)).alias("_rows"))
+        hot_c = _if_any(hot_keys(load, [*k, "_cluster"], "_rows", hot_from))
+    ranked = (salted_join(clustered, ranks, [*k, "_cluster"], hot_c, ["vertexId"])
+              .select((F.col("_rank") - F.lit(1)).cast("int").alias("clusterId"), *k, "vertexId",
+                      "vertexType"))
     ends = (pairs.select(*k, F.col(src).alias("vertexId"))
             .unionByName(pairs.select(*k, F.col(dst).alias("vertexId")))
             .where(F.col("vertexId").isNotNull())
             .distinct())
-    typed = (ends.join(core_labels, [*k, "vertexId"], "left")
-             .join(border, [*k, "vertexId"], "left")
-             .select(*k, "vertexId",
-                     F.when(F.col("_minCore").isNotNull(), F.lit(CORE))
-                     .when(F.col("_borderOf").isNotNull(), F.lit(BORDER))
-                     .otherwise(F.lit(NOISE)).alias("vertexType"),
-                     F.coalesce(F.col("_minCore"), F.col("_borderOf")).alias("_cluster")))
-
-    ranks = dense_number(core_labels.select(*k, F.col("_minCore").alias("_cluster")).distinct(),
-                         "_cluster", k, name="_rank")
-    # A cluster holding a large share of all vertices is a hot key here. Its
-    # rows are at most its cores plus their neighbour rows (every border
-    # vertex neighbours one of its cores): a bound from data already at hand.
-    load = (core_labels.join(sizes, [*k, "vertexId"])
-            .groupBy(*k, F.col("_minCore").alias("_cluster"))
-            .agg(F.sum(F.col("neighbourhoodSize") + F.lit(1)).alias("_rows")))
-    hot_c = _if_any(hot_keys(load, [*k, "_cluster"], "_rows", hot_rows)) if may_be_hot else None
-    return (salted_join(typed, ranks, [*k, "_cluster"], hot_c, ["vertexId"], "left")
-            .select(F.coalesce(F.col("_rank") - F.lit(1), F.lit(NOISE_CLUSTER_ID))
-                    .cast("int").alias("clusterId"),
-                    *k, "vertexId", "vertexType"))
+    noise = (ends.join(clustered.select(*k, "vertexId"), [*k, "vertexId"], "left_anti")
+             .select(F.lit(NOISE_CLUSTER_ID).cast("int").alias("clusterId"), *k, "vertexId",
+                     F.lit(NOISE).alias("vertexType")))
+    return ranked.unionByName(noise)

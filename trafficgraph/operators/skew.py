@@ -4,7 +4,8 @@ A key with more than ``hot_rows`` rows on the large side is *hot*. Each of
 its rows gets a deterministic salt in ``[0, n)``, ``n = ceil(rows /
 hot_rows)``, and the key's row on the other side is repeated ``n`` times, so
 no task joins more than about ``hot_rows`` rows of one key. The hot-key table
-has at most ``total_rows / hot_rows`` entries, which bounds what is
+has at most ``total_rows / hot_rows`` entries, and ``hot_threshold`` raises the
+threshold with the rows so that it stays below ``MAX_HOT_KEYS``: a bounded
 broadcast. Adaptive skew-join handling does not apply here: the small sides
 are aggregates of their own shuffle, a plan shape it does not split.
 """
@@ -18,6 +19,15 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one task may join; above it the key is split.
 DEFAULT_HOT_ROWS = 1_000_000
+# Most keys that may be hot at once: the list of them is broadcast.
+MAX_HOT_KEYS = 20_000
+
+
+def hot_threshold(total_rows: int, hot_rows: int = DEFAULT_HOT_ROWS) -> int:
+    """Rows that make a key hot: ``hot_rows``, or more where the join is so large
+    that more than ``MAX_HOT_KEYS`` keys could reach it (a key's split then
+    grows with the whole join's rows, as its tasks do)."""
+    return max(int(hot_rows), total_rows // MAX_HOT_KEYS)
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str | Column,
