@@ -121,7 +121,7 @@ def test_hot_detector_placement_join_is_split(spark, skew_conf, tmp_path):
         [(f"D{i:03d}", f"D{i + 1:03d}", 0.0, 0.0, 1.0, 0.0, True, False) for i in range(200)],
         "src string, dst string, src_X double, src_Y double, dst_X double, dst_Y double, "
         "same_road boolean, is_dummy boolean")
-    g = RoadGraph.build(edges, broadcast_max_rows=1)
+    g = RoadGraph.build(edges, broadcast_max_bytes=1)
     rnd = random.Random(5)
     rows = [(T1, "D007" if i % 3 else f"D{rnd.randrange(1, 201):03d}", 10, 40.0, 70.0)
             for i in range(30_000)]

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import DEFAULT_BROADCAST_MAX_ROWS, materialize
-from trafficgraph.operators.vertices import road_vertices
+from trafficgraph.operators.materialize import (DEFAULT_BROADCAST_MAX_BYTES, Size, broadcast_within,
+                                                materialize, measured_size)
 from trafficgraph.operators.numbering import dense_number
+from trafficgraph.operators.vertices import road_vertices
 
 
 @dataclass
@@ -18,48 +19,50 @@ class RoadGraph:
 
     All three are written to the shared checkpoint folder once, so the
     batch jobs, the stream-static joins and the decode join read the same
-    numbers without recomputing them, and their row counts decide whether a
-    join may ship them whole to every executor.
+    numbers without recomputing them, and their measured sizes decide whether a
+    join may ship the columns it needs to every executor.
     """
 
     edges: DataFrame                # src, dst, ... (edge schema)
     ids: DataFrame | None           # numericId int, id string
     encoded: DataFrame | None       # edges + srcNumericId, dstNumericId
-    edge_count: int
-    vertex_count: int | None
-    broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS
+    sizes: dict[str, Size]
+    broadcast_max_bytes: int | None = DEFAULT_BROADCAST_MAX_BYTES
 
     @classmethod
     def build(cls, edges: DataFrame, src: str = "src", dst: str = "dst",
-              broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS,
+              broadcast_max_bytes: int | None = DEFAULT_BROADCAST_MAX_BYTES,
               with_ids: bool = True) -> "RoadGraph":
         """Materialise ``edges``; with ``with_ids`` also number and encode vertices."""
         e = materialize(edges)
         if not with_ids:
-            return cls(e, None, None, e.count(), None, broadcast_max_rows)
+            return cls(e, None, None, {"edges": measured_size(e)}, broadcast_max_bytes)
         numbered = dense_number(road_vertices(e, src, dst), "id", name="numericId")
         ids = materialize(numbered.select(F.col("numericId").cast("int").alias("numericId"), "id"))
-        n_vertices = ids.count()
-        small_ids = F.broadcast(ids) if _fits(n_vertices, broadcast_max_rows) else ids
+        id_size = measured_size(ids)
+        small_ids = broadcast_within(ids, id_size, broadcast_max_bytes)
         s = small_ids.select(F.col("id").alias("_sid"), F.col("numericId").alias("srcNumericId"))
         d = small_ids.select(F.col("id").alias("_did"), F.col("numericId").alias("dstNumericId"))
         encoded = materialize(e.join(s, F.col(src) == F.col("_sid")).drop("_sid")
                               .join(d, F.col(dst) == F.col("_did")).drop("_did"))
-        return cls(e, ids, encoded, encoded.count(), n_vertices, broadcast_max_rows)
+        size = measured_size(encoded)       # inner joins on every end: the edges again
+        sizes = {"edges": Size(size.rows, {c: size.widths[c] for c in e.columns}),
+                 "ids": id_size, "encoded": size}
+        return cls(e, ids, encoded, sizes, broadcast_max_bytes)
+
+    @property
+    def edge_count(self) -> int:
+        return self.sizes["edges"].rows
 
-    def side(self, which: str = "encoded") -> DataFrame:
-        """A static table for a join, hinted as broadcast when its size allows."""
+    def side(self, which: str = "encoded", *columns: str) -> DataFrame:
+        """Columns of a static table for a join, hinted as broadcast when their size allows."""
         df = getattr(self, which)
         if df is None:
             raise ValueError(f"graph was built without {which!r}")
-        n = self.vertex_count if which == "ids" else self.edge_count
-        return F.broadcast(df) if _fits(n, self.broadcast_max_rows) else df
+        return broadcast_within(df.select(*columns) if columns else df, self.sizes[which],
+                                self.broadcast_max_bytes)
 
     def decode(self, df: DataFrame, vertex: str = "vertexId") -> DataFrame:
         """Add the string ``id`` of a numeric vertex column (inner join)."""
         ids = self.side("ids")
         return df.join(ids, F.col(vertex) == ids["numericId"]).drop("numericId")
-
-
-def _fits(n: int, max_rows: int | None) -> bool:
-    return max_rows is not None and max_rows > 0 and n <= max_rows

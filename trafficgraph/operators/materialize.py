@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from trafficgraph.session import checkpoint_dir
 
-# Largest static side (rows) that is shipped whole to every executor.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+# Largest static side that is shipped whole to every executor, and what a row
+# takes besides its values.
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
+ROW_BYTES = 32
 
 
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
@@ -89,15 +92,39 @@ def cached(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return kept, release
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows``.
+def path_exists(spark, path: str) -> bool:
+    """Whether a folder or file is there; other errors are raised."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+@dataclass(frozen=True)
+class Size:
+    """Rows of a table and the bytes that one row takes at most, by column."""
+    rows: int
+    widths: dict[str, int]
+
+    def bytes_of(self, columns: list[str]) -> int:
+        return self.rows * (ROW_BYTES + sum(self.widths[c] for c in columns))
+
+
+def measured_size(df: DataFrame) -> Size:
+    """Exact row count and largest widths (one action over a written table)."""
+    text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.max(F.octet_length(c)).alias(c) for c in text]).first()
+    widths = {f.name: 8 + (int(row[f.name] or 0) if f.name in text else 0) for f in df.schema.fields}
+    return Size(int(row["_rows"]), widths)
+
+
+def broadcast_within(df: DataFrame, size: Size, max_bytes: int | None) -> DataFrame:
+    """Hint a broadcast only if all rows of ``df``'s columns fit ``max_bytes``.
 
-    Beyond the bound the frame is returned as is: the join then shuffles both
-    sides on the key (and adaptive execution may still split skewed keys or
-    switch to a broadcast from runtime sizes). ``max_rows=None`` never hints.
+    ``size`` was measured on the table that ``df`` selects from. Beyond the
+    bound the frame is returned as is: the join then shuffles both sides on the
+    key, and adaptive execution may still split skewed keys.
     """
-    if max_rows is None or max_rows <= 0:
-        return df
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if max_bytes and size.bytes_of(df.columns) <= max_bytes:
         return F.broadcast(df)
     return df

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small
-
 
 def place_on_edges(measurements: DataFrame, edges: DataFrame, detector: str = "detectorId",
-                   dst: str = "dst",
-                   broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Inner join ``detector = dst``: one row per measurement and in-edge.
+                   dst: str = "dst", how: str = "inner") -> DataFrame:
+    """Join ``detector = dst``: one row per measurement and in-edge.
 
-    Sensors without an in-edge drop out. The static edge side is broadcast
-    when its row count is under the bound, so a sensor holding a large share
-    of all measurements causes no skewed shuffle; above the bound the join
-    shuffles and adaptive execution splits skewed keys. Works for a streaming
-    ``measurements`` frame as well (stream-static join).
+    With ``how="inner"`` sensors without an in-edge drop out; with ``"left"``
+    they keep one row without an edge. ``edges`` comes from
+    ``RoadGraph.side``, broadcast when its measured size is under the bound, so
+    a sensor holding a large share of all measurements causes no skewed
+    shuffle; above the bound the join shuffles and adaptive execution splits
+    skewed keys. Works for a streaming ``measurements`` frame as well.
     """
-    side = broadcast_if_small(edges, broadcast_max_rows)
-    return measurements.join(side, F.col(detector) == side[dst], "inner")
+    return measurements.join(edges, F.col(detector) == edges[dst], how)

@@ -1,11 +1,10 @@
-"""Vertex table of the road graph and numeric vertex ids (encode / decode)."""
+"""Vertex table of the road graph and numeric vertex ids (encode / decode: ``RoadGraph``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import DEFAULT_BROADCAST_MAX_ROWS, broadcast_if_small
 from trafficgraph.operators.numbering import dense_number
 
 
@@ -25,20 +24,3 @@ def vertex_numeric_ids(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     """
     numbered = dense_number(road_vertices(edges, src, dst), "id", name="numericId")
     return numbered.select(F.col("numericId").cast("int").alias("numericId"), "id")
-
-
-def encode_edges(edges: DataFrame, ids: DataFrame, src: str = "src", dst: str = "dst",
-                 broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Edges plus ``srcNumericId`` and ``dstNumericId`` (inner joins on id)."""
-    small = broadcast_if_small(ids, broadcast_max_rows)
-    s = small.select(F.col("id").alias("_sid"), F.col("numericId").alias("srcNumericId"))
-    d = small.select(F.col("id").alias("_did"), F.col("numericId").alias("dstNumericId"))
-    return (edges.join(s, F.col(src) == F.col("_sid")).drop("_sid")
-            .join(d, F.col(dst) == F.col("_did")).drop("_did"))
-
-
-def decode_vertices(df: DataFrame, ids: DataFrame, vertex: str = "vertexId",
-                    broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Add the string ``id`` of a numeric vertex column (inner join)."""
-    small = broadcast_if_small(ids, broadcast_max_rows)
-    return (df.join(small, F.col(vertex) == F.col("numericId")).drop("numericId"))

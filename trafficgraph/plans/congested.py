@@ -14,7 +14,7 @@ from trafficgraph.functions.output import with_key
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.graph import RoadGraph
 from trafficgraph.operators.placement import place_on_edges
-from trafficgraph.sources.measurements import valid_measurements
+from trafficgraph.sources.measurements import bucketed, valid_measurements
 
 CLASS_COLUMN = "congestionClassStreaming"
 
@@ -29,7 +29,7 @@ def measurements_on_edges(measurements: DataFrame, graph: RoadGraph,
                           thresholds: Sequence[float] = CONGESTION_THRESHOLDS) -> DataFrame:
     """Classed measurements joined to every id-encoded edge ending at their sensor."""
     m = with_congestion_class(valid_measurements(measurements), thresholds)
-    return place_on_edges(m, graph.side("encoded"), broadcast_max_rows=None)
+    return place_on_edges(m, graph.side("encoded"))
 
 
 def congested_edges(measurements: DataFrame, graph: RoadGraph,
@@ -43,8 +43,7 @@ def congested_edges(measurements: DataFrame, graph: RoadGraph,
     """
     m = with_congestion_class(valid_measurements(measurements), thresholds)
     m = m.where(F.col(CLASS_COLUMN) >= F.lit(int(threshold))).select("eventTime", "detectorId")
-    edges = graph.side("encoded").select("dst", "srcNumericId", "dstNumericId")
-    return (place_on_edges(m, edges, broadcast_max_rows=None)
+    return (place_on_edges(m, graph.side("encoded", "dst", "srcNumericId", "dstNumericId"))
             .select("eventTime", F.col("srcNumericId").alias("src"),
                     F.col("dstNumericId").alias("dst")))
 
@@ -57,6 +56,16 @@ def component_labels(cc_edges: DataFrame, final: bool = True) -> DataFrame:
                      F.col("vertexId").cast("int").alias("vertexId"))
 
 
+def register_views(graph: RoadGraph, result: "CongestedComponentsResult") -> list[str]:
+    """Temporary views for SQL over the job's tables; returns their names."""
+    views = {"road_edges": graph.edges, "vertex_ids": graph.ids, "congested_edges": result.edges,
+             "congested_components": result.decoded}
+    for name, df in views.items():
+        if df is not None:
+            df.createOrReplaceTempView(name)
+    return [name for name, df in views.items() if df is not None]
+
+
 @dataclass
 class CongestedComponentsResult:
     graph: RoadGraph
@@ -69,10 +78,13 @@ class CongestedComponentsResult:
 def congested_components(measurements: DataFrame, edges: DataFrame | RoadGraph,
                          threshold: int = CONGESTION_CLASS_THRESHOLD,
                          thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
-                         ) -> CongestedComponentsResult:
-    """The whole batch job, every event time at once."""
+                         bucket: str | None = None) -> CongestedComponentsResult:
+    """The whole batch job, every event time (truncated to ``bucket``) at once.
+
+    Call and consume it inside ``table_scope()`` to drop its tables and caches.
+    """
     graph = edges if isinstance(edges, RoadGraph) else RoadGraph.build(edges)
-    ce = congested_edges(measurements, graph, threshold, thresholds)
+    ce = congested_edges(bucketed(measurements, bucket), graph, threshold, thresholds)
     labels = component_labels(ce)
     decoded = graph.decode(labels)
     return CongestedComponentsResult(graph, ce, labels, decoded, with_key(decoded, "id"))

@@ -12,7 +12,7 @@ from trafficgraph.functions.output import with_key
 from trafficgraph.operators.density import dengraph_clusters, with_distance
 from trafficgraph.operators.graph import RoadGraph
 from trafficgraph.operators.placement import place_on_edges
-from trafficgraph.sources.measurements import valid_measurements
+from trafficgraph.sources.measurements import bucketed, valid_measurements
 
 
 def weighted_edges(measurements: DataFrame, edges: DataFrame | RoadGraph,
@@ -20,7 +20,7 @@ def weighted_edges(measurements: DataFrame, edges: DataFrame | RoadGraph,
     """``(eventTime, src, dst, weight)``: a measurement field on each in-edge."""
     graph = edges if isinstance(edges, RoadGraph) else RoadGraph.build(edges, with_ids=False)
     m = valid_measurements(measurements).select("eventTime", "detectorId", weight_field)
-    placed = place_on_edges(m, graph.side("edges").select("src", "dst"), broadcast_max_rows=None)
+    placed = place_on_edges(m, graph.side("edges", "src", "dst"))
     return placed.select("eventTime", "src", "dst", F.col(weight_field).cast("double").alias("weight"))
 
 
@@ -33,9 +33,13 @@ class DengraphResult:
 
 def dengraph(measurements: DataFrame, edges: DataFrame | RoadGraph,
              weight_field: str = DENGRAPH_WEIGHT_FIELD, eps: float = DENGRAPH_EPSILON,
-             eta: int = DENGRAPH_ETA, final: bool = True) -> DengraphResult:
-    """The whole batch job, every event time at once."""
-    w = weighted_edges(measurements, edges, weight_field)
+             eta: int = DENGRAPH_ETA, final: bool = True,
+             bucket: str | None = None) -> DengraphResult:
+    """The whole batch job, every event time (truncated to ``bucket``) at once.
+
+    Call and consume it inside ``table_scope()`` to drop its tables and caches.
+    """
+    w = weighted_edges(bucketed(measurements, bucket), edges, weight_field)
     c = dengraph_clusters(w, eps, eta, ["eventTime"])
     clusters = c.select("clusterId", "eventTime", F.lit(bool(final)).alias("final"),
                         "vertexId", "vertexType")

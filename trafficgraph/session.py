@@ -29,53 +29,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; create a local one only if unset.
+    """The session's checkpoint folder; on a local master, one of its own if unset.
 
-    Meant for tests and single-machine runs. A cluster names its shared folder
-    in ``spark.checkpoint.dir`` and that setting always wins.
+    A cluster names its shared folder in ``spark.checkpoint.dir``: without it
+    this raises, since executors would write tables to folders that the others
+    cannot see.
     """
     try:
         return checkpoint_dir(spark)
     except RuntimeError:
+        if not is_local(spark):
+            raise
         local = tempfile.mkdtemp(prefix="trafficgraph-ckpt-")
         spark.sparkContext.setCheckpointDir(local)
         return spark.sparkContext.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder (e.g. streaming state)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
-
-
-def ship_package(spark: SparkSession) -> str | None:
-    """Make this package importable in Python workers (``addPyFile``).
-
-    Needed only where Python runs inside tasks (the grouped-state streaming
-    functions). The archive is written once per application to the shared
-    checkpoint folder. Skipped when workers can already import the package.
-    """
-    import os
-    import zipfile
-
-    sc = spark.sparkContext
-    marker = "spark.trafficgraph.shipped"
-    if sc.getLocalProperty(marker) == "1" or spark.conf.get(marker, "0") == "1":
-        return None
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    base = checkpoint_dir(spark)
-    local_base = base[len("file:"):] if base.startswith("file:") else None
-    if local_base is None:
-        # Remote shared storage: build locally, then let Spark distribute it.
-        local_base = tempfile.mkdtemp(prefix="trafficgraph-pkg-")
-    path = os.path.join(local_base, "trafficgraph.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
-        for folder, _, files in os.walk(pkg_dir):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    spark.conf.set(marker, "1")
-    return path
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")

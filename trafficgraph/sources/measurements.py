@@ -36,3 +36,14 @@ def valid_measurements(df: DataFrame) -> DataFrame:
     speeds or densities are kept and yield null class / distance downstream.
     """
     return df.where(F.col("eventTime").isNotNull() & F.col("detectorId").isNotNull())
+
+
+def bucketed(df: DataFrame, bucket: str | None) -> DataFrame:
+    """Event times truncated to ``bucket`` (``"minute"``, ``"hour"``, ...; None: as they are).
+
+    For feeds whose records of one minute do not carry the same time stamp.
+    """
+    if bucket is None:
+        return df
+    kind = dict(df.dtypes)["eventTime"]
+    return df.withColumn("eventTime", F.date_trunc(bucket, F.col("eventTime")).cast(kind))
