@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 from model import components as model_components
 from model import dengraph as model_dengraph
 from trafficgraph.operators import connected_components, dengraph_clusters
-from trafficgraph.streaming.labels import component_labels, density_labels
 from trafficgraph.functions.distance import proximity_distance
 
 T1 = dt.datetime(2016, 5, 9, 0, 0)
@@ -34,7 +33,6 @@ def test_components_equal_model_and_order_free(spark, edges, seed):
     expected = model_components(edges)
     assert got[T1] == expected
     assert got[T2] == expected
-    assert component_labels(flipped) == expected
 
 
 pair_lists = st.lists(
@@ -53,10 +51,3 @@ def test_dengraph_equals_model(spark, pairs, eta):
     got = {r["vertexId"]: (r["vertexType"], r["clusterId"])
            for r in dengraph_clusters(df, eta=eta).collect()}
     assert got == expected
-    # the streaming helper applies the same rules to the smallest distance per pair
-    best = {}
-    for s, d, x in [(r[0], r[1], r[2]) for r in dist]:
-        if (s, d) not in best or (x is not None and (best[(s, d)] is None or x < best[(s, d)])):
-            best[(s, d)] = x
-    helper = density_labels([(s, d, x) for (s, d), x in best.items()], 0.035, eta)
-    assert {v: (t, c) for v, (c, t) in helper.items()} == expected

@@ -1,6 +1,4 @@
 """Distributed interim/final streaming (per-edge state + relabel in foreachBatch).
-
-Same replays as the grouped-state tests; the final labels must be the same.
 """
 
 import os
@@ -11,9 +9,8 @@ from pyspark.sql import functions as F
 from test_streaming import graph, row, write_files  # noqa: F401  (fixture)
 from trafficgraph.plans.congested import congested_components
 from trafficgraph.sources import read_measurements_csv, stream_measurements_csv
-from trafficgraph.streaming import (EdgeStoreRelabel, GraphTooLargeForGroupState,
-                                    relabel_congested_components, relabel_dengraph, start,
-                                    stream_congested_components)
+from trafficgraph.streaming import (EdgeStoreRelabel, relabel_congested_components,
+                                    relabel_dengraph, start)
 
 
 def batch_files_sink(path):
@@ -133,11 +130,46 @@ def test_replayed_batch_overwrites_its_store(spark, scratch):
     assert spark.read.parquet(os.path.join(scratch, "store", "edges")).count() == 2
 
 
-def test_group_state_bound_is_checked(spark, graph):
-    m = spark.createDataFrame([], "eventTime timestamp, detectorId string, averageSpeed int, "
-                                  "density double, vFreeflowMin double")
-    with pytest.raises(GraphTooLargeForGroupState):
-        stream_congested_components(m, graph, max_group_edges=graph.edge_count - 1)
+def _frame(spark, t, pairs):
+    return (spark.createDataFrame([(t, a, b) for a, b in pairs], "t string, src int, dst int")
+            .select(F.col("t").cast("timestamp").alias("eventTime"), "src", "dst"))
+
+
+def test_damaged_progress_fails_the_batch(spark, scratch):
+    store = os.path.join(scratch, "store")
+
+    def handler():
+        return EdgeStoreRelabel(store, ["eventTime", "src", "dst"],
+                                lambda e, final: e.withColumn("final", final),
+                                lambda out, b: out.count(), 30_000_000)
+    handler()(_frame(spark, "2016-05-09 00:10:00", [(1, 2)]), 0)
+    folder = os.path.join(store, "progress", "batchId=0")
+    for name in os.listdir(folder):
+        if name.endswith(".parquet") or name.endswith(".crc"):
+            with open(os.path.join(folder, name), "wb") as fh:
+                fh.write(b"damaged")
+    with pytest.raises(Exception):
+        handler()(_frame(spark, "2016-05-09 00:11:00", [(2, 3)]), 1)
+
+
+def test_touched_times_never_gather_an_event_time(spark, scratch):
+    plans = []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        h = EdgeStoreRelabel(os.path.join(scratch, "store"), ["eventTime", "src", "dst"],
+                             lambda e, final: e.withColumn("final", final),
+                             lambda out, b: plans.append(
+                                 (out.count(), out._jdf.queryExecution().executedPlan().toString())),
+                             30_000_000)
+        h(_frame(spark, "2016-05-09 00:10:00", [(1, 2), (2, 3)]), 0)
+        h(_frame(spark, "2016-05-09 00:20:00", [(1, 2)]), 1)
+        h(_frame(spark, "2016-05-09 00:30:00", [(1, 2)]), 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [n for n, _ in plans] == [2, 1, 3]
+    assert all("hashpartitioning(eventTime" not in p.split("BroadcastExchange")[0] and "SortMergeJoin" not in p
+               and p.count("/edges") <= 2 for _, p in plans)
 
 
 def test_restart_continues_from_progress_files(spark, scratch):

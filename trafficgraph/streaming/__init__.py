@@ -1,20 +1,19 @@
 """Structured Streaming: interim/final labels, finals at scale, sinks, monitoring."""
 
 from trafficgraph.streaming.finals import (clusters_handler, components_handler,
-                                           final_congested_edges, final_edge_distances)
-from trafficgraph.streaming.jobs import (GraphTooLargeForGroupState, stream_congested_components,
-                                         stream_dengraph, watermarked)
+                                           final_congested_edges, final_edge_distances,
+                                           marked_congested_edges, marked_edge_distances)
+from trafficgraph.streaming.jobs import interval_ms, watermarked
+from trafficgraph.streaming.listener import ProgressCollector, progress_record, query_progress
 from trafficgraph.streaming.relabel import (EdgeStoreRelabel, relabel_congested_components,
                                             relabel_dengraph)
-from trafficgraph.streaming.listener import ProgressCollector, progress_record, query_progress
-from trafficgraph.streaming.sinks import (console_writer, file_writer, kafka_options,
-                                          kafka_writer, parquet_batch_sink, start)
-from trafficgraph.streaming.stateful import (EVENT_TIMEOUT, PROCESSING_TIMEOUT, cluster_updates,
-                                             component_updates)
+from trafficgraph.streaming.sinks import (console_batch_sink, console_writer, file_writer,
+                                          kafka_batch_sink, kafka_options, kafka_writer,
+                                          parquet_batch_sink, start)
 
-__all__ = ["EVENT_TIMEOUT", "PROCESSING_TIMEOUT", "EdgeStoreRelabel", "GraphTooLargeForGroupState",
-           "ProgressCollector", "cluster_updates",
-           "clusters_handler", "component_updates", "components_handler", "console_writer",
-           "file_writer", "final_congested_edges", "final_edge_distances", "kafka_options",
-           "kafka_writer", "parquet_batch_sink", "progress_record", "query_progress", "relabel_congested_components", "relabel_dengraph", "start",
-           "stream_congested_components", "stream_dengraph", "watermarked"]
+__all__ = ["EdgeStoreRelabel", "ProgressCollector", "clusters_handler", "components_handler",
+           "console_batch_sink", "console_writer", "file_writer", "final_congested_edges",
+           "final_edge_distances", "interval_ms", "kafka_batch_sink", "kafka_options",
+           "kafka_writer", "marked_congested_edges", "marked_edge_distances",
+           "parquet_batch_sink", "progress_record", "query_progress",
+           "relabel_congested_components", "relabel_dengraph", "start", "watermarked"]

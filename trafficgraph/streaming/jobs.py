@@ -1,85 +1,30 @@
-"""The two streaming jobs: interim + final labels, keyed for a message bus."""
+"""The watermark and other settings shared by the streaming jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.constants import (CONGESTION_CLASS_THRESHOLD, CONGESTION_THRESHOLDS,
-                                    DENGRAPH_EPSILON, DENGRAPH_ETA, DENGRAPH_WEIGHT_FIELD,
-                                    FINAL_GRACE, WATERMARK_DELAY)
-from trafficgraph.functions.distance import proximity_distance
-from trafficgraph.functions.output import with_key
-from trafficgraph.operators.graph import RoadGraph
-from trafficgraph.plans.congested import congested_edges
-from trafficgraph.plans.dengraph import weighted_edges
-from trafficgraph.sources.measurements import valid_measurements
-from trafficgraph.streaming.stateful import EVENT_TIMEOUT, cluster_updates, component_updates
-
-# Largest road graph (edges) whose per-event-time edge set may be held by one
-# group of the grouped-state jobs. The state of a group is at most the edges
-# of the static graph, so this bound is proven by the graph's counted size.
-DEFAULT_MAX_GROUP_EDGES = 200_000
-
-
-class GraphTooLargeForGroupState(ValueError):
-    pass
-
-
-def _check_group_bound(graph: RoadGraph, max_group_edges: int | None) -> None:
-    if max_group_edges is not None and graph.edge_count > max_group_edges:
-        raise GraphTooLargeForGroupState(
-            f"road graph has {graph.edge_count} edges, above {max_group_edges} for one "
-            "group: use trafficgraph.streaming.relabel (per-edge state, distributed labels)")
+from trafficgraph.constants import WATERMARK_DELAY
+from trafficgraph.sources.measurements import bucketed, valid_measurements
 
 
-def watermarked(measurements: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
-    """Valid measurements with the event-time watermark set at the source.
+def watermarked(measurements: DataFrame, delay: str = WATERMARK_DELAY,
+                bucket: str | None = None) -> DataFrame:
+    """Valid measurements, event times truncated to ``bucket``, with the watermark.
 
-    Setting it here (not after the congestion filter) keeps the watermark
-    moving through calm periods, so finals keep coming out.
+    The optimizer moves a plain filter below the watermark, where calm rows
+    would no longer move it on. The jobs therefore filter nothing before their
+    aggregation: calm rows lose their edge instead (``finals``).
     """
     m = valid_measurements(measurements)
     if dict(m.dtypes)["eventTime"] != "timestamp":
         m = m.withColumn("eventTime", F.col("eventTime").cast("timestamp"))
-    return m.withWatermark("eventTime", delay)
+    return bucketed(m, bucket).withWatermark("eventTime", delay)
 
 
-def stream_congested_components(measurements: DataFrame, graph: RoadGraph,
-                                threshold: int = CONGESTION_CLASS_THRESHOLD,
-                                thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
-                                watermark_delay: str = WATERMARK_DELAY,
-                                grace: str = FINAL_GRACE,
-                                timeout: str = EVENT_TIMEOUT,
-                                max_group_edges: int | None = DEFAULT_MAX_GROUP_EDGES
-                                ) -> DataFrame:
-    """``componentId, eventTime, final, vertexId, id, key``; use output mode update.
-
-    One group per event time holds that event time's distinct congested
-    edges (at most the road graph's edges, checked against
-    ``max_group_edges``). Larger graphs: ``relabel_congested_components``.
-    """
-    _check_group_bound(graph, max_group_edges)
-    m = watermarked(measurements, watermark_delay)
-    ce = congested_edges(m, graph, threshold, thresholds)
-    updates = component_updates(ce, grace, timeout)
-    return with_key(graph.decode(updates), "id")
-
-
-def stream_dengraph(measurements: DataFrame, graph: RoadGraph,
-                    weight_field: str = DENGRAPH_WEIGHT_FIELD, eps: float = DENGRAPH_EPSILON,
-                    eta: int = DENGRAPH_ETA, watermark_delay: str = WATERMARK_DELAY,
-                    grace: str = FINAL_GRACE, timeout: str = EVENT_TIMEOUT,
-                    max_group_edges: int | None = DEFAULT_MAX_GROUP_EDGES) -> DataFrame:
-    """``clusterId, eventTime, final, vertexId, vertexType, key``; output mode update.
-
-    Same bound on the group state as ``stream_congested_components``; larger
-    graphs: ``relabel_dengraph``.
-    """
-    _check_group_bound(graph, max_group_edges)
-    m = watermarked(measurements, watermark_delay)
-    w = weighted_edges(m, graph, weight_field)
-    d = w.select("eventTime", "src", "dst", proximity_distance("src", "dst", "weight").alias("distance"))
-    return with_key(cluster_updates(d, eps, eta, grace, timeout), "vertexId")
+def interval_ms(spark, interval: str) -> int:
+    """Milliseconds of an interval string such as ``"30 seconds"``."""
+    row = spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP'1970-01-01 00:00:00 UTC' + "
+                    f"INTERVAL {interval}) / 1000 AS BIGINT) AS ms").first()
+    return int(row["ms"])

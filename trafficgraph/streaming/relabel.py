@@ -1,7 +1,6 @@
 """Interim and final labels at any graph size (per-edge state, distributed relabel).
 
-Same output as the grouped-state jobs, without gathering an event time in one
-task or group:
+No event time is gathered in one task or group:
 
 1. The stream is aggregated per ``(eventTime, src, dst)`` in **update** mode
    (partial aggregation map-side, state spread over all state partitions).
@@ -13,9 +12,9 @@ task or group:
    relabelled from the store with the distributed batch operators (connected
    components, DenGraph); all other event times are left alone.
 
-Final labels follow the grouped-state timeout: event time ``T`` is final in
-batch ``N`` when ``T + grace < M - delay``, where ``M`` is the largest event
-time of batches ``0 .. N-1`` (the watermark the timeout would see). Spark's
+Event time ``T`` is final in batch ``N`` when ``T + grace < M - delay``, where
+``M`` is the largest event time of batches ``0 .. N-1``, calm ones included
+(marker rows carry them). Spark's
 late-row filter then already rejects ``T`` (it lags by one batch, and
 ``T < M - delay``), so no row of ``T`` can arrive after its final. The
 running maximum is kept as one row per batch next to the store.
@@ -41,9 +40,12 @@ from trafficgraph.functions.output import with_key
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.density import clusters_from_distances
 from trafficgraph.operators.graph import RoadGraph
-from trafficgraph.operators.materialize import drop_table, table_scope
-from trafficgraph.streaming.finals import final_congested_edges, final_edge_distances
-from trafficgraph.streaming.stateful import interval_ms
+from trafficgraph.operators.materialize import drop_table, path_exists, table_scope
+from trafficgraph.streaming.finals import marked_congested_edges, marked_edge_distances
+from trafficgraph.streaming.jobs import interval_ms
+
+# Largest list of event times that one batch touched to be broadcast (16 MB at most).
+MAX_TOUCHED_TIMES = 500_000
 
 BatchSink = Callable[[DataFrame, int], None]
 # labels(edges of the relabelled event times, final column) -> output rows
@@ -89,10 +91,11 @@ class EdgeStoreRelabel:
         if batch_id < 0:
             return None, []
         if batch_id not in self._progress_rows:
-            try:
+            row = None           # no record: the batch never ran (fresh store)
+            if path_exists(spark, self._progress(batch_id)):
                 row = spark.read.schema(_PROGRESS).parquet(self._progress(batch_id)).first()
-            except Exception:  # no record: the batch never ran (fresh store)
-                row = None
+                if row is None:
+                    raise RuntimeError(f"empty progress record {self._progress(batch_id)}")
             self._progress_rows[batch_id] = (
                 (None, []) if row is None else
                 (row["maxMicros"], [(o["batchId"], o["minMicros"], o["maxMicros"])
@@ -136,13 +139,20 @@ class EdgeStoreRelabel:
                      .where(F.col("batchId") <= F.lit(batch_id)).drop("batchId"))
         else:
             store = spark.createDataFrame([], rows.schema)
-        times = this.select("eventTime")
+        # One read of the store: event times that became final by their own
+        # value, those that this batch touched by a broadcast of their list.
+        touched = this.select("eventTime").distinct().withColumn("_touched", F.lit(True))
+        n_touched = touched.count()
+        if n_touched <= MAX_TOUCHED_TIMES:
+            touched = F.broadcast(touched)
+        wanted = F.col("_touched").isNotNull()
         if cut is not None:
             newly_final = micros < F.lit(cut)
             if cut_before is not None:
                 newly_final = newly_final & (micros >= F.lit(cut_before))
-            times = times.unionByName(store.where(newly_final).select("eventTime"))
-        scope = store.join(times.distinct(), "eventTime", "left_semi")
+            wanted = wanted | newly_final
+        scope = (store.where(F.col("src").isNotNull()).join(touched, "eventTime", "left")
+                 .where(wanted).drop("_touched"))
         final = (micros < F.lit(cut)) if cut is not None else F.lit(False)
         with table_scope():                # the labels are consumed by the sink
             self.sink(self.labeller(scope, final), batch_id)
@@ -181,7 +191,8 @@ def relabel_congested_components(measurements: DataFrame, graph: RoadGraph, sink
                                  threshold: int = CONGESTION_CLASS_THRESHOLD,
                                  thresholds: Sequence[float] = CONGESTION_THRESHOLDS,
                                  watermark_delay: str = WATERMARK_DELAY,
-                                 grace: str = FINAL_GRACE) -> DataStreamWriter:
+                                 grace: str = FINAL_GRACE,
+                                 bucket: str | None = None) -> DataStreamWriter:
     """Congested components of every open event time, interim and final.
 
     ``sink(df, batch_id)`` receives ``componentId, eventTime, final, vertexId,
@@ -189,7 +200,8 @@ def relabel_congested_components(measurements: DataFrame, graph: RoadGraph, sink
     (``final = false``) or finalised in it (``final = true``). Start the
     returned writer; the edge store lives below ``checkpoint_location``.
     """
-    changed = final_congested_edges(measurements, graph, threshold, thresholds, watermark_delay)
+    changed = marked_congested_edges(measurements, graph, threshold, thresholds, watermark_delay,
+                                     bucket)
 
     def labels(edges: DataFrame, final: F.Column) -> DataFrame:
         cc = connected_components(edges, "src", "dst", ["eventTime"])
@@ -208,14 +220,14 @@ def relabel_dengraph(measurements: DataFrame, graph: RoadGraph, sink: BatchSink,
                      checkpoint_location: str, weight_field: str = DENGRAPH_WEIGHT_FIELD,
                      eps: float = DENGRAPH_EPSILON, eta: int = DENGRAPH_ETA,
                      watermark_delay: str = WATERMARK_DELAY,
-                     grace: str = FINAL_GRACE) -> DataStreamWriter:
+                     grace: str = FINAL_GRACE, bucket: str | None = None) -> DataStreamWriter:
     """DenGraph clusters of every open event time, interim and final.
 
     ``sink`` receives ``clusterId, eventTime, final, vertexId, vertexType, key``.
     The store keeps each pair's running smallest distance per batch; the
     relabel takes the smallest over batches.
     """
-    changed = final_edge_distances(measurements, graph, weight_field, watermark_delay)
+    changed = marked_edge_distances(measurements, graph, weight_field, watermark_delay, bucket)
 
     def labels(pairs: DataFrame, final: F.Column) -> DataFrame:
         best = pairs.groupBy("eventTime", "src", "dst").agg(F.min("distance").alias("distance"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trafficgraph.functions.output import to_key_value
@@ -34,16 +35,43 @@ def kafka_writer(df: DataFrame, bootstrap_servers: str, topic: str, checkpoint_l
                                                      checkpoint_location, **extra)))
 
 
-def parquet_batch_sink(path: str, partition_by: str = "final"):
+def console_batch_sink(rows: int = 20, truncate: bool = False):
+    """``foreachBatch`` sink printing up to ``rows`` key/value rows of each batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        print(f"-------- batch {int(batch_id)} --------")
+        to_key_value(batch).show(rows, truncate)
+    return write
+
+
+def kafka_batch_sink(bootstrap_servers: str, topic: str,
+                     timestamp_format: str = JSON_TIMESTAMP_FORMAT, **extra: str):
+    """``foreachBatch`` sink writing key/value rows to a topic (needs the Kafka
+    connector on the classpath). A replayed batch is sent again with the same keys."""
+    options = kafka_options(bootstrap_servers, topic, "", **extra)
+    options.pop("checkpointLocation")       # the query's own, not the writer's
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (to_key_value(batch, timestamp_format).write.format("kafka").options(**options).save())
+    write.options = options
+    return write
+
+
+def parquet_batch_sink(path: str, partition_by: str | None = "state"):
     """``foreachBatch`` sink writing each batch to ``path/batchId=<id>/``.
 
     A batch replayed after a failure overwrites its own folder, so the
-    result is written exactly once. Readers see ``batchId`` and ``final`` as
-    partition columns and can prune on them.
+    result is written exactly once. Rows keep the boolean ``final``; folders
+    are split by ``partition_by``, derived from it (``final`` or
+    ``interim``), so readers can prune on it and on ``batchId``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite").partitionBy(partition_by)
-         .parquet(f"{path.rstrip('/')}/batchId={int(batch_id)}"))
+        writer = batch
+        if partition_by:
+            writer = batch.withColumn(partition_by, F.when(F.col("final"), "final").otherwise("interim"))
+        writer = writer.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(f"{path.rstrip('/')}/batchId={int(batch_id)}")
     return write
 
 
