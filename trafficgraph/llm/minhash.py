@@ -6,9 +6,12 @@ only element. Texts are linked when their Jaccard similarity reaches the
 threshold.
 
 1. One pass gives every text its set's size and digest, the keys of its MinHash
-   bands, and its odd sketch: the MinHash samples folded into a bitmap of
-   parities. The share of bits in which two sketches differ estimates high
-   similarities precisely.
+   bands, and its odd sketch: its ``BOTTOM`` smallest values under one more
+   permutation (bottom-k MinHash samples) folded into a bitmap of parities.
+   Two sketches differ in at most as many bits as their samples differ in
+   elements, and in nearly as many at high similarities. Samples of sets of
+   at most ``BOTTOM`` elements are the sets themselves: there the XOR
+   population count rules pairs out with certainty and almost exactly.
 2. Texts of one set become one class, so copies never meet.
 3. Classes that share a band key meet the key's smallest class only (a star,
    not all pairs). Sizes and sketches rule candidates out, full sets confirm
@@ -19,11 +22,13 @@ threshold.
    key is either in one component or was compared.
 
 With 30 bands of 6 samples a pair at the threshold of 0.85 shares no key with
-probability 7e-7, and a sketch rules out such a pair with less than 1e-8.
+probability 7e-7; sketches rule out no linked pair of at most ``BOTTOM``
+elements, and longer ones beyond six standard deviations only.
 
-Full sets are computed again for the few texts that have candidates, rather
-than stored for all; joins on a text with many partners are left to adaptive
-execution to split.
+Full sets are computed again for the texts that have likely partners, rather
+than stored for all: their ids are broadcast up to ``MAX_BROADCAST_IDS``, and
+beyond that the texts are shuffled. Joins on a text with many partners are
+left to adaptive execution to split.
 
 Defined cases: null, empty and blank texts have empty sets (size 0), link with
 nothing and are kept; rows with a null id link with nothing, have no
@@ -51,9 +56,10 @@ SHINGLE = 5
 SIMILARITY = 85              # percent
 BANDS, ROWS = 30, 6
 SAMPLES = BANDS * ROWS
-SKETCH_WORDS = 8             # 64-bit words of the parity bitmap
+BOTTOM = 1024                # bottom-k samples folded into the sketch
+SKETCH_WORDS = 16            # 64-bit words of the parity bitmap
 SKETCH_BITS = 64 * SKETCH_WORDS
-SLACK = 0.25                 # how far below the threshold an estimate may be
+MAX_BROADCAST_IDS = 4_000_000
 SLICE_BYTES = 2 << 20
 MINHASH_ROWS = 2048          # set elements hashed at a time
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -61,7 +67,6 @@ SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-_SAMPLE = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64)
 
 
@@ -100,20 +105,34 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples: each (number, value) flips one bit."""
-    bit = (ts.mix(_SAMPLE + samples) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a sorted set's smallest hashes: each flips one bit."""
+    bit = (ts.mix(shingles[:BOTTOM]) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
     return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def estimate(differing_bits: int) -> float:
-    """Similarity estimated from the bits in which two odd sketches differ."""
-    left = 1 - 2 * differing_bits / SKETCH_BITS
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(left) if left > 0 else -math.inf
+def expected_bits(differ: float) -> float:
+    """Expected XOR population count of sketches whose samples differ in so many elements."""
+    return SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS))
+
+
+def most_bits_of_long(similarity: int) -> int:
+    """XOR count that linked sets of more than ``BOTTOM`` elements stay below.
+
+    Their samples differ most where one set holds the other: then a share of
+    ``1 - similarity`` of either sample. Added are six standard deviations of
+    the sampling and of the sketch.
+    """
+    j, m = similarity / 100, SKETCH_BITS
+    differ = 2 * BOTTOM * (1 - j)
+    slope = math.exp(-2 * differ / m)
+    sampled = 2 * math.sqrt(BOTTOM * j * (1 - j)) * slope
+    sketched = m / 4 * (1 - slope ** 2) - differ * slope ** 2
+    return math.ceil(expected_bits(differ) + 6 * math.sqrt(sampled ** 2 + max(sketched, 0)))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, set_hi, set_lo, keys, s0..s7`` of ``docs`` (doc_id, text)."""
+    """``doc_id, n, set_hi, set_lo, keys, s0..s15`` of ``docs`` (doc_id, text)."""
     names = ["doc_id", "n", "set_hi", "set_lo", "keys", *SKETCH]
 
     def run(batches):
@@ -124,9 +143,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for s in text_sets(part.column(1)):
                     n.append(len(s))
                     sets.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                    m = minhash(s) if len(s) else None
-                    keys.append(band_keys(m) if len(s) else np.zeros(0, np.int64))
-                    sketch.append(odd_sketch(m) if len(s) else np.zeros(SKETCH_WORDS, np.int64))
+                    keys.append(band_keys(minhash(s)) if len(s) else np.zeros(0, np.int64))
+                    sketch.append(odd_sketch(s))
                 sets, sketch = np.array(sets), np.array(sketch)
                 first = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
                 yield pa.RecordBatch.from_arrays(
@@ -140,18 +158,26 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _likely(a: str, b: str, similarity: int) -> Column:
-    """Pairs whose sizes allow the similarity and whose sketches do not rule it out."""
-    most = max(z for z in range(SKETCH_BITS // 2) if estimate(z) >= similarity / 100 - SLACK)
+    """Pairs whose sizes allow the similarity and whose sketches do not rule it out.
+
+    Linked sets differ in at most ``(1 - J) / (1 + J)`` of the sum of their sizes.
+    """
     differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= similarity * F.greatest(na, nb)) & (differ <= most)
+    short = differ * (100 + similarity) <= (100 - similarity) * (na + nb)
+    return ((100 * F.least(na, nb) >= similarity * F.greatest(na, nb))
+            & F.when(F.greatest(na, nb) <= BOTTOM, short)
+            .otherwise(differ <= most_bits_of_long(similarity)))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    ids = (pairs.select(F.col("a").alias("doc_id"))
+           .unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    if 2 * pairs.count() <= MAX_BROADCAST_IDS:        # pairs are a written table
+        ids = F.broadcast(ids)
     wanted = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-              .join(ids.distinct(), "doc_id", "left_semi"))
+              .join(ids, "doc_id", "left_semi"))
 
     def sets(batches):
         for b in batches:
