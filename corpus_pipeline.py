@@ -18,36 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trafficgraph.llm import decontamination, language, minhash, packing, quality
 from trafficgraph.llm.queries import tokenizer_path
+from trafficgraph.llm.ship import prepare
 from trafficgraph.operators.materialize import materialize
-from trafficgraph.session import ensure_checkpoint_dir
 
 MIN_LANGUAGE_SHARE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model learns from the rows of ``docs`` itself."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     model = language.fit(docs.where(~language.held_out()))
     return language.keep_known(docs, model, MIN_LANGUAGE_SHARE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return packing.with_digest(packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; the last one's rows."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficgraph.llm import (chat, decontamination, embeddings, language, licenses, minhash,
                               packing, quality, tokencounts, urlfilter)
 from trafficgraph.llm.oracle import ORACLE
-from trafficgraph.session import ensure_checkpoint_dir
+from trafficgraph.llm.ship import prepare
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
