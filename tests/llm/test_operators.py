@@ -451,15 +451,25 @@ def test_chain_through_different_components_is_found(spark, monkeypatch):
     assert got == sorted(brute_components(data))
 
 
-def test_odd_sketch_estimates_similarity():
+def test_odd_sketches_bound_and_estimate_differences():
     rng = np.random.default_rng(7)
-    off = []
-    for _ in range(60):
-        a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-        b = np.concatenate([a[:-40], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
-        bits = [np.unpackbits(minhash.odd_sketch(minhash.minhash(np.unique(x))).view(np.uint8)) for x in (a, b)]
-        off.append(minhash.estimate(int((bits[0] ^ bits[1]).sum())) - 360 / 440)
-    assert abs(np.mean(off)) < 0.03 and max(map(abs, off)) < minhash.SLACK
+
+    def bits(x, y):
+        return int(np.bitwise_count(minhash.odd_sketch(x) ^ minhash.odd_sketch(y)).sum())
+    for n, d in [(30, 2), (400, 40), (1000, 90), (1000, 160)]:
+        seen = []
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[d // 2:], rng.integers(0, 1 << 63, d // 2, dtype=np.uint64)]))
+            seen.append(bits(a, b))
+        assert max(seen) <= d and abs(np.mean(seen) - minhash.expected_bits(d)) < 4
+    most = minhash.most_bits_of_long(85)
+    for _ in range(40):          # long sets at the threshold: one in the other, and alike in size
+        a = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64))
+        inner = np.sort(rng.choice(a, int(len(a) * 0.85), replace=False))
+        swap = np.unique(np.concatenate([rng.choice(a, 5514, replace=False),
+                                         rng.integers(0, 1 << 63, 486, dtype=np.uint64)]))
+        assert bits(a, inner) <= most and bits(a, swap) <= most
 
 
 # -- 10 packing ---------------------------------------------------------------
