@@ -7,10 +7,10 @@ and a Viterbi pass over the words, with a penalty for every switch of
 language, labels them. Neighbouring words of one label form a span; the text's
 language is the label that covers most letters and its score their share.
 
-The model is a table of ``BUCKETS`` hashed trigrams by language, fitted on at
-most ``docs_per_language`` labelled texts of each language (those with the
-smallest hashes of their ids) and at most ``MAX_LANGUAGES`` languages, so its
-size does not follow the corpus. Prediction is one pass without a shuffle.
+The model is a table of ``BUCKETS`` hashed trigrams by language, fitted on
+about ``docs_per_language`` labelled texts of each language (those whose hash
+lies below that share of the language's count) and at most ``MAX_LANGUAGES``
+languages, so neither its size nor its cost follows the corpus. Prediction is one pass without a shuffle.
 
 Defined cases: a null text, an empty one, or one without letters (or only
 with letters of scripts that no training text uses) is ``und`` with score 0;
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficgraph.llm import textscan as ts
@@ -37,8 +37,8 @@ MAX_LANGUAGES = 256
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.1
 WORD_SHARE = 0.001           # of a language's training words must use a script
-SLICE_BYTES = 4 << 20
-PASS_WORDS = 3_000_000
+SLICE_BYTES = 1 << 20
+PASS_WORDS = 1_000_000
 UNKNOWN = "und"
 
 # First and last code points of the scripts told apart.
@@ -218,22 +218,20 @@ def _predict(model: Model, texts: pa.Array, penalty: float) -> tuple[list[str],
 
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Model of the labelled texts (doc_id, text, lang), read from at most
+    """Model of the labelled texts (doc_id, text, lang), read from about
     ``docs_per_language`` of each language."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.xxhash64(F.col("doc_id"), F.col("lang"))
-    chosen = (known.select("doc_id", "lang", h.alias("_h"))
-              .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-              .where(F.col("_n") <= docs_per_language).groupBy("lang").agg(F.max("_h").alias("_top"))
-              .orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
+    chosen = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(chosen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [r["lang"] for r in chosen]
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((N_SCRIPTS, 0)))
     code = F.create_map(*[x for i, r in enumerate(chosen) for x in (F.lit(r["lang"]), F.lit(i))])
-    top = F.create_map(*[x for r in chosen for x in (F.lit(r["lang"]), F.lit(r["_top"]))])
-    sample = (known.where(h <= top[F.col("lang")])
+    share = F.create_map(*[x for r in chosen for x in (
+        F.lit(r["lang"]), F.lit(min(1.0, docs_per_language / r["count"])))])
+    h = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = (known.where(h < share[F.col("lang")])
               .select(code[F.col("lang")].alias("_l"), F.col("text").cast("string")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
