@@ -455,7 +455,7 @@ def test_odd_sketches_bound_and_estimate_differences():
     rng = np.random.default_rng(7)
 
     def bits(x, y):
-        return int(np.bitwise_count(minhash.odd_sketch(x) ^ minhash.odd_sketch(y)).sum())
+        return int(np.bitwise_count((minhash.odd_sketch(x) ^ minhash.odd_sketch(y)).view(np.uint64)).sum())
     for n, d in [(30, 2), (400, 40), (1000, 90), (1000, 160)]:
         seen = []
         for _ in range(40):
