@@ -222,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: floa
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-        part = base.mapInArrow(run, SCHEMA)
+        part = base.mapInArrow(ts.returning(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -253,5 +253,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float
                     b = b.filter(pa.array(keep))
                 yield b
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(ts.returning(run), docs.schema)
     return out

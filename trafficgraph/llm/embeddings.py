@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficgraph.llm import textscan as ts
 from trafficgraph.operators.components import connected_components
 from trafficgraph.operators.materialize import write_table
 from trafficgraph.operators.numbering import dense_number
@@ -105,7 +106,7 @@ def grid_blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
     typed = classes.select("id", "copies", F.col("label"), F.col("vector"), F.size("vector").alias("dim"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema)
     order = ["label", "dim", *names, "id"]
-    sequence = (typed.mapInArrow(cells, f"{fields}, " + ", ".join(f"{c} int" for c in names))
+    sequence = (typed.mapInArrow(ts.returning(cells), f"{fields}, " + ", ".join(f"{c} int" for c in names))
                 .repartitionByRange(*order).sortWithinPartitions(*order))
     label_type = typed.schema["label"].dataType.simpleString()
 
@@ -155,7 +156,7 @@ def grid_blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
     schema = (f"block long, label {label_type}, dim int, ids binary, copies binary, vectors binary, "
               "lo array<double>, hi array<double>")
     arrow = to_arrow_schema(classes.sparkSession.createDataFrame([], schema).schema)
-    return write_table(sequence.mapInArrow(batched, schema))[0]
+    return write_table(sequence.mapInArrow(ts.returning(batched), schema))[0]
 
 
 def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:

@@ -253,7 +253,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
                 [pa.array(i[part], pa.int32()), pa.array(k[part], pa.int32()),
                  pa.array(grams[i[part], k[part]], pa.int64())], ["l", "k", "n"])
 
-    counts = (sample.mapInArrow(count, "l int, k int, n long")
+    counts = (sample.mapInArrow(ts.returning(count), "l int, k int, n long")
               .groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas())
     grams = np.zeros((BUCKETS + N_SCRIPTS, len(languages)))
     grams[counts["k"], counts["l"]] = counts["n"]
@@ -272,7 +272,7 @@ def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> D
                 ["doc_id", "lang_pred", "score"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, lang_pred string, score double"))
+            .mapInArrow(ts.returning(run), "doc_id long, lang_pred string, score double"))
 
 
 def label_spans(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -299,7 +299,7 @@ def label_spans(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY)
                      pa.array(start[first], pa.int64()), pa.array(end[last], pa.int64())], schema=out)
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, span long, lang string, char_start long, char_end long"))
+            .mapInArrow(ts.returning(run), "doc_id long, span long, lang string, char_start long, char_end long"))
 
 
 def held_out() -> F.Column:
@@ -318,4 +318,4 @@ def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5,
             lang, score = _predict(held.value, b.column(at), penalty)
             yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= min_score), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(ts.returning(run), docs.schema)

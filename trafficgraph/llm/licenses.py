@@ -224,7 +224,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(_ARROW.names, x)) for x in rows], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(ts.returning(run), SCHEMA)
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()),

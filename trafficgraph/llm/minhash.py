@@ -153,7 +153,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                      *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS))], names)
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, n long, set_hi long, set_lo long, keys array<long>, "
+            .mapInArrow(ts.returning(run), "doc_id long, n long, set_hi long, set_lo long, keys array<long>, "
                         + ", ".join(f"{c} long" for c in SKETCH)))
 
 
@@ -185,7 +185,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
                 [b.column(0), pa.array([s.tobytes() for s in text_sets(b.column(1))], pa.binary())],
                 ["id", "shingles"])
 
-    full, _ = write_table(wanted.mapInArrow(sets, "id long, shingles binary"))
+    full, _ = write_table(wanted.mapInArrow(ts.returning(sets), "id long, shingles binary"))
 
     def linked(batches):
         for b in batches:
@@ -198,7 +198,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
 
     with_b = pairs.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("_sb")), "b")
     both = with_b.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("_sa")), "a")
-    return write_table(both.select("a", "b", "_sa", "_sb").mapInArrow(linked, "a long, b long").distinct())[0]
+    return write_table(both.select("a", "b", "_sa", "_sb").mapInArrow(ts.returning(linked), "a long, b long").distinct())[0]
 
 
 def _labels(edges: DataFrame) -> DataFrame:

@@ -29,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficgraph.llm import textscan as ts
+
 WINDOW = 2048
 END_ID = 1
 BUFFER_TOKENS = 1 << 22
 SLACK = 32
-CACHE_UNITS = 500_000        # cached units and pre-tokens of a worker (about 100 MB each)
+CACHE_UNITS = 200_000        # cached units and pre-tokens of a task (about 40 MB each)
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
@@ -254,7 +256,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
         if pieces:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(ts.returning(run), SCHEMA)
 
 
 def with_digest(pieces: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ bytes, mixed; equal words have equal hashes in every process.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def returning(run):
+    """``run`` (a function of batches) so that memory freed after each batch it
+    makes, and at its end, goes back to the system: Python workers outlive
+    their tasks, and an executor's other workers and heap need the room."""
+    def bounded(batches):
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                _return_memory()
+        finally:
+            gc.collect()
+            _return_memory()
+    return bounded
+
+
+def _return_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):      # not the GNU C library
+        pass
+
+
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (int64, from 0) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficgraph.llm import textscan as ts
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -128,4 +130,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | list[tuple[str, float]]) ->
                 ["doc_id", "n_tokens", "score"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, n_tokens long, score double"))
+            .mapInArrow(ts.returning(run), "doc_id long, n_tokens long, score double"))
