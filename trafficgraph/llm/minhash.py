@@ -274,6 +274,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataF
     """``docs`` (all columns) with one row of each component: its smallest id."""
     judged, _ = write_table(near_duplicates(docs, similarity).select("doc_id", "kept"))
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    if judged.where(~F.col("kept")).count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)        # the texts need no shuffle
     twice = (judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
              .where(F.col("count") > 1).select("doc_id"))
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
