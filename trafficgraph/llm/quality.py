@@ -131,7 +131,8 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
     """Classifier fitted on at most ``max_labelled`` labelled documents."""
-    chosen = (_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    # At most max_labelled pairs of numbers: small enough to broadcast at any size.
+    chosen = F.broadcast(_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     sample = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
               .join(chosen, "doc_id").select("label", "text"))
 
@@ -142,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                 [b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
                  .cast(pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = sample.mapInArrow(measure, "label double, x array<double>").toPandas()
+    rows = sample.mapInArrow(ts.returning(measure), "label double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit_classifier(x, (rows["label"].to_numpy() >= 0.5).astype(float))
 
@@ -158,7 +159,7 @@ def _with_probability(docs: DataFrame, model: Classifier, keep: list[str]) -> Da
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p)],
                                              [*(b.schema.names[i] for i in kept), "_p"])
 
-    return docs.mapInArrow(run, f"{fields}, _p double")
+    return docs.mapInArrow(ts.returning(run), f"{fields}, _p double")
 
 
 def _sited(docs: DataFrame, host: str | Column, path: str | Column) -> DataFrame:
