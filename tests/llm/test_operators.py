@@ -63,6 +63,44 @@ def test_license_spans(spark):
         "released UNDER the mit license", "Released under the MIT License"]
 
 
+def test_every_license_line_has_a_row(spark):
+    """Against alignments of every template with the whole text, without fingerprints or band."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.where("text LIKE '%icense%'").select("doc_id", "text").collect()}
+    lines = {"MIT License": "MIT-line", "CC BY-NC 4.0": "CC-BY-NC-short", "Apache License": "Apache-2.0-line",
+             "GNU General Public License, version 3": "GPL-line"}
+    got = collections.defaultdict(set)
+    for r in rows(licenses.scan_licenses(docs)):
+        got[r["doc_id"]].add(r["license"])
+    assert texts and set(got) == set(texts)
+    index = licenses.Index(licenses.TEMPLATES)
+    for doc, text in texts.items():
+        words, best = ts.hash_words([text], ts.PUNCT)[0], []
+        for name, template in zip(index.names, index.words):
+            matched, _, _, a, z = licenses.align(template, words, 0, len(words) + len(template)) or [0] * 5
+            if matched >= 0.8 * len(template):
+                best.append((len(template) + z - a - 2 * matched, -matched, name))
+        assert min(best)[2] in got[doc]
+        assert {name for line, name in lines.items() if line in text} == got[doc]
+
+
+def test_license_variants_are_told_apart(spark):
+    """Every template's own text reports it whole, no other version or variant, and an
+    opening alone never as the whole notice."""
+    names = list(licenses.TEMPLATES)
+    df = spark.createDataFrame(list(enumerate(licenses.TEMPLATES.values())), "doc_id long, text string")
+    got = collections.defaultdict(dict)
+    for r in rows(licenses.scan_licenses(df)):
+        got[names[r["doc_id"]]][r["license"]] = r["coverage"]
+    for name in names:
+        assert got[name][name] == 1.0
+        for other in got[name]:
+            family = other.removesuffix("-opening").removesuffix("-line")
+            assert other == name or name.startswith(family) or (name[:3], family) == ("BSD", "BSD"), (name, other)
+        if name.endswith("-opening") and name != "MPL-2.0-opening":      # its rest is one address
+            assert name.removesuffix("-opening") not in got[name]
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_wide_band_equals_smith_waterman(a, b):

@@ -7,7 +7,9 @@ shares with a template share a fingerprint. An inverted index over the
 templates' fingerprints gives candidate places; there the template is aligned
 with the text by a banded Smith-Waterman recurrence (match 2, mismatch -1, gap
 -1), and alignments that match enough of the template are reported with their
-coverage and spans.
+coverage and spans. Templates that differ in few words (versions, variants) align
+with the same place: one is not reported where another matches no fewer words
+with fewer differences over half of its span or more.
 
 Templates are a parameter, small by nature (``MAX_TEMPLATE_WORDS`` is checked),
 and held by every task; documents are read once and never shuffled.
@@ -35,36 +37,132 @@ MIN_BAND = 4
 MAX_TEMPLATE_WORDS = 1_000_000
 SLICE_BYTES = 2 << 20
 
-# The notices that the licenses ask for, and short forms in use.
+# The notices that the licenses ask for in full, their openings
+# ("-opening") and short forms in use ("-line").
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        "software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this "
+           "file except in compliance with the License. You may obtain a copy of the License at")
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.")
+_BSD_BINARY = (" Redistributions in binary form must reproduce the above copyright notice, this list of "
+               "conditions and the following disclaimer in the documentation and/or other materials "
+               "provided with the distribution.")
+_BSD_NAMES = (" Neither the name of the copyright holder nor the names of its contributors may be used "
+              "to endorse or promote products derived from this software without specific prior "
+              "written permission.")
+_BSD_WARRANTY = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY "
+                 "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+                 "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+                 "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                 "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+                 "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+                 "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+                 "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+                 "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+
+
+def _gnu_opening(work: str, name: str, version: str) -> str:
+    mark = ":" if version.startswith("3") else ";"
+    return (f"This {work} is free software{mark} you can redistribute it and/or modify it under the terms "
+            f"of the GNU {name} as published by the Free Software Foundation, either version {version} "
+            "of the License, or (at your option) any later version.")
+
+
+def _gnu(work: str, name: str, version: str) -> str:
+    where = ("If not, see <https://www.gnu.org/licenses/>." if version.startswith("3") else
+             "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, "
+             "Boston, MA 02110-1301 USA")
+    return (f"{_gnu_opening(work, name, version)} This {work} is distributed in the hope that it will be "
+            "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+            f"FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have "
+            f"received a copy of the GNU {name} along with this {work}. {where}")
+
+
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "BSD-line": "Use of this source code is governed by a BSD-style license.",
-    "GPL-line": "Licensed under the GNU General Public License, version 3.",
-    "CC-BY-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
-           "software and associated documentation files (the \"Software\"), to deal in the Software "
-           "without restriction, including without limitation the rights to use, copy, modify, merge, "
-           "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
-           "to whom the Software is furnished to do so, subject to the following conditions: The above "
-           "copyright notice and this permission notice shall be included in all copies or substantial "
-           "portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-           "without fee is hereby granted, provided that the above copyright notice and this "
-           "permission notice appear in all copies.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this "
-                  "file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms "
-               "of the GNU General Public License as published by the Free Software Foundation, either "
-               "version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
-               "copy of the MPL was not distributed with this file, You can obtain one at",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are "
-                    "permitted provided that the following conditions are met: Redistributions of source "
-                    "code must retain the above copyright notice, this list of conditions and the "
-                    "following disclaimer.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-style-line": "Use of this source code is governed by an MIT-style license.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "CC0-line": "Licensed under CC0 1.0.",
+    "MIT": _MIT + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+           "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+           "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+           "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+           "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+           "DEALINGS IN THE SOFTWARE.",
+    "MIT-opening": _MIT,
+    "ISC": _ISC + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD "
+           "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+           "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+           "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+           "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+           "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "ISC-opening": _ISC,
+    "Apache-2.0": _APACHE + " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
+                  "or agreed to in writing, software distributed under the License is distributed on an "
+                  "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                  "implied. See the License for the specific language governing permissions and "
+                  "limitations under the License.",
+    "Apache-2.0-opening": _APACHE,
+    "MPL-2.0": _MPL + " https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-opening": _MPL,
+    "BSD-2-Clause": _BSD + _BSD_BINARY + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + _BSD_BINARY + _BSD_NAMES + _BSD_WARRANTY,
+    "BSD-opening": _BSD,
+    "Unlicense": _UNLICENSE + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+                 "this software, either in source code form or as a compiled binary, for any purpose, "
+                 "commercial or non-commercial, and by any means. In jurisdictions that recognize "
+                 "copyright laws, the author or authors of this software dedicate any and all copyright "
+                 "interest in the software to the public domain. We make this dedication for the benefit "
+                 "of the public at large and to the detriment of our heirs and successors. We intend this "
+                 "dedication to be an overt act of relinquishment in perpetuity of all present and future "
+                 "rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+                 "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+                 "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+                 "THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+                 "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+                 "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense-opening": _UNLICENSE,
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related "
+               "and neighboring rights to this software to the public domain worldwide. This software is "
+               "distributed without any warranty. You should have received a copy of the CC0 Public Domain "
+               "Dedication along with this software. If not, see "
+               "<https://creativecommons.org/publicdomain/zero/1.0/>.",
 }
+for _key, _work, _name, _version in [
+        ("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "program", "Affero General Public License", "3")]:
+    TEMPLATES["GPL-line" if _key == "GPL-3.0" else f"{_key}-line"] = (
+        f"Licensed under the GNU {_name}, version {_version}.")
+    TEMPLATES[_key] = _gnu(_work, _name, _version)
+    TEMPLATES[f"{_key}-opening"] = _gnu_opening(_work, _name, _version)
+for _form, _name in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
+                     ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                     ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                     ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    for _version, _port in [("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"),
+                            ("2.0", "Generic"), ("1.0", "Generic")]:
+        _key = f"CC-{_form}" if _version == "4.0" else f"CC-{_form}-{_version}"
+        TEMPLATES[f"{_key}-line"] = (
+            f"This work is licensed under a Creative Commons {_name} {_version} {_port} License.")
+        TEMPLATES[f"{_key}-short"] = f"Licensed under CC {_form} {_version}."
 
 SCHEMA = ("doc_id long, license string, coverage double, matched_words long, template_words long, "
           "word_start long, word_end long, char_start long, char_end long")
@@ -170,20 +268,35 @@ def _band(words: int) -> int:
 
 def scan_text(words: np.ndarray, hits, index: Index, min_coverage: float):
     """Reported alignments of one text: ``(template, matched, start, end)`` by
-    words, places of one template that overlap cut to the best."""
+    words, places of one template that overlap cut to the best, and those that
+    another template fits better left out."""
     found = []
     for t, shift, band in _places(*hits, index):
-        got = align(index.words[t], words, shift, band)
-        if got and got[0] >= min_coverage * len(index.words[t]):
+        template = index.words[t]
+        near = words[max(0, shift - band):max(0, shift + band + len(template))]
+        if np.count_nonzero(np.isin(template, near)) < min_coverage * len(template):
+            continue
+        got = align(template, words, shift, band)
+        if got and got[0] >= min_coverage * len(template):
             found.append((t, got[0], got[3], got[4]))
     found.sort(key=lambda x: (x[0], -x[1], x[2]))
     out: list[tuple] = []
     for f in found:
         if not any(g[0] == f[0] and f[2] < g[3] and g[2] < f[3] for g in out):
             out.append(f)
+    out = [f for f in out if not any(_fits_better(g, f, index) for g in out)]
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
+def _fits_better(g: tuple, f: tuple, index: Index) -> bool:
+    """Whether ``g`` covers half of the span of ``f`` or more, with no fewer matched
+    words and fewer words that differ (of the template and of the span)."""
+    def differ(x):
+        return len(index.words[x[0]]) + x[3] - x[2] - 2 * x[1]
+    return (2 * (min(g[3], f[3]) - max(g[2], f[2])) >= f[3] - f[2]
+            and g[1] >= f[1] and differ(g) < differ(f))
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
                   min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Places of ``templates`` in ``docs`` (doc_id, text): one row for each with the
