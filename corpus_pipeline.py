@@ -7,7 +7,7 @@ stage's documents. All but the last return the columns of ``documents``.
 1. ``language``: texts without a language (no letters of a known script), or
    whose language covers too few of their letters, go.
 2. ``quality``: texts whose quality, combined from classifier and sites, is low, go.
-3. ``near_duplicates``: one document of each component stays.
+3. ``near_duplicates``: one document of each component of a similarity of 0.8 or more stays.
 4. ``decontamination``: texts that hold a benchmark passage go.
 5. ``packing``: what is left becomes pieces of token windows.
 """
@@ -22,6 +22,7 @@ from trafficgraph.llm.ship import prepare
 from trafficgraph.operators.materialize import materialize
 
 MIN_LANGUAGE_SHARE = 0.35
+SIMILARITY = 80              # percent; the query op9_minhash has its own
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -633,3 +633,17 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     out = rows(cp.run(spark, DATA))
     assert {r["doc_id"] for r in out} == kept
     assert {f for f in out[0]} == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline as cp
+    words = [f"w{i}" for i in range(104)]                       # 100 shingles
+    near = words[:50] + ["x", "y"] + words[52:]                 # 6 differ: 94 / 106 = 0.89
+    other = [w if i not in (20, 70) else "z" for i, w in enumerate(words)]     # 10 differ: 90 / 110 = 0.82
+    far = [w if i not in (15, 45, 75) else "q" for i, w in enumerate(words)]   # 15 differ: 85 / 115 = 0.74
+    data = [(i, " ".join(w)) for i, w in enumerate([words, other, far])]
+    data += [(i + 10, " ".join("v" + x for x in w)) for i, w in enumerate([words, near])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r["doc_id"] for r in rows(cp.near_duplicate_stage(spark, df, DATA))}
+    assert kept == {d for d, _, c in brute_components(data, 80) if c == d} == {0, 2, 10}
+    assert {r["doc_id"] for r in rows(minhash.drop_near_duplicates(df))} == {0, 1, 2, 10}      # op9 stays at 85
