@@ -8,7 +8,7 @@ stage's documents. All but the last return the columns of ``documents``.
    whose language covers too few of their letters, go.
 2. ``quality``: texts whose quality, combined from classifier and sites, is low, go.
 3. ``near_duplicates``: one document of each component of a similarity of 0.8 or more stays.
-4. ``decontamination``: texts that hold a benchmark passage go.
+4. ``decontamination``: texts that hold a benchmark passage, or a short item whole, go.
 5. ``packing``: what is left becomes pieces of token windows.
 """
 
@@ -44,7 +44,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+                                             short_items=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are maximal runs of letters and digits, lower-cased. Runs of five words
+Words are maximal runs of letters, marks and digits of any script, lower-cased;
+each character of a script written without spaces (Han, Kana, Thai and others in
+``textscan.UNSPACED``) is a word of its own. Runs of five words
 that a document shares with a benchmark item (Karp-Rabin hashes looked up in a
 sorted seed index) make the pair a candidate; then the longest match of the
 pair over words that no tile covers yet is marked as a tile, again and again,
@@ -14,7 +16,8 @@ The benchmark is a query set held by the tasks in blocks of at most
 is bounded at any benchmark size; documents are never shuffled.
 
 Defined cases: null and empty texts match nothing; items of fewer than five
-words are never found; repeated rows and repeated items are reported each;
+words are found by their whole sequence of words if ``short_items`` is set, and
+never otherwise; items without words are never found; repeated rows and repeated items are reported each;
 an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -41,13 +44,19 @@ SCHEMA = ("doc_id long, item_id long, item_words long, covered_words long, cover
           "tiles array<struct<doc_word: long, item_word: long, n_words: long>>")
 
 
-class Seeds:
-    """Inverted index of a block of items: seed hash -> (item, position)."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row starts and hashes of the words of lower-cased texts."""
+    data, offs = ts.utf8(texts)
+    data, cuts = ts.unicode_words(data)
+    first, _, _, h = ts.words(data, offs, ts.PUNCT, cuts=cuts)
+    return first, h
 
-    def __init__(self, ids: list[int | None], texts: list[str], k: int):
-        self.ids, self.k = ids, k
-        self.words = ts.hash_words([t.lower() for t in texts], ts.PUNCT)
-        grams = [ts.rolling(w, k) for w in self.words]
+
+class Grams:
+    """Inverted index of runs of ``k`` words: hash -> items."""
+
+    def __init__(self, words: list[np.ndarray], k: int):
+        grams = [ts.rolling(w, k) for w in words]
         key = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         order = np.argsort(key, kind="stable")
@@ -67,6 +76,19 @@ class Seeds:
         return at[ok], k[ok]
 
 
+class Seeds(Grams):
+    """Inverted index of a block of items: seed hash -> items; with ``short_items``
+    ``whole`` has one more for each length below ``k``."""
+
+    def __init__(self, ids: list[int | None], texts: list[str], k: int, short_items: bool = False):
+        self.ids, self.k = ids, k
+        first, h = word_hashes(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        self.words = [h[first[i]:first[i + 1]] for i in range(len(texts))]
+        super().__init__(self.words, k)
+        lengths = sorted({len(w) for w in self.words if 0 < len(w) < k}) if short_items else []
+        self.whole = {n: Grams([w if len(w) == n else w[:0] for w in self.words], n) for n in lengths}
+
+
 def _prefix(words: np.ndarray) -> np.ndarray:
     """acc[i] such that a run's hash is ``acc[i + n] - acc[i] * B**n``."""
     n = len(words)
@@ -142,10 +164,16 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, k: int,
 def _contaminations(batch_texts, seeds: Seeds, min_coverage: float):
     """``(row, item, tiles)`` of a string column, in blocks of rows."""
     k = seeds.k
-    data, offs = ts.utf8(pc.utf8_lower(batch_texts.cast(pa.large_string())))
-    for lo, hi in ts.slices(offs, SLICE_BYTES):
-        o = offs[lo:hi + 1] - offs[lo]
-        first, _, _, h = ts.words(data[offs[lo]:offs[hi]], o, ts.PUNCT)
+    low = pc.utf8_lower(batch_texts.cast(pa.large_string()))
+    for lo, hi in ts.slices(ts.utf8(low)[1], SLICE_BYTES):
+        first, h = word_hashes(low.slice(lo, hi - lo))
+        for n, short in seeds.whole.items():
+            at, seed = short.find(np.where(ts.whole_runs(first, len(h), n), ts.rolling(h, n), np.uint64(0)))
+            row = np.searchsorted(first, at, "right") - 1
+            _, once = np.unique(row * len(short.keys) + seed, return_index=True)       # the first place
+            for r, p, s in zip(row[once].tolist(), at[once].tolist(), seed[once].tolist()):
+                for i in short.item[short.first[s]:short.first[s + 1]].tolist():
+                    yield lo + r, i, n, [(p - int(first[r]), 0, n)]
         grams = ts.rolling(h, k)
         grams = np.where(ts.whole_runs(first, len(h), k), grams, np.uint64(0))
         at, seed = seeds.find(grams)
@@ -199,14 +227,15 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE,
-                       min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+                       min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
+                       short_items: bool = False) -> DataFrame:
     """Pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) rows with
     tiles over at least ``min_coverage`` of the item's words, and their tiles."""
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for ids, texts in _blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(Seeds(ids, texts, min_words))
+        held = spark.sparkContext.broadcast(Seeds(ids, texts, min_words, short_items))
 
         def run(batches, held=held):
             seeds = held.value
@@ -236,13 +265,14 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_word
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE,
-                      min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+                      min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
+                      short_items: bool = False) -> DataFrame:
     """``docs`` (all columns) without the rows whose ``text`` covers an item."""
     spark = docs.sparkSession
     out = docs
     at = docs.columns.index("text")
     for ids, texts in _blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(Seeds(ids, texts, min_words))
+        held = spark.sparkContext.broadcast(Seeds(ids, texts, min_words, short_items))
 
         def run(batches, held=held):
             for b in batches:

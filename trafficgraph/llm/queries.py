@@ -46,7 +46,7 @@ def op4_embeddings(spark, sf_dir):
 
 def op5_decontamination(spark, sf_dir):
     pairs = decontamination.find_contamination(_table(spark, sf_dir, "documents"),
-                                               _table(spark, sf_dir, "benchmark"))
+                                               _table(spark, sf_dir, "benchmark"), short_items=True)
     return pairs.drop("tiles")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,11 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 PUNCT = np.ones(256, bool)       # words of letters, digits and every non-ASCII byte
 PUNCT[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 PUNCT[128:] = False
+# Scripts written without spaces: each of their characters is a word of its own.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3031, 0x3035),
+            (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF),
+            (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x323AF)]
+_kinds: list[np.ndarray] = []
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += np.uint64(1)
@@ -93,6 +99,38 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
+def _kind_of() -> np.ndarray:
+    """0 for every code point that separates words, 1 in words (letters, marks, digits),
+    2 a word of its own."""
+    if not _kinds:
+        t = np.zeros(0x110000, np.uint8)
+        t[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LMN"]] = 1
+        for lo, hi in UNSPACED:
+            t[lo:hi + 1] *= 2
+        _kinds.append(t)
+    return _kinds[0]
+
+
+def unicode_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with blanks for every non-ASCII character outside words, and the
+    places where words end or begin besides (around characters of ``UNSPACED``)."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return data, np.zeros(0, np.int64)
+    b = data[lead].astype(np.int64)
+    size = 2 + (b >= 0xE0) + (b >= 0xF0)
+    code = np.where(size == 2, b & 0x1F, np.where(size == 3, b & 0x0F, b & 0x07))
+    for j in range(1, 4):
+        more = size > j
+        code[more] = code[more] << 6 | (data[lead[more] + j] & 0x3F)
+    kind = _kind_of()[code]
+    out = data.copy()
+    for j in range(4):
+        out[lead[(kind == 0) & (size > j)] + j] = 0x20
+    alone = kind == 2
+    return out, np.unique(np.concatenate((lead[alone], lead[alone] + size[alone])))
+
+
 def slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges holding at most ``limit`` bytes each (one row at least)."""
     lo, n = 0, len(offs) - 1
@@ -104,17 +142,18 @@ def slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACES,
-          hashes: bool = True):
+          hashes: bool = True, cuts: np.ndarray | None = None):
     """Words of all rows: ``(first, start, end, hash)``.
 
     ``first`` has one entry per row and one more: row r owns the words
     ``first[r]:first[r + 1]``. A-Z counts as a-z in the hashes. Rows always
-    end words. Work runs in blocks cut between words, so temporary memory does
+    end words, as do the places ``cuts``. Work runs in blocks cut between words, so temporary memory does
     not follow the length of a row.
     """
     n = len(data)
     starts, ends, hs = [], [], []
-    row_cut = offs[(offs > 0) & (offs < n)]
+    row_cut = offs if cuts is None else np.union1d(offs, cuts)
+    row_cut = row_cut[(row_cut > 0) & (row_cut < n)]
     lo = 0
     while lo < n:
         hi = min(lo + BLOCK_BYTES, n)
