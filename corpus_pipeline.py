@@ -4,8 +4,8 @@ Stages take ``(spark, docs, sf_dir)`` and return a DataFrame that ``run``
 writes as Parquet below ``spark.checkpoint.dir`` and reads again as the next
 stage's documents. All but the last return the columns of ``documents``.
 
-1. ``language``: texts without a language (no letters of a known script), or
-   whose language covers too few of their letters, go.
+1. ``language``: texts without letters, or whose language covers too few of the
+   letters that some language can have, go; without labelled rows all stay.
 2. ``quality``: texts whose quality, combined from classifier and sites, is low, go.
 3. ``near_duplicates``: one document of each component of a similarity of 0.8 or more stays.
 4. ``decontamination``: texts that hold a benchmark passage, or a short item whole, go.

@@ -216,6 +216,30 @@ def test_spans_of_mixed_text_and_scripts(spark):
     assert [got[i] for i in (2, 3, 4)] == [("und", 0.0)] * 3
 
 
+def test_texts_of_unlearned_scripts_have_a_language_and_stay(spark, scratch):
+    import corpus_pipeline as cp
+    en, de, ru = "the house and the garden of the king", "das haus und der garten des kaisers", "дом и сад короля"
+    texts = [(1, " ".join([en] * 3), "en"), (2, " ".join([de] * 3), "de"), (3, " ".join([en] * 2), "en"),
+             (4, " ".join([de] * 2), "de"), (5, ru, None), (6, "漢字", None), (7, en + " " + " ".join([ru] * 5), None),
+             (8, "42 !", None), (9, None, None), (10, "", None)]
+    schema = "doc_id long, text string, lang string"
+    df = spark.createDataFrame(texts, schema)
+    model = language.fit(df)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows(language.predict(df, model, compete=True))}
+    assert all(got[i][0] in ("de", "en") and got[i][1] == 0 for i in (5, 6))
+    assert got[7][0] == "en" and 0 < got[7][1] < cp.MIN_LANGUAGE_SHARE
+    assert [got[i] for i in (8, 9, 10)] == [("und", 0.0)] * 3
+    old = {r["doc_id"]: r["lang_pred"] for r in rows(language.predict(df, model))}
+    assert all(old[i] == got[i][0] for i in (1, 2, 3, 4, 7))
+    kept = language.keep_known(df, model, cp.MIN_LANGUAGE_SHARE)
+    assert sorted(r["doc_id"] for r in rows(kept)) == [1, 2, 3, 4, 5, 6, 7]
+    none = df.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language_stage(spark, none, DATA).count() == len(texts)
+    df.write.parquet(f"{scratch}/documents.parquet")
+    queried = rows(QUERIES["op3_language"](spark, scratch))
+    assert {r["doc_id"] for r in queried if r["lang_pred"] == "und"} == {8, 9, 10}
+
+
 # -- 4 embeddings -------------------------------------------------------------
 
 def brute_links(data, least):

@@ -14,9 +14,13 @@ languages, so neither its size nor its cost follows the corpus. Prediction is on
 
 Defined cases: a null text, an empty one, or one without letters (or only
 with letters of scripts that no training text uses) is ``und`` with score 0;
+with ``compete`` a text with letters always has a language: where its scripts
+rule all out, the one whose trigrams fit best, with score 0;
 ties go to the language first in alphabetical order; repeated rows are
 predicted each; without labelled rows every text is ``und``; other columns are
-ignored by ``predict`` and kept by ``keep_known``.
+ignored by ``predict`` and kept by ``keep_known``, which judges a text by the
+letters that some language can have, keeps those with other letters only, and
+keeps all rows without labelled ones.
 """
 
 from __future__ import annotations
@@ -201,20 +205,42 @@ def _labelled(model: Model, texts: pa.Array, penalty: float) -> Iterator[tuple]:
             held, low = [], hi
 
 
-def _predict(model: Model, texts: pa.Array, penalty: float) -> tuple[list[str], np.ndarray]:
+def _best_fit(model: Model, texts: pa.Array) -> list[int]:
+    """The language whose trigrams fit each text best, scripts aside."""
+    best: list[int] = []
+    _, offs = ts.utf8(texts)
+    for lo, hi in ts.slices(offs, SLICE_BYTES):
+        w = Words(texts.slice(lo, hi - lo))
+        row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(w.row)), w.length)
+        fit = [np.bincount(row, model.log_p[:, j][w.bucket], minlength=hi - lo)
+               for j in range(len(model.languages))]
+        best.extend(np.stack(fit, axis=1).argmax(axis=1).tolist())
+    return best
+
+
+def _predict(model: Model, texts: pa.Array, penalty: float,
+             compete: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language of each text, its share of all letters, and of the letters that some
+    language can have (1 if a text has others only)."""
     n, many = len(texts), len(model.languages)
-    names, shares = [UNKNOWN] * n, np.zeros(n)
+    names, shares, possible = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     if not many:
-        return names, shares
+        return names, shares, possible
     for low, high, row, start, end, labels in _labelled(model, texts, penalty):
         known, row, length = labels >= 0, row - low, end - start
         letters = np.bincount(row[known] * many + labels[known], length[known],
                               minlength=(high - low) * many).reshape(-1, many)
         best = letters.argmax(axis=1)
         most = letters.max(axis=1)
-        shares[low:high] = most / np.maximum(np.bincount(row, length, minlength=high - low), 1)
+        every = np.bincount(row, length, minlength=high - low)
+        shares[low:high] = most / np.maximum(every, 1)
+        possible[low:high] = np.where(most > 0, most / np.maximum(letters.sum(axis=1), 1), every > 0)
         names[low:high] = [model.languages[b] if v else UNKNOWN for b, v in zip(best, most)]
-    return names, shares
+        if compete:
+            loose = low + np.flatnonzero((most == 0) & (every > 0))
+            for i, b in zip(loose.tolist(), _best_fit(model, texts.take(pa.array(loose, pa.int64())))):
+                names[i] = model.languages[b]
+    return names, shares, possible
 
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -260,13 +286,14 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
     return Model(languages, grams[:BUCKETS], grams[BUCKETS:])
 
 
-def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
+def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY,
+            compete: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row of ``docs`` (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            lang, score = _predict(held.value, b.column(1), penalty)
+            lang, score, _ = _predict(held.value, b.column(1), penalty, compete)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 ["doc_id", "lang_pred", "score"])
@@ -309,13 +336,16 @@ def held_out() -> F.Column:
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.5,
                penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``docs`` (all columns) whose ``text`` has a language with that score or more."""
+    """``docs`` (all columns) whose ``text`` has a language with that share or more of the
+    letters that some language can have, or letters of other scripts only."""
+    if not model.languages:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            lang, score = _predict(held.value, b.column(at), penalty)
-            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= min_score), pa.bool_()))
+            lang, _, share = _predict(held.value, b.column(at), penalty, compete=True)
+            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (share >= min_score), pa.bool_()))
 
     return docs.mapInArrow(ts.returning(run), docs.schema)
