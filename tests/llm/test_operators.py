@@ -433,6 +433,20 @@ def test_mined_rules_match_by_all_tokens(spark):
     assert "Python" not in text and "Arrow" not in text
 
 
+def test_hosts_below_the_share_are_mined(spark):
+    """A host of 0.9 % of the labelled urls, all bad; another as rare whose labels are as all others'."""
+    hosts = ["spam"] * 27 + ["rare"] * 27 + ["few"] * 9 + ["www"] * 2937
+    labelled = [(f"http://{h}.example.net/p/{i}", h in ("spam", "few") or i % 5 == 0) for i, h in enumerate(hosts)]
+    assert 27 < urlfilter.MIN_SUPPORT * len(labelled)
+    df = spark.createDataFrame(labelled, "url string, bad boolean")
+    assert {tuple(r["tokens"]) for r in rows(urlfilter.mine_rules(df))} == {("h:spam",)}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labelled)], "page_id long, url string")
+    got = rows(urlfilter.judge_urls(pages, df, []))
+    assert {r["host"] for r in got if r["verdict"] == "block"} == {"spam.example.net"}
+    # Support by count: a share at few urls, 20 of them beyond, a share again from two million on.
+    assert [urlfilter.least_support(n) * n for n in (500, 10_000, 1_000_000, 10_000_000)] == pytest.approx([5, 19.5, 19.5, 100])
+
+
 # -- 8 quality ----------------------------------------------------------------
 
 def test_quality_separates_labels(spark):

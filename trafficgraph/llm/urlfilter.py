@@ -4,7 +4,11 @@ Site rules are ``(host, path, verdict)``: a rule fits its host and all
 subdomains when the url's path starts with the rule's; the longest wins. Urls
 without one get the method's verdict. Spark's FP-growth mines combinations of
 url tokens (host labels, path parts, query keys) that go with bad labels;
-rules are pruned by support, confidence and lift, and a rule is dropped where
+rules are pruned by support, confidence and lift. The support is a share of the
+labelled urls up to ``MIN_COUNT`` of them, and from there on that count (down to
+the share ``LEAST_SUPPORT``, which bounds the combinations); rules rarer than the
+share must beat the share of bad labels by ``MIN_DEVIATIONS`` standard
+deviations, so that chance makes none of many rare combinations. A rule is dropped where
 a rule of fewer of its tokens is as confident. A url is blocked if it holds
 all tokens of a rule. Matching goes by an inverted index: each rule stands
 under its rarest token, distinct token sets are looked up there and checked,
@@ -30,6 +34,9 @@ from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT = 0.01
+MIN_COUNT = 20               # labelled urls that suffice, if they are a smaller share
+LEAST_SUPPORT = 1e-5
+MIN_DEVIATIONS = 5.0
 MIN_CONFIDENCE = 0.6
 MIN_LIFT = 1.5
 _BAD = "label:bad"
@@ -76,6 +83,11 @@ def site_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
+def least_support(n: int, min_support: float = MIN_SUPPORT) -> float:
+    """Support mined at ``n`` labelled urls; half an url less, so that rounding raises no count."""
+    return min(min_support, max((MIN_COUNT - 0.5) / n, LEAST_SUPPORT))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules ``tokens, confidence, support, anchor`` from ``labelled`` (url, bad)."""
@@ -86,15 +98,20 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
         return spark.sql("SELECT array('') AS tokens, 0D AS confidence, 0D AS support, '' AS anchor LIMIT 0")
     counts = (known.select(F.explode("tokens").alias("token")).groupBy("token")
               .agg((F.count("*") / n).alias("share")))
-    # A token of every url adds nothing to any combination; rarer ones than
-    # the support cannot be in a rule. What is left is at most urls' length / support.
-    useful = counts.where((F.col("share") < 1) & (F.col("share") >= min_support))
-    held = useful.agg(F.collect_set("token").alias("t")).first()["t"]
-    items = F.concat(F.array_intersect("tokens", F.array(*map(F.lit, held)).cast("array<string>")),
+    # A token of every url adds nothing to any combination (they are at most one url's
+    # tokens); rarer ones than the support cannot be in a rule.
+    least = least_support(n, min_support)
+    everywhere = [r["token"] for r in counts.where(F.col("share") >= 1).select("token").collect()]
+    useful = counts.where((F.col("share") < 1) & (F.col("share") >= least))
+    items = F.concat(F.array_except("tokens", F.array(*map(F.lit, everywhere)).cast("array<string>")),
                      F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(
         known.select(items.alias("items")))
+    base = F.col("confidence") / F.col("lift")
+    deviations = (F.col("confidence") - base) / F.sqrt(
+        base * (1 - base) / (F.col("support") / F.col("confidence") * n))
     rules = (model.associationRules.where((F.col("consequent")[0] == _BAD) & (F.col("lift") >= min_lift))
+             .where((F.col("support") >= min_support) | (deviations >= MIN_DEVIATIONS))
              .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     # The rarest token of each rule, and rules that a part of their tokens makes needless.
     index = rules.select("*", F.explode("tokens").alias("token"))
