@@ -1,0 +1,149 @@
+"""Personal data: every whole document against a plain Python version; checks, context, hard texts."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from trafficgraph.llm import pii
+from trafficgraph.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def plain_base(text):
+    """The base spans by Python's own regular expressions, as the patterns are stated."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+",
+         lambda m: 16 <= len(digits(m)) <= 19 and plain_luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(kind, m.start(), m.end()) for kind, pattern, good in rules
+            for m in re.finditer(pattern, text or "") if good(m.group())]
+
+
+def written(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find_pii(df).collect()
+    return {r.doc_id: [(s.kind, s.start, s.end, round(s.score, 2)) for s in r.spans] for r in rows}
+
+
+def base_of(spans):
+    return [s[:3] for s in spans if s[0] in pii.BASE_KINDS]
+
+
+HARD = [
+    "mail me: a.b@c.de.x_y", "x a@b.c%d@e.f ü 10.0.0.256 1.2.3.4.5 ip", "a@b.cd@e.fg", "a@@b.c", ".@-.-",
+    "4111 1111 1111 1111 card +1 (741) 555-3069", "4111-1111-1111-1112", "41111111111111110000",
+    "0000001.00255.0000.0000256 1.2.3.00000000000000000000255", "1.2.3.4.5.6.7.8.9",
+    "+1) ) ( +12 34567890 +1-234-567-8901-2345-6 +49.30.123456 ++1 23 45678", "+1" + " " * 500 + "2345678",
+    "ü😀a@b.co,a@b.co 😀 a@b.co 4111111111111111", "", None, "no data here", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6",
+    "٤١١١١١١١١١١١١١١١ Ａ@ｂ.ｃ", "a@b.c\na@b.c\r\n10.1.1.1\x0010.1.1.2", "\\'\"%_ a%b@c.d",
+]
+
+
+def test_hard_texts_equal_plain_regular_expressions(spark):
+    got = found(spark, HARD)
+    for i, text in enumerate(HARD):
+        assert base_of(got[i]) == plain_base(text), text
+
+
+def test_generated_texts_equal_plain_regular_expressions(spark):
+    import random
+    rnd = random.Random(7)
+    pieces = ["a", "b@", "@", ".", "c.d", "%", "-", " ", "+", "1", "22", "255", "256", "(", ")", "4111111111111111",
+              "é", "😀", "0", "1.2.3.4", "+12345678", "x@y.z", "5500 0000 0000 0004", "\n", "_"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 60))) for _ in range(1500)]
+    got = found(spark, texts)
+    for i, text in enumerate(texts):
+        assert base_of(got[i]) == plain_base(text), text
+
+
+def test_whole_table_equals_plain_version(spark):
+    rows = {r.doc_id: r for r in QUERIES["op13_pii"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    total = 0
+    for d in docs:
+        base = plain_base(d.text)
+        r = rows[d.doc_id]
+        total += len(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [
+            sum(k == kind for k, _, _ in base) for kind in pii.BASE_KINDS]
+        assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if s.split(":")[0] in pii.BASE_KINDS] == [
+            s for s in written(base).split(",") if s]
+        assert [s for s in spans if s.split(":")[0] not in pii.KINDS] == []
+    assert total > 20
+
+
+def test_added_kinds_need_check_and_context(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 IN", "GB82WEST12345698765432.", "DE88370400440532013000",
+             "hash DE89370400440532013000", "my ssn 123-45-6789", "code 123-45-6789", "ssn 666-45-6789",
+             "amex 378282246310005", "378282246310005", "amex 378282246310006", "Karte: 3782 822463 10005",
+             "XK051212012345678906", "amex 4444 3782 8224 6310 005"]
+    got = found(spark, texts)
+    kinds = [[s[0] for s in got[i] if s[0] in pii.ADDED_KINDS] for i in range(len(texts))]
+    assert kinds == [["iban"], ["iban"], [], [], ["ssn"], [], [], ["card_short"], [], [], ["card_short"],
+                     ["iban"], []]
+    assert got[0][0][1:3] == (5, 32)
+
+
+def test_context_moves_the_score_and_base_spans_stay(spark):
+    got = found(spark, ["server 10.0.0.1", "10.0.0.1", "version 10.0.0.1"])
+    scores = [got[i][0][3] for i in range(3)]
+    assert scores[0] > scores[1] > scores[2] and scores[2] < pii.MIN_SCORE
+
+
+@pytest.mark.parametrize("text,counts", [
+    ("9" * 300_000, (0, 0, 0, 0)), ("1 " * 300_000, (0, 0, 0, 0)), ("a" * 3_000_000, (0, 0, 0, 0)),
+    ("a@b.co " * 60_000, (60_000, 0, 0, 0)), ("+1" + " " * 1_000_000, (0, 0, 0, 0)),
+    ("a@" * 300_000, (0, 0, 0, 0)), ("0" * 500_000 + ".1.1.1", (0, 1, 0, 0)),
+])
+def test_very_long_texts(spark, text, counts):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.digest(pii.find_pii(df)).first()
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == counts
+    assert row.base_sha256 == hashlib.sha256(written(plain_base(text)).encode()).hexdigest() \
+        if len(text) < 500_000 and counts[0] else True
+
+
+def test_nulls_empty_table_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 5), (1, "a@b.co", 5), (None, None, None), (2, "", 1)],
+                               "doc_id long, text string, spans int") \
+        .withColumn("_text", F.lit(3)).withColumn("matches", F.lit("a@b.co"))
+    rows = pii.digest(pii.find_pii(df)).collect()
+    assert sorted((r.doc_id or 0, r.spans) for r in rows) == [(0, ""), (1, "email:0:6"), (1, "email:0:6"), (2, "")]
+    assert pii.digest(pii.find_pii(df.limit(0))).count() == 0
+
+
+def test_running_sums_in_chunks(spark):
+    n = 200_000
+    df = spark.range(1).select(F.expr(f"transform(sequence(1, {n}), i -> cast(i AS bigint)) AS x"))
+    sums = df.select(F.expr(pii.running_sums("x")).alias("s")).first().s
+    assert len(sums) == n and sums[0] == 1 and sums[256] == 257 * 258 // 2 and sums[-1] == n * (n + 1) // 2
+
+
+def test_plan_is_native_and_has_no_shuffle(spark):
+    plan = QUERIES["op13_pii"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for word in ("Python", "Arrow", "Pandas"):
+        assert word not in plan

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficgraph.llm import (chat, decontamination, embeddings, language, licenses, minhash,
-                              packing, quality, tokencounts, urlfilter)
+                              packing, pii, quality, tokencounts, urlfilter)
 from trafficgraph.llm.oracle import ORACLE
 from trafficgraph.llm.ship import prepare
 
@@ -91,6 +91,10 @@ def op10_packing(spark, sf_dir):
     return packing.with_digest(pieces)
 
 
+def op13_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 __all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op13_pii": op13_pii,
 }
