@@ -1,0 +1,126 @@
+"""Centroid clustering: bounds, and whole runs against plain integer k-means."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trafficgraph.llm import clustering as cl
+from trafficgraph.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, k=16, rounds=3, dim=64, scale=64):
+    """``{vec_id: [(cluster, distance)]}`` and centroids in Python integers."""
+    kept = []
+    for vec_id, x in rows:
+        if x is None or len(x) != dim or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        kept.append((vec_id, [max(-cl.LIMIT, min(cl.LIMIT, math.floor(scale * v))) for v in x]))
+    key = lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[0] or 0, r[1])
+    cents = [list(v) for _, v in sorted(kept, key=key)[:k]]
+    dist = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+
+    def assign():
+        return [min((dist(v, c), i) for i, c in enumerate(cents)) for _, v in kept]
+
+    for _ in range(rounds):
+        near = assign()
+        for i in range(len(cents)):
+            mine = [v for (_, v), (_, c) in zip(kept, near) if c == i]
+            if mine:
+                cents[i] = [sum(col) // len(mine) for col in zip(*mine)]
+    out = {}
+    for (vec_id, _), (d, c) in zip(kept, assign()):
+        out.setdefault(vec_id, []).append((c, d))
+    return {i: sorted(v) for i, v in out.items()}, cents
+
+
+def got(df, **kw):
+    done, cents = cl.cluster_vectors(df, **kw)
+    out = {}
+    for r in done.collect():
+        out.setdefault(r.id, []).append((r.cluster, r.distance))
+    return {i: sorted(v) for i, v in out.items()}, [c.tolist() for c in cents]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_never_drop_a_nearest_centroid(seed):
+    rnd = np.random.default_rng(seed)
+    spread = [3, 200, 1 << 20, cl.LIMIT][seed]
+    x = rnd.integers(-spread, spread + 1, (400, 12))
+    x[:40] = x[0]                                        # copies
+    x[40:80] = x[1] + (np.arange(40) % 3)[:, None]       # a line: dependent pivots
+    cents = np.concatenate([x[:20], x[40:50], x[100:110]])
+    s = cl.Simplex(cents)
+    cluster, best, compared = cl.nearest(x, s.apexes(x), cents, s.apexes(cents))
+    d = ((x[:, None, :] - cents[None]) ** 2).sum(axis=2)
+    assert (best == d.min(axis=1)).all() and (cluster == d.argmin(axis=1)).all()
+    assert (compared >= 1).all()
+
+
+def test_bounds_enclose_the_distance():
+    rnd = np.random.default_rng(1)
+    x, p = rnd.integers(-100, 100, (200, 20)), rnd.integers(-100, 100, (9, 20))
+    s = cl.Simplex(p)
+    a = s.apexes(x)
+    true = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    lower = ((a[:, None] - a[None]) ** 2).sum(axis=2)
+    upper = lower + 4 * a[:, None, -1] * a[None, :, -1]
+    assert (lower <= true + 1e-3).all() and (upper >= true - 1e-3).all()
+
+
+def test_bounds_leave_few_centroids_where_clusters_are_clear():
+    rnd = np.random.default_rng(2)
+    centres = rnd.integers(-1000, 1000, (16, 64))
+    x = centres[rnd.integers(0, 16, 2000)] + rnd.integers(-20, 20, (2000, 64))
+    s = cl.Simplex(centres)
+    *_, compared = cl.nearest(x, s.apexes(x), centres, s.apexes(centres))
+    assert compared.mean() < 1.1
+
+
+def test_query_equals_plain_version(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want, cents = plain(rows)
+    result = QUERIES["op11_clustering"](spark, SF).collect()
+    assert {r.vec_id: [(r.cluster, r.distance)] for r in result} == want
+    inertia = {}
+    for v in want.values():
+        for c, d in v:
+            inertia[c] = inertia.get(c, 0) + d
+    for r in result:
+        assert r.cluster_inertia == inertia[r.cluster] and r.inertia == sum(inertia.values())
+        assert r.centroid_sha256 == hashlib.sha256(
+            ",".join(map(str, cents[r.cluster])).encode()).hexdigest()
+
+
+def test_hard_rows_equal_plain_version(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rnd.integers(-2, 3, 4) / 64]) for i in range(60)]     # ties, copies
+    rows += rows[:10]                                                                 # repeated rows
+    rows += [(100, None), (101, [0.1] * 3), (102, []), (103, [None, 0.0, 0.0, 0.0]),
+             (104, [float("nan"), 0.0, 0.0, 0.0]), (105, [float("inf"), 0.0, 0.0, 0.0]),
+             (106, [3e38, -3e38, 0.0, 0.0]), (None, [0.5, 0.5, 0.0, 0.0]), (107, [-0.001, -0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)
+    for k in (1, 16, 200):
+        assert got(df, k=k, dim=4) == plain(rows, k=k, dim=4)
+
+
+def test_clashing_columns_and_empty_table(spark):
+    rows = [(i, [i / 64.0] * 4) for i in range(9)]
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)
+    for name in ("id", "v", "_x", "_h", "cluster", "apex"):
+        df = df.withColumn(name, F.lit("x"))
+    assert got(df, k=3, dim=4) == plain(rows, k=3, dim=4)
+    done, cents = cl.cluster_vectors(df.limit(0), dim=4)
+    assert cl.with_summary(done, cents).count() == 0
+
+
+def test_inertia_beyond_long_is_null(spark):
+    df = spark.createDataFrame([(i, [3e38 * (-1) ** i] * 64, None) for i in range(6)], SCHEMA)
+    rows = cl.with_summary(*cl.cluster_vectors(df, k=1, rounds=0)).collect()
+    assert len(rows) == 6 and all(r.inertia is None for r in rows) and max(r.distance for r in rows) > 1 << 60

@@ -67,7 +67,61 @@ SELECT p.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, p.vec_id = p.compo
 FROM parts p LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) c USING (vec_id)
 """
 
+_WHOLE = ("list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))")
+_FINITE = ("embedding IS NOT NULL "
+           "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
+
+
+def _clustering(rounds: int = 3, k: int = 16) -> str:
+    """Assignment and floor of the mean, one pair of steps per round."""
+    parts = [f"""
+kept AS (SELECT vec_id, {_WHOLE.format(scale=64)} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+cent0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept
+          QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+near{r} AS (SELECT vec_id, v, min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d FROM (
+              SELECT e.vec_id, e.v, q.c, CAST(list_sum(list_transform(list_zip(e.v, q.v),
+                     lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+              FROM kept e, cent{r} q) GROUP BY vec_id, v)""")
+        if r < rounds:
+            parts.append(f"""
+mean{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+              SELECT c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+              FROM near{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c),
+cent{r + 1} AS (SELECT q.c, coalesce(m.v, q.v) AS v FROM cent{r} q LEFT JOIN mean{r} m USING (c))""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(q.v, ',')) AS centroid_sha256
+FROM near{rounds} a JOIN cent{rounds} q USING (c)
+"""
+
+
+MINING = f"""
+WITH kept AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           {_WHOLE.format(scale=256)} AS v
+    FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+), scores AS (
+    SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS s
+    FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+), positives AS (
+    SELECT a, b, s FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON p.a = n.a AND NOT n.same
+WHERE 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_clustering": _clustering(),
+    "op12_hard_negatives": MINING,
     "op4_embeddings": EMBEDDINGS,
     "op6_chat_formatting": CHAT,
     "op9_minhash": MINHASH,

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficgraph.llm import (chat, decontamination, embeddings, language, licenses, minhash,
-                              packing, pii, quality, tokencounts, urlfilter)
+from trafficgraph.llm import (chat, clustering, decontamination, embeddings, language, licenses,
+                              minhash, mining, packing, pii, quality, tokencounts, urlfilter)
 from trafficgraph.llm.oracle import ORACLE
 from trafficgraph.llm.ship import prepare
 
@@ -91,6 +91,17 @@ def op10_packing(spark, sf_dir):
     return packing.with_digest(pieces)
 
 
+def op11_clustering(spark, sf_dir):
+    return clustering.with_summary(*clustering.cluster_vectors(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    turned = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mining.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0,
+                                 label=turned)
+
+
 def op13_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -108,5 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op11_clustering": op11_clustering,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_pii": op13_pii,
 }
