@@ -15,13 +15,21 @@ leaf has two centres. That test is exact (one aggregation per round). Each
 round is written to the shared checkpoint folder, so lineage stays one round
 long and a lost executor costs one re-read.
 
+Rounds shrink. A leaf with one centre that is no centre itself is *settled*: it
+is connected to the rest through its centre only, so its label is the
+centre's, whatever that becomes. Settled vertices leave the edge set with a
+pointer to their centre (a component that has become a star leaves as a whole),
+and the pointers are followed back from the last round to the first once
+the rounds are over.
+
 The component id is the smallest vertex id in the component, so results do
 not depend on the order in which edges arrive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +39,13 @@ from trafficgraph.operators.skew import (DEFAULT_HOT_ROWS, hot_keys, hot_thresho
                                          salted_join)
 
 
+# Settled vertices leave the edge set when they are at least this share of a round's
+# vertices, while those are at least the other share of the first round's: each such
+# step costs a written table, which the last few edges do not repay.
+SETTLE_SHARE = 0.4
+SETTLE_FROM = 0.05
+
+
 class ComponentsDidNotConverge(RuntimeError):
     pass
 
@@ -56,20 +71,35 @@ def _vertex_summary(o: DataFrame, k: list[str]) -> DataFrame:
                                       F.sum(F.lit(1) - F.col("_as_lo")).alias("_nhi"))
 
 
-def _round_stats(summary: DataFrame, hot_rows: int) -> tuple[int, int, int, tuple]:
-    """One action: vertices that break the star-forest shape (0 means done:
-    none is both a centre and a leaf, none a leaf with two centres), vertices
-    whose rows make a join key hot, the row count that makes them so, and a
-    fingerprint of the round."""
+def _settled() -> F.Column:
+    """A vertex whose only neighbour below it is its centre, and that is no centre itself."""
+    return (F.col("_cmin") == F.col("_cmax")) & (F.col("_l") == 0)
+
+
+@dataclass(frozen=True)
+class RoundStats:
+    bad: int            # vertices that break the star-forest shape; 0 means done
+    hot: int            # vertices whose rows make a join key hot
+    hot_from: int       # the row count that makes them so
+    rows: int           # edges
+    vertices: int
+    settled: int        # vertices that leave after this round
+    mark: int           # fingerprint of the round
+
+
+def _round_stats(summary: DataFrame, hot_rows: int) -> RoundStats:
+    """One action over the per-vertex summary. Bad is a vertex that is both a centre
+    and a leaf, or a leaf with two centres."""
     leaf = F.col("_cmin").isNotNull()
     bad = (F.col("_cmin") != F.col("_cmax")) | (leaf & (F.col("_l") == 1))
     hot = (F.col("_nlo") > F.lit(hot_rows)) | (F.col("_nhi") > F.lit(hot_rows))
-    same = F.xxhash64(*summary.columns)
     row = summary.agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(hot, 1)).alias("hot"),
                       F.sum("_nlo").alias("rows"), F.count(F.lit(1)).alias("vertices"),
-                      F.bit_xor(same).alias("mark")).first()
-    return (int(row["bad"]), int(row["hot"]), hot_threshold(int(row["rows"] or 0), hot_rows),
-            (row["rows"], row["vertices"], row["mark"]))
+                      F.count(F.when(_settled(), 1)).alias("settled"),
+                      F.bit_xor(F.xxhash64(*summary.columns)).alias("mark")).first()
+    rows = int(row["rows"] or 0)
+    return RoundStats(int(row["bad"]), int(row["hot"]), hot_threshold(rows, hot_rows), rows,
+                      int(row["vertices"]), int(row["settled"]), row["mark"])
 
 
 def _large_star(o: DataFrame, summary: DataFrame, k: list[str],
@@ -97,7 +127,8 @@ def _small_star(o: DataFrame, k: list[str], hot: DataFrame | None = None) -> Dat
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          keys: Sequence[str] = ("eventTime",), vertex: str = "vertexId",
                          component: str = "componentId",
-                         hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                         hot_rows: int = DEFAULT_HOT_ROWS,
+                         on_round: Callable[[RoundStats], None] | None = None) -> DataFrame:
     """Label the undirected connected components of each keyed graph.
 
     ``edges`` has the key columns plus ``src`` and ``dst`` of any orderable
@@ -106,6 +137,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     ``component`` is the smallest vertex of its component. Rows with a null
     end point are ignored. A vertex meeting more than ``hot_rows`` edges in a
     round's join is split over several tasks (``trafficgraph.operators.skew``).
+    ``on_round`` is told the figures of every round.
     """
     k = list(keys)
     e = (edges.select(*[F.col(c) for c in k], F.col(src).alias("_a"), F.col(dst).alias("_b"))
@@ -116,37 +148,86 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                                 F.least("_a", "_b").alias("_lo")).distinct())
     cur, release = base.where(F.col("_hi") != F.col("_lo")), _chain()
     spent: list[str] = []      # round tables no frame reads once the next round is summarised
-    last = None
+    levels: list[tuple[DataFrame, str, int]] = []   # (vertex, centre) of settled vertices, path, rows
+    first = last = None
     while True:
         summary, release_summary = cached(_vertex_summary(cur, k))
-        # The check caches the summary that the next large-star reads; each
+        # The check caches the summary that the next round's joins read; each
         # round's edge set is a table in the checkpoint folder.
-        bad, n_hot, hot_from, mark = _round_stats(summary, hot_rows)
+        stats = _round_stats(summary, hot_rows)
+        if on_round:
+            on_round(stats)
         release()
         while len(spent) > 1:
             drop_table(edges.sparkSession, spent.pop(0))
-        if bad == 0:
+        if stats.bad == 0:
             break
-        if mark == last:       # a round that changed nothing would go on forever
+        if (stats.rows, stats.vertices, stats.mark) == last:   # nothing moved: it would go on forever
             release_summary()
-            raise ComponentsDidNotConverge(f"{bad} vertices break the star forest and no edge moves")
-        last = mark
-        hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", hot_from) if n_hot else None
-        hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", hot_from).withColumnRenamed("_u", "_hi")
-                  if n_hot else None)
-        cur, path = write_table(_small_star(_large_star(cur, summary, k, hot_lo), k, hot_hi))
+            raise ComponentsDidNotConverge(
+                f"{stats.bad} vertices break the star forest and no edge moves")
+        last = stats.rows, stats.vertices, stats.mark
+        hot_lo = hot_keys(summary, [*k, "_u"], "_nlo", stats.hot_from) if stats.hot else None
+        hot_hi = (hot_keys(summary, [*k, "_u"], "_nhi", stats.hot_from).withColumnRenamed("_u", "_hi")
+                  if stats.hot else None)
+        live = cur
+        first = first or stats.vertices
+        if (stats.settled >= SETTLE_SHARE * stats.vertices
+                and stats.vertices >= SETTLE_FROM * first):
+            # Settled leaves are larger than their centre: without them its smallest
+            # neighbour stays what it was, so the summary holds for what is left.
+            leaves = F.coalesce(_settled(), F.lit(False))
+            settled = summary.where(leaves).select(*k, F.col("_u").alias("_v"), F.col("_cmin").alias("_c"))
+            levels.append((*write_table(settled), stats.settled))
+            left = summary.where(~leaves).select(*k, F.col("_u").alias("_hi"))
+            live = salted_join(cur, left, [*k, "_hi"], hot_hi, ["_lo"], "left_semi")
+        cur, path = write_table(_small_star(_large_star(live, summary, k, hot_lo), k, hot_hi))
         spent.append(path)
         release = release_summary
     # A star forest centred on minima: each vertex's label is the smaller of
     # itself and its smallest neighbour. Vertices seen only on self-loops
     # are their own component.
-    labels = summary.select(*k, F.col("_u").alias(vertex),
-                            F.least(F.col("_u"), F.col("_m")).alias(component))
+    labels = summary.select(*k, F.col("_u").alias("_v"), F.least(F.col("_u"), F.col("_m")).alias("_label"))
+    if levels:
+        labels = _followed(labels, levels, k, hot_rows)
+        release_summary()
+        for path in spent:
+            drop_table(edges.sparkSession, path)
+    labels = labels.select(*k, F.col("_v").alias(vertex), F.col("_label").alias(component))
     loops = (base.where(F.col("_hi") == F.col("_lo")).select(*k, F.col("_hi").alias(vertex))
              .join(labels.select(*k, vertex), [*k, vertex], "left_anti"))
     return labels.unionByName(loops.select(*k, vertex, F.col(vertex).alias(component)))
 
 
+def _followed(labels: DataFrame, levels: list[tuple[DataFrame, str, int]], k: list[str],
+              hot_rows: int) -> DataFrame:
+    """Labels of all vertices: pointers of settled vertices followed from the last round back.
+
+    A centre without a label was left alone when its last leaf settled: it is the
+    smallest vertex of its component, its own label, and gets its row here. Each
+    level reads the labels after it twice, so they are written; only the last table stays.
+    """
+    spark, before = labels.sparkSession, None
+    for level, level_path, rows in reversed(levels):
+        known = labels.select(*k, F.col("_v").alias("_c"), "_label")
+        hot = None
+        if rows > hot_rows:
+            load = level.groupBy(*k, "_c").agg(F.count(F.lit(1)).alias("_rows"))
+            hot = hot_keys(load, [*k, "_c"], "_rows", hot_threshold(rows, hot_rows))
+        pointed = (salted_join(level, known, [*k, "_c"], hot, ["_v"], "left")
+                   .select(*k, "_v", F.coalesce("_label", "_c").alias("_label"), "_c",
+                           F.col("_label").isNull().alias("_alone")))
+        centres = (pointed.where("_alone").select(*k, F.col("_c").alias("_v"), F.col("_c").alias("_label"))
+                   .distinct())
+        labels, path = write_table(
+            labels.unionByName(pointed.select(*k, "_v", "_label")).unionByName(centres))
+        drop_table(spark, level_path)
+        if before:
+            drop_table(spark, before)
+        before = path
+    return labels
+
+
 def _chain(*fns):
     def run() -> None:
         for fn in fns:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficgraph.operators.materialize import (DEFAULT_BROADCAST_MAX_BYTES, Size, broadcast_within,
-                                                materialize, measured_size)
+                                                materialize_sized)
 from trafficgraph.operators.numbering import dense_number
 from trafficgraph.operators.vertices import road_vertices
 
@@ -34,20 +34,18 @@ class RoadGraph:
               broadcast_max_bytes: int | None = DEFAULT_BROADCAST_MAX_BYTES,
               with_ids: bool = True) -> "RoadGraph":
         """Materialise ``edges``; with ``with_ids`` also number and encode vertices."""
-        e = materialize(edges)
+        e, edge_size = materialize_sized(edges)
         if not with_ids:
-            return cls(e, None, None, {"edges": measured_size(e)}, broadcast_max_bytes)
+            return cls(e, None, None, {"edges": edge_size}, broadcast_max_bytes)
         numbered = dense_number(road_vertices(e, src, dst), "id", name="numericId")
-        ids = materialize(numbered.select(F.col("numericId").cast("int").alias("numericId"), "id"))
-        id_size = measured_size(ids)
+        ids, id_size = materialize_sized(
+            numbered.select(F.col("numericId").cast("int").alias("numericId"), "id"))
         small_ids = broadcast_within(ids, id_size, broadcast_max_bytes)
         s = small_ids.select(F.col("id").alias("_sid"), F.col("numericId").alias("srcNumericId"))
         d = small_ids.select(F.col("id").alias("_did"), F.col("numericId").alias("dstNumericId"))
-        encoded = materialize(e.join(s, F.col(src) == F.col("_sid")).drop("_sid")
-                              .join(d, F.col(dst) == F.col("_did")).drop("_did"))
-        size = measured_size(encoded)       # inner joins on every end: the edges again
-        sizes = {"edges": Size(size.rows, {c: size.widths[c] for c in e.columns}),
-                 "ids": id_size, "encoded": size}
+        encoded, size = materialize_sized(e.join(s, F.col(src) == F.col("_sid")).drop("_sid")
+                                          .join(d, F.col(dst) == F.col("_did")).drop("_did"))
+        sizes = {"edges": edge_size, "ids": id_size, "encoded": size}
         return cls(e, ids, encoded, sizes, broadcast_max_bytes)
 
     @property

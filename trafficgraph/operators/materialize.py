@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trafficgraph.session import checkpoint_dir
@@ -109,13 +109,19 @@ class Size:
         return self.rows * (ROW_BYTES + sum(self.widths[c] for c in columns))
 
 
-def measured_size(df: DataFrame) -> Size:
-    """Exact row count and largest widths (one action over a written table)."""
+def materialize_sized(df: DataFrame) -> tuple[DataFrame, Size]:
+    """``materialize`` that also measures row count and largest widths, in the writing job.
+
+    A task that runs twice may count its rows twice: the size is an upper bound, which
+    is what a broadcast is checked against.
+    """
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.max(F.octet_length(c)).alias(c) for c in text]).first()
-    widths = {f.name: 8 + (int(row[f.name] or 0) if f.name in text else 0) for f in df.schema.fields}
-    return Size(int(row["_rows"]), widths)
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("_rows"),
+                                   *[F.max(F.octet_length(c)).alias(c) for c in text]))
+    got = seen.get
+    widths = {f.name: 8 + (int(got.get(f.name) or 0) if f.name in text else 0) for f in df.schema.fields}
+    return table, Size(int(got.get("_rows") or 0), widths)
 
 
 def broadcast_within(df: DataFrame, size: Size, max_bytes: int | None) -> DataFrame:
