@@ -27,6 +27,7 @@ so the store stays as large as the open time window.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,35 @@ _PROGRESS = T.StructType([T.StructField("batchId", T.LongType()),
                           T.StructField("open", _OPEN)])
 
 
+@dataclass
+class Trigger:
+    """What one micro-batch brought and which event times it concerns."""
+    spark: SparkSession
+    batch_id: int
+    rows: DataFrame             # the batch's rows, read from its folder
+    micros: F.Column            # event time in microseconds
+    cut: int | None             # event times below it are final
+    cut_before: int | None      # ... and those below this one were before
+    folders: list[int]          # batches that hold open event times
+    everything: bool            # read all folders instead
+
+    def final(self) -> F.Column:
+        return (self.micros < F.lit(self.cut)) if self.cut is not None else F.lit(False)
+
+    def wanted(self, df: DataFrame) -> DataFrame:
+        """The rows of event times that the batch touched or that became final with it."""
+        touched = self.rows.select("eventTime").distinct().withColumn("_touched", F.lit(True))
+        if touched.count() <= MAX_TOUCHED_TIMES:
+            touched = F.broadcast(touched)
+        wanted = F.col("_touched").isNotNull()
+        if self.cut is not None:
+            newly_final = self.micros < F.lit(self.cut)
+            if self.cut_before is not None:
+                newly_final = newly_final & (self.micros >= F.lit(self.cut_before))
+            wanted = wanted | newly_final
+        return df.join(touched, "eventTime", "left").where(wanted).drop("_touched")
+
+
 class EdgeStoreRelabel:
     """``foreachBatch`` function: store changed edges, relabel, pass labels on.
 
@@ -128,36 +158,35 @@ class EdgeStoreRelabel:
          .coalesce(1).write.mode("overwrite").parquet(self._progress(batch_id)))
         self._progress_rows[batch_id] = (running, keep)
 
-        stored = T.StructType(rows.schema.fields + [T.StructField("batchId", T.LongType())])
-        if cut_before is not None and span["lo"] is not None and span["lo"] < cut_before:
-            paths = [self._edges()]      # a row older than the cutoff: read everything
-        else:
-            paths = [self._edges(b) for b, _, hi in opened
-                     if cut_before is None or hi >= cut_before]
-        if paths:
-            store = (spark.read.schema(stored).option("basePath", self._edges()).parquet(*paths)
-                     .where(F.col("batchId") <= F.lit(batch_id)).drop("batchId"))
-        else:
-            store = spark.createDataFrame([], rows.schema)
-        # One read of the store: event times that became final by their own
-        # value, those that this batch touched by a broadcast of their list.
-        touched = this.select("eventTime").distinct().withColumn("_touched", F.lit(True))
-        n_touched = touched.count()
-        if n_touched <= MAX_TOUCHED_TIMES:
-            touched = F.broadcast(touched)
-        wanted = F.col("_touched").isNotNull()
-        if cut is not None:
-            newly_final = micros < F.lit(cut)
-            if cut_before is not None:
-                newly_final = newly_final & (micros >= F.lit(cut_before))
-            wanted = wanted | newly_final
-        scope = (store.where(F.col("src").isNotNull()).join(touched, "eventTime", "left")
-                 .where(wanted).drop("_touched"))
-        final = (micros < F.lit(cut)) if cut is not None else F.lit(False)
+        trigger = Trigger(spark, batch_id, this, micros, cut, cut_before,
+                          [b for b, _, hi in opened if cut_before is None or hi >= cut_before],
+                          # a row older than the cutoff: read everything
+                          cut_before is not None and span["lo"] is not None and span["lo"] < cut_before)
         with table_scope():                # the labels are consumed by the sink
-            self.sink(self.labeller(scope, final), batch_id)
+            self.sink(self._labels(trigger), batch_id)
         self._expire(spark, batch_id, open_before, open_before2)
 
+    def _stored(self, trigger: "Trigger", base: str, schema: T.StructType,
+                before: bool = False) -> DataFrame:
+        """Rows of a table with one folder per batch: the open folders up to the
+        trigger's batch (``before``: without it), with their ``batchId``."""
+        stored = T.StructType(schema.fields + [T.StructField("batchId", T.LongType())])
+        ids = [b for b in trigger.folders if not before or b < trigger.batch_id]
+        paths = [base] if trigger.everything else [f"{base}/batchId={b}" for b in ids]
+        paths = [p for p in paths if not before or path_exists(trigger.spark, p)]
+        if not paths:
+            return trigger.spark.createDataFrame([], stored)
+        last = trigger.batch_id - 1 if before else trigger.batch_id
+        return (trigger.spark.read.schema(stored).option("basePath", base).parquet(*paths)
+                .where(F.col("batchId") <= F.lit(last)))
+
+    def _labels(self, trigger: "Trigger") -> DataFrame:
+        # One read of the store: event times that became final by their own
+        # value, those that this batch touched by a broadcast of their list.
+        store = self._stored(trigger, self._edges(), trigger.rows.schema).drop("batchId")
+        scope = trigger.wanted(store.where(F.col("src").isNotNull()))
+        return self.labeller(scope, trigger.final())
+
     def _expire(self, spark: SparkSession, batch_id: int, open_before: list,
                 open_before2: list) -> None:
         """Delete folders no batch from ``batch_id`` on can read, even on replay.
@@ -172,11 +201,14 @@ class EdgeStoreRelabel:
         if batch_id - 2 >= 0:
             candidates.add(batch_id - 2)
         for b in sorted(candidates - still):
-            drop_table(spark, self._edges(b))
+            self._drop_batch(spark, b)
         if batch_id - 3 >= 0:
             drop_table(spark, self._progress(batch_id - 3))
             self._progress_rows.pop(batch_id - 3, None)
 
+    def _drop_batch(self, spark: SparkSession, batch_id: int) -> None:
+        drop_table(spark, self._edges(batch_id))
+
 
 def _store_path(checkpoint_location: str) -> str:
     return f"{checkpoint_location.rstrip('/')}/relabel-store"
