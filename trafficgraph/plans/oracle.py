@@ -112,6 +112,53 @@ clusters AS (
 """
 
 
+# Every class at once: the closure of the edges that reach a class, class by class.
+_BY_CLASS = """,
+edge_class AS (SELECT eventTime, srcNumericId AS src, dstNumericId AS dst,
+                      max(congestionClassStreaming) AS c
+               FROM on_edges WHERE congestionClassStreaming IS NOT NULL GROUP BY ALL),
+class_und AS (SELECT k, eventTime, src AS a, dst AS b FROM edge_class, (SELECT unnest(range(1, 12)) AS k)
+              WHERE c >= k
+              UNION SELECT k, eventTime, dst, src FROM edge_class, (SELECT unnest(range(1, 12)) AS k)
+              WHERE c >= k),
+class_reach(k, eventTime, v, r) AS (
+  SELECT k, eventTime, a, a FROM class_und
+  UNION
+  SELECT x.k, x.eventTime, x.v, y.b FROM class_reach x
+  JOIN class_und y ON x.k = y.k AND x.eventTime = y.eventTime AND x.r = y.a),
+by_class AS (SELECT CAST(k AS INTEGER) AS congestionClass, eventTime, CAST(v AS INTEGER) AS vertexId,
+                    CAST(min(r) AS INTEGER) AS componentId
+             FROM class_reach GROUP BY k, eventTime, v)
+"""
+
+# Vertices of the network among the users seen so far, numbered version by version.
+_DICTIONARY = f""",
+first_seen AS (SELECT user_id AS u, min(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+stage AS (SELECT u, CASE WHEN ts < d + INTERVAL 1 DAY THEN 1 WHEN ts < d + INTERVAL 2 DAY THEN 2 ELSE 3 END AS v
+          FROM first_seen, (SELECT date_trunc('day', min(ts)) AS d FROM events)),
+dict_edges AS (SELECT a.u AS a, b.u AS b, greatest(a.v, b.v) AS v FROM stage a JOIN stage b
+               ON b.u = a.u + 1 OR (b.u = a.u + 10 AND a.u % 10 = 0)),
+dict AS (SELECT u, min(v) AS version FROM (SELECT a AS u, v FROM dict_edges UNION ALL SELECT b, v FROM dict_edges)
+         GROUP BY u)
+"""
+
+_TRACKS = """,
+member AS (SELECT eventTime, clusterId, vertexId, dense_rank() OVER (ORDER BY eventTime) AS step
+           FROM clusters WHERE clusterId >= 0),
+shared AS (SELECT a.step, a.clusterId AS c, b.clusterId AS n, count(*) AS s
+           FROM member a JOIN member b ON b.step = a.step + 1 AND a.vertexId = b.vertexId GROUP BY ALL),
+succ AS (SELECT step, c, n FROM shared QUALIFY row_number() OVER (PARTITION BY step, c ORDER BY s DESC, n) = 1),
+pred AS (SELECT step, n, c FROM shared QUALIFY row_number() OVER (PARTITION BY step, n ORDER BY s DESC, c) = 1),
+kept AS (SELECT step, c, n FROM succ JOIN pred USING (step, c, n)),
+node AS (SELECT eventTime, step, clusterId, count(*) AS vertices FROM member GROUP BY ALL),
+track(step, c, step0, c0) AS (
+  SELECT step, clusterId, step, clusterId FROM node o
+  WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.step + 1 = o.step AND k.n = o.clusterId)
+  UNION ALL
+  SELECT k.step + 1, k.n, t.step0, t.c0 FROM track t JOIN kept k ON k.step = t.step AND k.c = t.c)
+"""
+
+
 def _json_ts(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%dT%H:%M:%S.%g')"
 
@@ -137,6 +184,24 @@ FROM cc_decoded GROUP BY eventTime, componentId""",
     "dengraph_core": "SELECT * FROM core",
     "dengraph_clusters": "SELECT clusterId, eventTime, vertexId, vertexType FROM clusters",
     "dengraph_map_exploded": "SELECT * FROM clusters",
+    "components_by_class": "SELECT * FROM by_class",
+    "component_nesting": """
+SELECT a.congestionClass, a.eventTime, a.componentId, count(*) AS vertices, coalesce(any_value(p.componentId), -1) AS parentId
+FROM by_class a LEFT JOIN by_class p ON p.congestionClass = a.congestionClass - 1
+     AND p.eventTime = a.eventTime AND p.vertexId = a.componentId
+GROUP BY a.congestionClass, a.eventTime, a.componentId""",
+    "vertex_dictionary": f"""
+SELECT row_number() OVER (ORDER BY version, {_det('u')}) AS numericId, {_det('u')} AS id,
+       CAST(version AS INTEGER) AS version FROM dict""",
+    "cluster_tracks": """
+SELECT o.eventTime, o.clusterId, format('{:010d}.{:010d}', t.step0, t.c0) AS trackId,
+       CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.step + 1 = o.step AND k.n = o.clusterId) THEN 'CONTINUE'
+            WHEN EXISTS (SELECT 1 FROM pred p WHERE p.step + 1 = o.step AND p.n = o.clusterId) THEN 'SPLIT'
+            ELSE 'START' END AS origin,
+       (SELECT count(*) FROM succ u WHERE u.step + 1 = o.step AND u.n = o.clusterId
+        AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.step = u.step AND k.c = u.c AND k.n = u.n)) AS merged,
+       o.vertices
+FROM node o JOIN track t ON t.step = o.step AND t.c = o.clusterId""",
     "component_updates_kv": f"""
 SELECT key, json_object('componentId', componentId, 'eventTime', {_json_ts('eventTime')},
                         'final', final, 'vertexId', vertexId, 'id', id, 'key', key)::VARCHAR AS value
@@ -153,4 +218,7 @@ FROM (SELECT *, CAST(eventTime AS VARCHAR) || '_' || vertexId || '_' || CAST(fin
 
 def oracle_queries(bucket: str = "day") -> dict[str, str]:
     ctes = _ctes(bucket)
-    return {name: f"WITH RECURSIVE {ctes}\n{sel}" for name, sel in _FINAL_SELECTS.items()}
+    more = {"components_by_class": _BY_CLASS, "component_nesting": _BY_CLASS,
+            "vertex_dictionary": _DICTIONARY, "cluster_tracks": _TRACKS}
+    return {name: f"WITH RECURSIVE {ctes}{more.get(name, '')}\n{sel}"
+            for name, sel in _FINAL_SELECTS.items()}
