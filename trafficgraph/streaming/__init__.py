@@ -2,6 +2,8 @@
 
 from trafficgraph.streaming.carried import (CarriedClusters, CarriedComponents,
                                             carry_congested_components, carry_dengraph)
+from trafficgraph.streaming.committed import (committed_attempts, committed_batch_sink,
+                                              read_committed)
 from trafficgraph.streaming.finals import (clusters_handler, components_handler,
                                            final_congested_edges, final_edge_distances,
                                            marked_congested_edges, marked_edge_distances)
@@ -14,7 +16,8 @@ from trafficgraph.streaming.sinks import (console_batch_sink, console_writer, fi
                                           parquet_batch_sink, start)
 
 __all__ = ["CarriedClusters", "CarriedComponents", "EdgeStoreRelabel", "ProgressCollector",
-           "carry_congested_components", "carry_dengraph", "clusters_handler", "components_handler",
+           "carry_congested_components", "carry_dengraph", "clusters_handler", "committed_attempts",
+           "committed_batch_sink", "read_committed", "components_handler",
            "console_batch_sink", "console_writer", "file_writer", "final_congested_edges",
            "final_edge_distances", "interval_ms", "kafka_batch_sink", "kafka_options",
            "kafka_writer", "marked_congested_edges", "marked_edge_distances",
