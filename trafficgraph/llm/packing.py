@@ -35,7 +35,6 @@ WINDOW = 2048
 END_ID = 1
 BUFFER_TOKENS = 1 << 22
 SLACK = 32
-CACHE_UNITS = 200_000        # cached units and pre-tokens of a task (about 40 MB each)
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long")
@@ -75,58 +74,34 @@ def _byte_ranks(path: str) -> dict[bytes, int] | None:
 class TokenIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The pre-tokenizer never joins a character that is not white space to a
-    space that follows it, so a text falls into independent units at such
-    spaces; units repeat and are cached, and so are the pre-tokens of units,
-    which a rank-based encoder over the file's own vocabulary turns to ids.
-    Texts with white space before a space, with control or special strings or
-    other scripts are encoded whole by the tokenizer.
+    Texts of plain characters are encoded by rank over the file's own vocabulary, in one
+    call and without caches, so a worker's memory does not follow its texts. Texts
+    with white space before a space, with control or special strings or other
+    scripts, and all texts where the file allows no ranks, go to the tokenizer.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_UNITS):
+    def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        encode, ranks = self.encode, _byte_ranks(path)
+        self.by_rank = None
+        ranks = _byte_ranks(path)
         if ranks:
-            import regex
             import tiktoken
-            single = tiktoken.Encoding("file", pat_str=_PRE, mergeable_ranks=ranks,
-                                       special_tokens={})._core_bpe.encode_single_piece
-            split = regex.compile(_PRE).findall
-
-            class PreTokens(dict):
-                def __missing__(self, token):
-                    ids = np.array(single(token.encode()), "<u4").tobytes()
-                    if len(self) < cache:
-                        self[token] = ids
-                    return ids
-            known = PreTokens().__getitem__
-
-            def encode(text):
-                return b"".join(map(known, split(text)))
-
-        class Units(dict):
-            def __missing__(self, unit):
-                ids = encode(" " + unit)
-                if len(self) < cache:
-                    self[unit] = ids
-                return ids
-        self.units = Units()
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.by_rank = tiktoken.Encoding("file", pat_str=_PRE, mergeable_ranks=ranks,
+                                             special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _PLAIN.search(text) or _GAP.search(text) or any(s in text for s in self.special):
-            return self.encode(text)
-        units = text.split(" ")
-        head = self.encode(units[0]) if units[0] else b""
-        return head + b"".join(map(self.units.__getitem__, units[1:]))
+        if (self.by_rank is None or _PLAIN.search(text) or _GAP.search(text)
+                or any(s in text for s in self.special)):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.by_rank(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 class OpenWindows:
