@@ -42,7 +42,7 @@ SWITCH_PENALTY = 12.0
 SMOOTHING = 0.1
 WORD_SHARE = 0.001           # of a language's training words must use a script
 SLICE_BYTES = 1 << 20
-PASS_WORDS = 1_000_000
+PASS_WORDS = 400_000
 UNKNOWN = "und"
 
 # First and last code points of the scripts told apart.
