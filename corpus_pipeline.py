@@ -19,37 +19,47 @@ from pyspark.sql import DataFrame, SparkSession
 from trafficgraph.llm import decontamination, language, minhash, packing, quality
 from trafficgraph.llm.queries import tokenizer_path
 from trafficgraph.llm.ship import prepare
-from trafficgraph.operators.materialize import materialize
+from trafficgraph.operators.materialize import drop_table, write_table
 
 MIN_LANGUAGE_SHARE = 0.35
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2500
 SIMILARITY = 80              # percent; the query op9_minhash has its own
 
 
+def _start(spark: SparkSession) -> None:
+    """Ship the package, and hand texts to Python in smaller batches: stages follow each other in
+    executors whose heap has grown, so what Python holds at once counts."""
+    prepare(spark)
+    if spark.conf.get(BATCH_CONF) == "10000":        # Spark's default: nothing else was asked for
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; the model learns from the rows of ``docs`` itself."""
-    prepare(spark)
+    _start(spark)
     model = language.fit(docs.where(~language.held_out()))
     return language.keep_known(docs, model, MIN_LANGUAGE_SHARE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _start(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _start(spark)
     return minhash.drop_near_duplicates(docs, SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _start(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
                                              short_items=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    _start(spark)
     return packing.with_digest(packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
@@ -64,8 +74,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; the last one's rows."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    _start(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs, path = write_table(stage(spark, docs, sf_dir))
+        if before:
+            drop_table(spark, before)      # one stage's copy of the corpus is enough
+        before = path
     return docs
