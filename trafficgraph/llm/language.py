@@ -9,8 +9,8 @@ language is the label that covers most letters and its score their share.
 
 The model is a table of ``BUCKETS`` hashed trigrams by language, fitted on
 about ``docs_per_language`` labelled texts of each language (those whose hash
-lies below that share of the language's count) and at most ``MAX_LANGUAGES``
-languages, so neither its size nor its cost follows the corpus. Prediction is one pass without a shuffle.
+lies below that share of the language's count) and the ``MAX_LANGUAGES`` commonest
+languages (junk in the label column then costs the rarest ones), so neither its size nor its cost follows the corpus. Prediction is one pass without a shuffle.
 
 Defined cases: a null text, an empty one, or one without letters (or only
 with letters of scripts that no training text uses) is ``und`` with score 0;
@@ -247,9 +247,8 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
     """Model of the labelled texts (doc_id, text, lang), read from about
     ``docs_per_language`` of each language."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(chosen) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    chosen = sorted(most, key=lambda r: r["lang"])
     languages = [r["lang"] for r in chosen]
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((N_SCRIPTS, 0)))

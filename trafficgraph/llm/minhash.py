@@ -271,16 +271,22 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY,
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` (all columns) with one row of each component: its smallest id."""
+    """``docs`` (all columns) with one row of each component: its smallest id.
+
+    Rows equal in id and text are one; rows of one id with different texts stay or go
+    together, and stay while one of the texts does."""
     judged, _ = write_table(near_duplicates(docs, similarity).select("doc_id", "kept"))
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
     if judged.where(~F.col("kept")).count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)        # the texts need no shuffle
     twice = (judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
              .where(F.col("count") > 1).select("doc_id"))
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     if not twice.limit(1).count():
-        return left
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    # An id with several texts stays while one of them does: no text goes for another's sake.
+    kept = judged.where("kept").select("doc_id").distinct()
+    gone = gone.join(kept, "doc_id", "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     again = left.join(twice, left["doc_id"].cast("long") == twice["doc_id"], "left_semi")
     return (left.join(twice, left["doc_id"].cast("long") == twice["doc_id"], "left_anti")
-            .unionByName(again.dropDuplicates(["doc_id"])))
+            .unionByName(again.dropDuplicates(["doc_id", "text"])))
