@@ -12,8 +12,8 @@ log-odds, relative to the global mean, to the log-odds of its path.
 
 Sites come from grouped aggregation with map-side sums; sites with very many
 documents are split by a salt when they are joined back. The classifier is
-fitted on at most ``max_labelled`` labelled rows (smallest hashes of their
-ids); site counts cover all documents.
+fitted on about ``max_labelled`` labelled ids at most (a hash share of
+them, one row an id); site counts cover all documents.
 
 Defined cases: a null text counts as empty, which has measures of its own;
 null hosts and paths count as empty strings; several labels of one document
@@ -36,6 +36,7 @@ from trafficgraph.operators.materialize import write_table
 from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 MAX_LABELLED = 20_000
+_SHARES = 1 << 30            # steps of the sample's share
 MIN_QUALITY = 0.5
 MIN_STRENGTH, MAX_STRENGTH = 5.0, 1e6
 RIDGE = 1.0
@@ -130,20 +131,28 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
-    """Classifier fitted on at most ``max_labelled`` labelled documents."""
-    # At most max_labelled pairs of numbers: small enough to broadcast at any size.
-    chosen = F.broadcast(_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    """Classifier fitted on about ``max_labelled`` labelled ids at most."""
+    # All ids, or a hash share of them: at most about max_labelled pairs of numbers, small
+    # enough to broadcast at any size, and no task meets those of all partitions.
+    known = _labels(labels)
+    n = known.count()
+    if n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)) < _SHARES * max_labelled // n)
+    chosen = F.broadcast(known)
     sample = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-              .join(chosen, "doc_id").select("label", "text"))
+              .join(chosen, "doc_id").select("doc_id", "label", "text"))
 
     def measure(batches):
         for b in batches:
-            x = features(b.column(1))
+            x = features(b.column(2))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
-                 .cast(pa.list_(pa.float64()))], ["label", "x"])
+                [b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
+                 .cast(pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = sample.mapInArrow(ts.returning(measure), "label double, x array<double>").toPandas()
+    measured = sample.mapInArrow(ts.returning(measure), "doc_id long, label double, x array<double>")
+    # One row an id, the smallest of its texts' measures: repeated ids bring no more rows.
+    rows = (measured.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("_row"))
+            .select("doc_id", "_row.*").toPandas().sort_values("doc_id"))
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     return fit_classifier(x, (rows["label"].to_numpy() >= 0.5).astype(float))
 
