@@ -10,7 +10,10 @@ lowest score less 10 and counts its UTF-8 bytes (vocabularies with byte
 pieces) or, with its unknown neighbours together, one piece.
 
 No piece may hold U+2581 after another character (checked), so a text falls
-into independent words there; words repeat, and their counts are cached.
+into independent words there; words repeat, and the counts of short ones are
+cached (at most ``CACHE_WORDS`` of ``CACHE_CHARS`` characters, so the cache's bytes are
+bounded). Dynamic programming keeps as many places as the longest piece has
+characters, so memory does not follow the length of a word either.
 (With scores that are not whole numbers, sums by word may round differently
 than sums by text; this can only matter between segmentations whose scores
 agree to the last bits.) One pass over the documents, no shuffle.
@@ -32,6 +35,7 @@ from trafficgraph.llm import textscan as ts
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 400_000
+CACHE_CHARS = 24             # longer words are counted anew each time
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -58,6 +62,7 @@ class Counter:
         self.matches.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
+        self.places = 1 << max(map(len, pieces)).bit_length()      # more than the longest piece
         self.by_bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.runs = any(p.startswith(SPACE * 2) for p in pieces)
         best = self.best
@@ -66,40 +71,43 @@ class Counter:
             """A word (without its leading space) -> complex(pieces, score)."""
             def __missing__(self, word):
                 found = complex(*best(SPACE + word))
-                if len(self) < cache:
+                if len(word) <= CACHE_CHARS and len(self) < cache:
                     self[word] = found
                 return found
         self.words = Words()
 
     def best(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of the best segmentation of ``word``."""
-        n = len(word)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        start_of, unknown = [-1] * (n + 1), [False] * (n + 1)
-        single = [False] * n
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for last, (size, s) in self.matches.iter(word):
-            ends[last + 1].append((last + 1 - size, s))
-            if size == 1:
-                single[last] = True
+        # Scores, counts and marks of the last places, at the place modulo their number.
+        n, last = len(word), self.places - 1
+        score, count, unknown = [0.0] * (last + 1), [0] * (last + 1), [False] * (last + 1)
+        matches = self.matches.iter(word)
+        match = next(matches, None)
         for e in range(1, n + 1):
-            top, at = None, -1
-            for start, s in sorted(ends[e]):
-                total = s + score[start]
+            ends, single = [], False
+            while match is not None and match[0] == e - 1:
+                size, s = match[1]
+                ends.append((e - size, s))
+                single = single or size == 1
+                match = next(matches, None)
+            top, at, unk = None, -1, False
+            for start, s in sorted(ends):
+                total = s + score[start & last]
                 if top is None or total > top:
                     top, at = total, start
-            if not single[e - 1]:
-                total = self.unknown + score[e - 1]
+            if not single:
+                total = self.unknown + score[e - 1 & last]
                 if top is None or total > top:
-                    top, at, unknown[e] = total, e - 1, True
-            score[e], start_of[e] = top, at
-            if not unknown[e]:
-                count[e] = count[at] + 1
+                    top, at, unk = total, e - 1, True
+            before = count[at & last]
+            if not unk:
+                pieces = before + 1
             elif self.by_bytes:
-                count[e] = count[at] + len(word[at].encode("utf-8"))
+                pieces = before + len(word[at].encode("utf-8"))
             else:
-                count[e] = count[at] + (not unknown[at])
-        return count[n], score[n]
+                pieces = before + (not unknown[at & last])
+            score[e & last], count[e & last], unknown[e & last] = top, pieces, unk
+        return count[n & last], score[n & last]
 
     def __call__(self, text: str) -> tuple[int, float]:
         if not text:
