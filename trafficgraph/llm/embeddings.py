@@ -12,8 +12,11 @@ remain are compared exactly, in double precision.
 Equal vectors of a label become one class with a number of copies, so copies
 never meet. Of a pair of blocks only the links of each vector are counted and
 a spanning set of edges is kept, never all pairs. Rotation only orders the
-sequence: it is fitted on at most ``PCA_SAMPLE`` vectors (smallest hashes),
-and results do not depend on it.
+sequence: it is fitted on a hash share of the classes, about ``PCA_SAMPLE``
+vectors and ``PCA_BYTES`` of values whatever the table and its partitions, and
+results do not depend on it. Pairs of blocks are dealt by tiles of ``TILE`` x
+``TILE`` blocks of the sequence, so that a block is sent once for a tile rather than
+for each of its pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label or id, link with nothing and are kept;
@@ -39,11 +42,14 @@ from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 MIN_COSINE = 0.93
 PCA_SAMPLE = 10_000
+PCA_BYTES = 8 << 20          # values of the sample
 AXES = 8                     # leading principal axes of the grid
 BOX_AXES = 16                # axes of bounding boxes
 BLOCK_BYTES = 512 << 10      # vectors of a block
 BLOCK_ROWS = 1024
 FAN = 3                      # bits: an interval has 8 parts
+TILE = 4                     # bits: a tile has 16 x 16 pairs of blocks, 32 blocks of memory
+_SHARES = 1 << 30            # steps of the sample's share
 
 
 def _usable(label: str, vector: str) -> F.Column:
@@ -61,13 +67,16 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
 
 def principal_axes(classes: DataFrame, sample: int = PCA_SAMPLE) -> dict[int, np.ndarray]:
     """Rotation for each length of vectors in a bounded sample of the classes."""
-    rows = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r[0]), []).append(r[0])
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if not size["n"]:
+        return {}
+    wanted = max(1, min(sample, PCA_BYTES // (8 * size["dim"])))
+    share = min(_SHARES, _SHARES * wanted // size["n"] + 1)
+    part = F.pmod(F.xxhash64("id", "label", F.size("vector")), F.lit(_SHARES))
+    rows = classes.where(part < share).select("vector").toArrow()
     out = {}
-    for dim, vectors in by.items():
-        x = _unit(np.array(vectors, np.float64).ravel(), dim)
+    for dim, _, vectors in _lists(rows.column(0).combine_chunks()):
+        x = _unit(vectors, dim)
         _, axes = np.linalg.eigh(np.cov(x.T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))
         out[dim] = axes[:, ::-1].copy()
     return out
@@ -160,7 +169,8 @@ def grid_blocks(classes: DataFrame, axes: dict[int, np.ndarray], epsilon: float)
 
 
 def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
-    """Pairs ``a <= b`` of blocks that may hold links, by recursive interval joins."""
+    """Pairs ``a <= b`` of blocks that may hold links, by recursive interval joins, with
+    their tile (``label, dim, tile_a, tile_b``)."""
     key = ["label", "dim"]
     boxes = blocks.select("block", *key, "lo", "hi")
     level, _ = write_table(dense_number(boxes, "block", key, "part")
@@ -186,7 +196,8 @@ def block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
                   .where((F.col("part_a") <= F.col("part_b")) & (apart <= epsilon * epsilon + 1e-9)))
         more = [c for c in ("block_a", "block_b") if c in joined.columns]
         pairs = joined.select(*key, F.col("part_a").alias("a"), F.col("part_b").alias("b"), *more)
-    return pairs.select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+    return pairs.select(F.struct(*key, F.shiftright("a", TILE).alias("a"), F.shiftright("b", TILE).alias("b")).alias("tile"),
+                        F.col("block_a").alias("a"), F.col("block_b").alias("b"))
 
 
 def _component_edges(near: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -205,30 +216,38 @@ def _component_edges(near: np.ndarray, a: np.ndarray, b: np.ndarray):
 def link_blocks(blocks: DataFrame, pairs: DataFrame, min_cosine: float) -> DataFrame:
     """``id, links, root`` for the vectors with links in a pair of blocks: the
     number of vectors linked (copies counted), and a vector of their component."""
-    sides = (pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b")))))
+    pairs, _ = write_table(pairs)
+    sides = pairs.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("block")).distinct()
     data = sides.join(blocks.select("block", "dim", "ids", "copies", "vectors"), "block")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = {r["block"]: r for r in table.to_pylist()}
-        first = next(iter(rows.values()))
-
-        def side(r):
-            x = _unit(np.frombuffer(r["vectors"], np.float64), r["dim"])
-            return np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["copies"], "<i8"), x
-        a, ca, xa = side(rows[first["a"]])
-        b, cb, xb = side(rows[first["b"]])
-        near = xa @ xb.T >= min_cosine
-        same = first["a"] == first["b"]
-        if same:
-            np.fill_diagonal(near, False)
-        la, lb = near @ cb, ca @ near
-        ra, rb = _component_edges(near, a, b)
-        out = [(a, la, ra)] if same else [(a, la, ra), (b, lb, rb)]
-        ids, links, root = (np.concatenate(c) for c in zip(*out))
-        keep = links > 0
-        return pa.table({"id": ids[keep], "links": links[keep], "root": root[keep]})
-
-    return data.groupBy("a", "b").applyInArrow(compare, "id long, links long, root long")
+    names = ["id", "links", "root"]
+
+    def compare(tile: pa.Table, held: pa.Table) -> pa.Table:
+        block, dim = held["block"].to_pylist(), held["dim"].to_pylist()
+        row = {b: i for i, b in enumerate(block)}
+
+        def side(of):
+            i = row[of]
+            raw = [np.frombuffer(held[c][i].as_buffer(), t) for c, t in
+                   (("ids", "<i8"), ("copies", "<i8"), ("vectors", np.float64))]
+            return raw[0], raw[1], _unit(raw[2], dim[i])
+
+        out, last = [], None
+        for x, y in sorted(zip(tile["a"].to_pylist(), tile["b"].to_pylist())):
+            if x != last:
+                a, ca, xa = side(x)
+                last = x
+            b, cb, xb = (a, ca, xa) if x == y else side(y)
+            near = xa @ xb.T >= min_cosine
+            if x == y:
+                np.fill_diagonal(near, False)
+            ra, rb = _component_edges(near, a, b)
+            for i, n, r in [(a, near @ cb, ra)] + [(b, ca @ near, rb)] * (x != y):
+                out.append((i[n > 0], n[n > 0], r[n > 0]))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(names, found)))
+
+    return (pairs.groupBy("tile").cogroup(data.groupBy("of"))
+            .applyInArrow(compare, "id long, links long, root long"))
 
 
 def similar_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id",
