@@ -134,9 +134,12 @@ def loss_text(segments: Column) -> Column:
 def rows_as_events(rows: DataFrame) -> DataFrame:
     """The log of a table of turns (conv_id, turn, role, text): each row a message
     of one event; rows of one turn stand in the order of role and text, repeated
-    rows side by side."""
+    rows side by side.
+
+    The rows are dealt by conversation, which becomes one row in the end; the
+    groupings after that are finer or as fine and need no other exchange."""
     plain = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-                        F.coalesce("text", F.lit("")).alias("text"))
+                        F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
     same = plain.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("_n"))
     each = same.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return each.select("conv_id", F.col("turn").alias("seq"),
