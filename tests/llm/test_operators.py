@@ -420,11 +420,11 @@ def test_site_rules(spark):
 
 def test_mined_rules_match_by_all_tokens(spark):
     urls = [f"http://{h}.example.net/{p}/{i}" for i, (h, p) in enumerate(
-        itertools.product(["blog", "www", "m"], ["fr", "en", "pills"])) for _ in range(10)]
+        itertools.product(["blog", "www", "m"], ["fr", "en", "pills"])) for _ in range(20)]
     bad = [("blog" in u and "/fr/" in u) or "pills" in u for u in urls]
     labelled = spark.createDataFrame(list(zip(urls, bad)), "url string, bad boolean")
-    mined = {tuple(r["tokens"]): r["confidence"] for r in rows(urlfilter.mine_rules(labelled, min_confidence=0.9))}
-    assert mined == {("p:pills",): 1.0, ("h:blog", "p:fr"): 1.0}       # needless longer rules are gone
+    mined = {tuple(map(tuple, r["groups"])): r["confidence"] for r in rows(urlfilter.mine_rules(labelled, min_confidence=0.9))}
+    assert mined == {(("p:pills",),): 1.0, (("h:blog",), ("p:fr",)): 1.0}       # needless longer rules are gone
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in rows(
         urlfilter.judge_urls(pages, labelled, [], min_confidence=0.9))}
@@ -439,12 +439,60 @@ def test_hosts_below_the_share_are_mined(spark):
     labelled = [(f"http://{h}.example.net/p/{i}", h in ("spam", "few") or i % 5 == 0) for i, h in enumerate(hosts)]
     assert 27 < urlfilter.MIN_SUPPORT * len(labelled)
     df = spark.createDataFrame(labelled, "url string, bad boolean")
-    assert {tuple(r["tokens"]) for r in rows(urlfilter.mine_rules(df))} == {("h:spam",)}
+    assert [r["groups"] for r in rows(urlfilter.mine_rules(df))] == [[["h:spam"]]]
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(labelled)], "page_id long, url string")
     got = rows(urlfilter.judge_urls(pages, df, []))
     assert {r["host"] for r in got if r["verdict"] == "block"} == {"spam.example.net"}
-    # Support by count: a share at few urls, 20 of them beyond, a share again from two million on.
-    assert [urlfilter.least_support(n) * n for n in (500, 10_000, 1_000_000, 10_000_000)] == pytest.approx([5, 19.5, 19.5, 100])
+    # Support by count: 20 bad urls at any size, a share from two million labelled urls on.
+    assert [urlfilter.least_support(n) * n for n in (10, 500, 10_000, 1_000_000, 10_000_000)] == pytest.approx(
+        [19.5, 19.5, 19.5, 19.5, 100])
+
+
+def plain_rules(labelled, least_bad, min_confidence, min_lift):
+    """Minimal token sets of bad urls, by every subset of every bad url's tokens."""
+    n, bad = len(labelled), [t for t, b in labelled if b]
+    share = len(bad) / n
+    every = set.intersection(*(set(t) for t, _ in labelled))
+    found = {}
+    for size in range(1, max(len(t) for t in bad) + 1):
+        for combo in {c for t in bad for c in itertools.combinations(sorted(set(t) - every), size)}:
+            hits = sum(set(combo) <= set(t) for t in bad)
+            c = hits / sum(set(combo) <= set(t) for t, _ in labelled)
+            if hits >= least_bad and c >= min_confidence and c >= min_lift * share:
+                found[combo] = c
+    return {r: c for r, c in found.items()
+            if not any(set(p) < set(r) and found[p] >= c for p in found)}
+
+
+def test_rules_equal_a_plain_miner(spark):
+    rng = np.random.default_rng(8)
+    urls = [f"http://{rng.choice(['a', 'b', 'c'])}.site.org/{rng.choice(['x', 'y'])}/{rng.choice(['s', 't', 'u'])}"
+            + ("?k=1&l=2&m=3" if rng.random() < 0.4 else "") for _ in range(600)]
+    bad = [bool(("//a." in u and "/x/" in u or "/t?k" in u) and rng.random() < 0.9 or rng.random() < 0.05) for u in urls]
+    df = spark.createDataFrame(list(zip(urls, bad)), "url string, bad boolean")
+    tokens = [r[0] for r in df.select(urlfilter.url_tokens(F.col("url"))).collect()]
+    mined = rows(urlfilter.mine_rules(df))
+    # A rule stands for one token of each of its groups.
+    got = {tuple(sorted(c)): pytest.approx(r["confidence"]) for r in mined for c in itertools.product(*r["groups"])}
+    want = plain_rules(list(zip(tokens, bad)), urlfilter.MIN_COUNT, urlfilter.MIN_CONFIDENCE, urlfilter.MIN_LIFT)
+    assert want == got and any(len(g) == 3 for r in mined for g in r["groups"])
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    blocked = [any(set(c) <= set(t) for c in want) for t in tokens]
+    for hot in (1, 1_000_000):              # hot token sets are split
+        judged = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge_urls(pages, df, [], hot_rows=hot))}
+        assert [judged[i] == "block" for i in range(len(urls))] == blocked
+
+
+def test_few_bad_urls_make_no_rule_and_constant_keys_are_one_group(spark):
+    few = [(f"http://h{i % 4}.org/p/{'z' if i < 19 else 'q'}", i < 19) for i in range(90)]
+    df = spark.createDataFrame(few, "url string, bad boolean")
+    assert rows(urlfilter.mine_rules(df)) == []
+    keys = "&".join(f"utm{chr(97 + i)}=1" for i in range(25))
+    many = [(f"http://www.org/p/{i}?{keys}" if i < 60 else f"http://www.org/p/{i}", i < 60) for i in range(2500)]
+    mined = rows(urlfilter.mine_rules(spark.createDataFrame(many, "url string, bad boolean")))
+    assert [(len(r["groups"]), len(r["groups"][0]), r["confidence"]) for r in mined] == [(1, 25, 1.0)]
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.judge_urls(empty, df, []).count() == 0
 
 
 # -- 8 quality ----------------------------------------------------------------

@@ -4,15 +4,19 @@ Site rules are ``(host, path, verdict)``: a rule fits its host and all
 subdomains when the url's path starts with the rule's; the longest wins. Urls
 without one get the method's verdict. Spark's FP-growth mines combinations of
 url tokens (host labels, path parts, query keys) that go with bad labels;
-rules are pruned by support, confidence and lift. The support is a share of the
-labelled urls up to ``MIN_COUNT`` of them, and from there on that count (down to
-the share ``LEAST_SUPPORT``, which bounds the combinations); rules rarer than the
-share must beat the share of bad labels by ``MIN_DEVIATIONS`` standard
-deviations, so that chance makes none of many rare combinations. A rule is dropped where
-a rule of fewer of its tokens is as confident. A url is blocked if it holds
-all tokens of a rule. Matching goes by an inverted index: each rule stands
-under its rarest token, distinct token sets are looked up there and checked,
-so neither urls nor a common token meet all rules.
+rules are pruned by support, confidence and lift. At any size a rule needs
+``MIN_COUNT`` bad urls (more where these are less than ``LEAST_SUPPORT`` of the
+labelled urls, which bounds the combinations); rules rarer than ``min_support``
+must beat the share of bad labels by ``MIN_DEVIATIONS`` standard deviations, so that
+chance makes none of many rare combinations. Tokens that always occur together among
+the labelled urls (equal counts and 128-bit sums of their urls' hashes) are mined
+as one group: any of them stands for it, as rules of each alone would be as
+confident, and mining time does not double with each. A rule is dropped where a rule of
+fewer of its groups is as confident. A url is blocked if it holds a token of every
+group of a rule. Matching goes by an inverted index: each rule stands under
+the tokens of its rarest group, distinct token sets are looked up there and checked,
+so neither urls nor a common token meet all rules. Token sets of very many urls
+are split by a salt when their verdict is joined back.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: then up to ``?``, ``#`` or the end.
@@ -32,9 +36,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trafficgraph.operators.materialize import write_table
+from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
+
 ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT = 0.01
-MIN_COUNT = 20               # labelled urls that suffice, if they are a smaller share
+MIN_COUNT = 20               # bad urls that a rule rests on at least
 LEAST_SUPPORT = 1e-5
 MIN_DEVIATIONS = 5.0
 MIN_CONFIDENCE = 0.6
@@ -83,60 +90,73 @@ def site_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
-def least_support(n: int, min_support: float = MIN_SUPPORT) -> float:
+def least_support(n: int) -> float:
     """Support mined at ``n`` labelled urls; half an url less, so that rounding raises no count."""
-    return min(min_support, max((MIN_COUNT - 0.5) / n, LEAST_SUPPORT))
+    return max((MIN_COUNT - 0.5) / n, LEAST_SUPPORT)
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules ``tokens, confidence, support, anchor`` from ``labelled`` (url, bad)."""
+    """Rules ``groups, confidence, support, anchors`` from ``labelled`` (url, bad): arrays of
+    tokens that always occur together, and the rarest of them."""
     spark = labelled.sparkSession
     known = labelled.where(F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "bad")
     n = known.count()
-    if not n:
-        return spark.sql("SELECT array('') AS tokens, 0D AS confidence, 0D AS support, '' AS anchor LIMIT 0")
-    counts = (known.select(F.explode("tokens").alias("token")).groupBy("token")
-              .agg((F.count("*") / n).alias("share")))
-    # A token of every url adds nothing to any combination (they are at most one url's
-    # tokens); rarer ones than the support cannot be in a rule.
-    least = least_support(n, min_support)
-    everywhere = [r["token"] for r in counts.where(F.col("share") >= 1).select("token").collect()]
-    useful = counts.where((F.col("share") < 1) & (F.col("share") >= least))
-    items = F.concat(F.array_except("tokens", F.array(*map(F.lit, everywhere)).cast("array<string>")),
-                     F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(
-        known.select(items.alias("items")))
+    least = least_support(n) if n else 2.0
+    if least > 1:
+        return spark.sql("SELECT array(array('')) AS groups, 0D AS confidence, 0D AS support, array('') AS anchors LIMIT 0")
+    # A token of every url adds nothing to any combination; rarer ones than the support
+    # cannot be in a rule. Sums of hashes tell which tokens have the same urls.
+    sets = known.groupBy("tokens").agg(F.count("*").alias("_n"))
+    each = sets.select("_n", F.explode("tokens").alias("token"),
+                       *(F.pmod(F.xxhash64(F.lit(i), "tokens"), F.lit(1 << 62)).cast("decimal(38,0)").alias(f"_h{i}")
+                         for i in range(2)))
+    useful = (each.groupBy("token").agg((F.sum("_n") / n).alias("share"), *(F.sum(f"_h{i}").alias(f"_h{i}") for i in range(2)))
+              .where((F.col("share") < 1) & (F.col("share") >= least)))
+    groups, _ = write_table(useful.groupBy("share", "_h0", "_h1").agg(F.array_sort(F.collect_list("token")).alias("group"))
+                            .select("share", "group", F.col("group")[0].alias("token")))
+    # Items of a token set: the first tokens of its groups.
+    named = (sets.select("tokens", F.explode("tokens").alias("token")).join(groups.select("token"), "token")
+             .groupBy("tokens").agg(F.collect_list("token").alias("_items")))
+    bad = F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))
+    items = known.join(named, "tokens", "left").select(
+        F.concat(F.coalesce("_items", F.array().cast("array<string>")), bad).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
     base = F.col("confidence") / F.col("lift")
     deviations = (F.col("confidence") - base) / F.sqrt(
         base * (1 - base) / (F.col("support") / F.col("confidence") * n))
-    rules = (model.associationRules.where((F.col("consequent")[0] == _BAD) & (F.col("lift") >= min_lift))
-             .where((F.col("support") >= min_support) | (deviations >= MIN_DEVIATIONS))
-             .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    # The rarest token of each rule, and rules that a part of their tokens makes needless.
+    rules, _ = write_table(
+        model.associationRules.where((F.col("consequent")[0] == _BAD) & (F.col("lift") >= min_lift))
+        .where((F.col("support") >= min_support) | (deviations >= MIN_DEVIATIONS))
+        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    # The rarest group of each rule, and rules that a part of their groups makes needless.
     index = rules.select("*", F.explode("tokens").alias("token"))
-    anchors = (index.join(useful, "token").groupBy("tokens")
-               .agg(F.min_by("token", F.struct("share", "token")).alias("anchor")))
+    anchors = (index.join(groups, "token").groupBy("tokens")
+               .agg(F.min(F.struct("share", "token", "group")).alias("_a"), F.collect_list("group").alias("groups"))
+               .select("tokens", F.col("_a.token").alias("_first"), F.col("_a.group").alias("anchors"),
+                       F.array_sort("groups").alias("groups")))
     rules = rules.join(anchors, "tokens")
-    wider = (index.join(rules.select(F.col("anchor").alias("token"), F.col("tokens").alias("_part"),
+    wider = (index.join(rules.select(F.col("_first").alias("token"), F.col("tokens").alias("_part"),
                                      F.col("confidence").alias("_c")), "token")
              .where((F.size("_part") < F.size("tokens")) & (F.col("_c") >= F.col("confidence"))
                     & (F.size(F.array_except("_part", "tokens")) == 0))
              .select("tokens").distinct())
-    return rules.join(wider, "tokens", "left_anti")
+    return (rules.join(wider, "tokens", "left_anti")
+            .select("groups", "confidence", "support", "anchors"))
 
 
 def blocked_sets(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct ``tokens`` of ``urls`` that hold all tokens of a rule."""
-    looked_up = (urls.select("tokens").distinct()
-                 .select("tokens", F.explode("tokens").alias("anchor")))
-    return (looked_up.join(rules.select("anchor", F.col("tokens").alias("_rule")), "anchor")
-            .where(F.size(F.array_except("_rule", "tokens")) == 0)
-            .select("tokens").distinct())
+    """Distinct ``tokens`` of ``urls`` that hold a token of every group of a rule, and
+    their ``urls``."""
+    sets = urls.groupBy("tokens").agg(F.count("*").alias("urls"))
+    looked_up = sets.select("tokens", "urls", F.explode("tokens").alias("anchor"))
+    return (looked_up.join(rules.select("groups", F.explode("anchors").alias("anchor")), "anchor")
+            .where(F.forall("groups", lambda g: F.arrays_overlap(g, "tokens")))
+            .groupBy("tokens").agg(F.first("urls").alias("urls")))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]],
-               **mining) -> DataFrame:
+               hot_rows: int = DEFAULT_HOT_ROWS, **mining) -> DataFrame:
     """``page_id, host, path, rule, verdict, mined`` of every row of ``pages`` (page_id, url).
 
     ``labelled`` (url, bad) are the urls to mine; ``rules`` the site rules.
@@ -145,9 +165,12 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     url = F.col("url").cast("string")
     read = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
                         url_tokens(url).alias("tokens"))
-    hits = blocked_sets(read, mine_rules(labelled, **mining)).withColumn("_hit", F.lit(True))
+    hits, _ = write_table(blocked_sets(read, mine_rules(labelled, **mining)))
+    n_hot = hits.where(F.col("urls") > hot_rows).limit(1).count()
+    hot = hot_keys(hits, ["tokens"], "urls", hot_rows) if n_hot else None
+    judged = salted_join(read, hits.select("tokens", F.lit(True).alias("_hit")), ["tokens"], hot, ["page_id"], "left")
     fixed = site_rule(F.col("host"), F.col("path"), rules)
     mined = F.when(F.coalesce("_hit", F.lit(False)), BLOCK).otherwise(ALLOW)
-    return (read.join(hits, "tokens", "left").withColumn("_site", fixed)
+    return (judged.withColumn("_site", fixed)
             .select("page_id", "host", "path", F.col("_site.rule").alias("rule"),
                     F.coalesce("_site.verdict", mined).alias("verdict"), mined.alias("mined")))
