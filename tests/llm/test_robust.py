@@ -1,5 +1,8 @@
 """Rows that must not be lost, and labels that must not stop a fit."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from trafficgraph.llm import language, minhash
 from trafficgraph.llm.packing import TokenIds
 from trafficgraph.llm.queries import tokenizer_path
@@ -10,13 +13,23 @@ def words(start, n=40):
     return " ".join(f"w{i}" for i in range(start, start + n))
 
 
-def test_texts_of_one_id_are_not_lost(spark):
+@pytest.mark.parametrize("bitmap", [1, minhash.BITMAP_WORDS])
+def test_texts_of_one_id_are_not_lost(spark, monkeypatch, bitmap):
+    """Also with a bitmap so small that most other ids are in it."""
+    monkeypatch.setattr(minhash, "BITMAP_WORDS", bitmap)
     prepare(spark)
     rows = [(1, words(0)), (1, words(500)), (2, words(500) + " end"), (3, words(900)), (3, words(900)),
-            (4, words(0)), (5, words(2000)), (6, words(2000))]
+            (4, words(0)), (5, words(2000)), (6, words(2000)), (None, words(0)), (None, None), (8, ""), (9, None)]
+    rows += [(7, words(2000)), (7, words(3000)), (10, words(3000) + " end")]      # one text of 7 copies 5's
+    rows += [(100 + i, words(5000 + 100 * i)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    left = sorted(tuple(r) for r in minhash.drop_near_duplicates(df, 80).collect())
-    assert left == sorted([(1, words(0)), (1, words(500)), (3, words(900)), (5, words(2000))])
+    left = [tuple(r) for r in minhash.drop_near_duplicates(df, 80).collect()]
+    want = [r for r in dict.fromkeys(rows) if r[0] not in (2, 4, 6, 10)]
+    assert sorted(left, key=repr) == sorted(want, key=repr)
+    clash = df.limit(1).select("*", *[F.lit(1).alias(c) for c in ("kept", "_in", "_id", "rows", "kept")])
+    out = minhash.drop_near_duplicates(clash, 80)
+    assert out.columns == clash.columns and out.count() == 1
+    assert minhash.drop_near_duplicates(df.limit(0), 80).count() == 0
 
 
 def test_more_labels_than_languages(spark):

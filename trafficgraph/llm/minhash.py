@@ -12,7 +12,7 @@ threshold.
    elements, and in nearly as many at high similarities. Samples of sets of
    at most ``BOTTOM`` elements are the sets themselves: there the XOR
    population count rules pairs out with certainty and almost exactly.
-2. Texts of one set become one class, so copies never meet.
+2. Texts of one set become one numbered class, so copies never meet.
 3. Classes that share a band key meet the key's smallest class only (a star,
    not all pairs). Sizes and sketches rule candidates out, full sets confirm
    the first one left for each class, and components are formed.
@@ -26,14 +26,17 @@ probability 7e-7; sketches rule out no linked pair of at most ``BOTTOM``
 elements, and longer ones beyond six standard deviations only.
 
 Full sets are computed again for the texts that have likely partners, rather
-than stored for all: their ids are broadcast up to ``MAX_BROADCAST_IDS``, and
-beyond that the texts are shuffled. Joins on a text with many partners are
-left to adaptive execution to split.
+than stored for all. The same plan holds at every size: a bitmap of the ids' hashes,
+at most ``BITMAP_WORDS`` rows of 64 bits, is broadcast, and only texts whose bit is
+set are shuffled to the join with the ids themselves; dropping texts goes alike.
+The bitmap rules out no id that is in it, and the join decides. Joins on a text with
+many partners are left to adaptive execution to split.
 
 Defined cases: null, empty and blank texts have empty sets (size 0), link with
 nothing and are kept; rows with a null id link with nothing, have no
 component, and are kept; repeated rows share
-their component (``drop_near_duplicates`` leaves one of the rows of an id);
+their component (``drop_near_duplicates`` leaves one of the rows of an id and text);
+texts of one id are judged each by their own set;
 an empty table gives no rows; other columns are ignored or kept.
 """
 
@@ -59,7 +62,7 @@ SAMPLES = BANDS * ROWS
 BOTTOM = 1024                # bottom-k samples folded into the sketch
 SKETCH_WORDS = 16            # 64-bit words of the parity bitmap
 SKETCH_BITS = 64 * SKETCH_WORDS
-MAX_BROADCAST_IDS = 4_000_000
+BITMAP_WORDS = 1 << 21       # rows of the broadcast bitmap at most, 134 million bits
 SLICE_BYTES = 2 << 20
 MINHASH_ROWS = 2048          # set elements hashed at a time
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -142,7 +145,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n, sets, keys, sketch = [], [], [], []
                 for s in text_sets(part.column(1)):
                     n.append(len(s))
-                    sets.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                    sets.append(_digest(s))
                     keys.append(band_keys(minhash(s)) if len(s) else np.zeros(0, np.int64))
                     sketch.append(odd_sketch(s))
                 sets, sketch = np.array(sets), np.array(sketch)
@@ -170,20 +173,45 @@ def _likely(a: str, b: str, similarity: int) -> Column:
             .otherwise(differ <= most_bits_of_long(similarity)))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def _in_bitmap(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_in``: false only for rows whose id is not in ``ids`` (doc_id).
+
+    A broadcast of at most ``BITMAP_WORDS`` rows whatever the number of ids; the rows of
+    ``docs`` stay where they are.
+    """
+    def place(col):
+        return F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(64 * BITMAP_WORDS))
+
+    def bit(at):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+    words = (ids.select(F.shiftright(place("doc_id"), 6).alias("_word"), bit(place("doc_id")).alias("_bit"))
+             .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    held = docs.withColumn("_word", F.shiftright(place("doc_id"), 6)).join(F.broadcast(words), "_word", "left")
+    seen = F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(bit(place("doc_id"))) != 0
+    return held.withColumn("_in", F.col("doc_id").isNotNull() & seen).drop("_word", "_bits")
+
+
+def _digest(shingles: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """The ``pairs`` (a, b) of classes whose full sets reach the similarity."""
-    ids = (pairs.select(F.col("a").alias("doc_id"))
-           .unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if 2 * pairs.count() <= MAX_BROADCAST_IDS:        # pairs are a written table
-        ids = F.broadcast(ids)
-    wanted = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-              .join(ids, "doc_id", "left_semi"))
+    ids, _ = write_table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
+                         .select("cls", F.col("id").alias("doc_id"), "set_hi", "set_lo"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    wanted = (_in_bitmap(texts, ids).where("_in").join(ids, "doc_id")
+              .select("cls", "set_hi", "set_lo", "text"))
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s.tobytes() for s in text_sets(b.column(1))], pa.binary())],
-                ["id", "shingles"])
+            hi, lo = b.column(1).to_numpy(), b.column(2).to_numpy()
+            # Other texts of the id belong to other classes.
+            found = [s.tobytes() if tuple(_digest(s)) == (hi[i], lo[i]) else None
+                     for i, s in enumerate(text_sets(b.column(3)))]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            yield out.filter(out.column(1).is_valid())
 
     full, _ = write_table(wanted.mapInArrow(ts.returning(sets), "id long, shingles binary"))
 
@@ -211,11 +239,13 @@ def near_duplicate_sets(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[
     signed, _ = write_table(signatures(docs))
     known = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes, _ = write_table(known.groupBy("set_hi", "set_lo")
-                             .agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    # One row for each class, with the band keys and sketch of its smallest document.
-    leaders = (known.join(classes.select("set_hi", "set_lo", F.col("id").alias("doc_id")),
-                          ["set_hi", "set_lo", "doc_id"], "left_semi")
-               .select(F.col("doc_id").alias("id"), "n", "keys", *SKETCH))
+                             .agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+                             .withColumn("cls", F.monotonically_increasing_id()))     # fixed by the table
+    # One row for each class, with the band keys and sketch of its smallest document. From
+    # here to the links ``id`` is the class's number.
+    leaders = (known.join(classes.select("set_hi", "set_lo", F.col("id").alias("doc_id"), "cls"),
+                          ["set_hi", "set_lo", "doc_id"])
+               .select(F.col("cls").alias("id"), "n", "keys", *SKETCH))
     banded = leaders.select("id", F.explode("keys").alias("key"))
     shared = (banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("_high"))
               .where(F.col("low") < F.col("_high")).select("key", "low"))
@@ -229,7 +259,7 @@ def near_duplicate_sets(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[
               .where(_likely("a", "b", similarity))
               .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
     tried, _ = write_table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _confirm(tried, docs, similarity)
+    links = _confirm(tried, docs, classes, similarity)
 
     # Keys whose classes are in several components yet.
     labelled = (members.join(_labels(links), "id", "left")
@@ -250,9 +280,15 @@ def near_duplicate_sets(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[
             .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
     more, _ = write_table(more.join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(_confirm(more, docs, similarity))
-    sets = (classes.join(_labels(links), "id", "left")
-            .select("set_hi", "set_lo", "copies", F.coalesce("component", "id").alias("component")))
+        links = links.unionByName(_confirm(more, docs, classes, similarity))
+    parts, _ = write_table(classes.join(_labels(links).withColumnRenamed("id", "cls"), "cls", "left")
+                           .select("cls", "id", "set_hi", "set_lo", "copies",
+                                   F.coalesce("component", "cls").alias("_part")))
+    lowest, _ = write_table(parts.groupBy("_part").agg(F.min("id").alias("component"), F.count("*").alias("_n")))
+    n_hot = lowest.where(F.col("_n") > DEFAULT_HOT_ROWS).limit(1).count()
+    hot = hot_keys(lowest, ["_part"], "_n") if n_hot else None
+    sets = (salted_join(parts, lowest.drop("_n"), ["_part"], hot, ["cls"])
+            .select("set_hi", "set_lo", "copies", "component"))
     return signed.select("doc_id", "n", "set_hi", "set_lo"), write_table(sets)[0]
 
 
@@ -275,18 +311,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataF
 
     Rows equal in id and text are one; rows of one id with different texts stay or go
     together, and stay while one of the texts does."""
-    judged, _ = write_table(near_duplicates(docs, similarity).select("doc_id", "kept"))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    if judged.where(~F.col("kept")).count() <= MAX_BROADCAST_IDS:
-        gone = F.broadcast(gone)        # the texts need no shuffle
-    twice = (judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
-             .where(F.col("count") > 1).select("doc_id"))
-    if not twice.limit(1).count():
-        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    # An id with several texts stays while one of them does: no text goes for another's sake.
-    kept = judged.where("kept").select("doc_id").distinct()
-    gone = gone.join(kept, "doc_id", "left_anti")
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    again = left.join(twice, left["doc_id"].cast("long") == twice["doc_id"], "left_semi")
-    return (left.join(twice, left["doc_id"].cast("long") == twice["doc_id"], "left_anti")
-            .unionByName(again.dropDuplicates(["doc_id", "text"])))
+    names = docs.columns
+    own = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(names)]   # no name clashes with ours
+    plain = docs.toDF(*own)
+    judged, _ = write_table(near_duplicates(plain, similarity).select("doc_id", "kept")
+                            .where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+                            .agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    # Ids to decide on: those that go, and repeated ones, which stay while one of their texts does.
+    odd, _ = write_table(judged.where(~F.col("kept") | (F.col("rows") > 1))
+                         .select(F.col("doc_id").alias("_id"), "kept"))
+    marked = _in_bitmap(plain, odd.select(F.col("_id").alias("doc_id")))
+    free = marked.where(~F.col("_in")).drop("_in")
+    met = marked.where("_in").drop("_in")
+    met = met.join(odd, met["doc_id"].cast("long") == odd["_id"], "left")
+    alone = met.where(F.col("_id").isNull()).select(*own)
+    again = met.where("kept").select(*own).dropDuplicates(["doc_id", "text"])
+    return free.select(*own).unionByName(alone).unionByName(again).toDF(*names)
