@@ -218,6 +218,26 @@ def _lag_micros(spark: SparkSession, watermark_delay: str, grace: str) -> int:
     return 1000 * (interval_ms(spark, watermark_delay) + interval_ms(spark, grace))
 
 
+def component_labeller(graph: RoadGraph) -> Labeller:
+    """Congested edges of some event times to keyed component rows."""
+    def labels(edges: DataFrame, final: F.Column) -> DataFrame:
+        cc = connected_components(edges, "src", "dst", ["eventTime"])
+        out = cc.select(F.col("componentId").cast("int").alias("componentId"), "eventTime",
+                        final.alias("final"), F.col("vertexId").cast("int").alias("vertexId"))
+        return with_key(graph.decode(out), "id")
+    return labels
+
+
+def cluster_labeller(eps: float = DENGRAPH_EPSILON, eta: int = DENGRAPH_ETA) -> Labeller:
+    """Pair distances of some event times, by batch, to keyed cluster rows."""
+    def labels(pairs: DataFrame, final: F.Column) -> DataFrame:
+        best = pairs.groupBy("eventTime", "src", "dst").agg(F.min("distance").alias("distance"))
+        c = clusters_from_distances(best, eps, eta, ["eventTime"])
+        out = c.select("clusterId", "eventTime", final.alias("final"), "vertexId", "vertexType")
+        return with_key(out, "vertexId")
+    return labels
+
+
 def relabel_congested_components(measurements: DataFrame, graph: RoadGraph, sink: BatchSink,
                                  checkpoint_location: str,
                                  threshold: int = CONGESTION_CLASS_THRESHOLD,
@@ -234,15 +254,8 @@ def relabel_congested_components(measurements: DataFrame, graph: RoadGraph, sink
     """
     changed = marked_congested_edges(measurements, graph, threshold, thresholds, watermark_delay,
                                      bucket)
-
-    def labels(edges: DataFrame, final: F.Column) -> DataFrame:
-        cc = connected_components(edges, "src", "dst", ["eventTime"])
-        out = cc.select(F.col("componentId").cast("int").alias("componentId"), "eventTime",
-                        final.alias("final"), F.col("vertexId").cast("int").alias("vertexId"))
-        return with_key(graph.decode(out), "id")
-
     handler = EdgeStoreRelabel(_store_path(checkpoint_location), ["eventTime", "src", "dst"],
-                               labels, sink,
+                               component_labeller(graph), sink,
                                _lag_micros(measurements.sparkSession, watermark_delay, grace))
     return (changed.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint_location).foreachBatch(handler))
@@ -260,15 +273,9 @@ def relabel_dengraph(measurements: DataFrame, graph: RoadGraph, sink: BatchSink,
     relabel takes the smallest over batches.
     """
     changed = marked_edge_distances(measurements, graph, weight_field, watermark_delay, bucket)
-
-    def labels(pairs: DataFrame, final: F.Column) -> DataFrame:
-        best = pairs.groupBy("eventTime", "src", "dst").agg(F.min("distance").alias("distance"))
-        c = clusters_from_distances(best, eps, eta, ["eventTime"])
-        out = c.select("clusterId", "eventTime", final.alias("final"), "vertexId", "vertexType")
-        return with_key(out, "vertexId")
-
     handler = EdgeStoreRelabel(_store_path(checkpoint_location),
-                               ["eventTime", "src", "dst", "distance"], labels, sink,
+                               ["eventTime", "src", "dst", "distance"],
+                               cluster_labeller(eps, eta), sink,
                                _lag_micros(measurements.sparkSession, watermark_delay, grace))
     return (changed.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint_location).foreachBatch(handler))
