@@ -1,0 +1,92 @@
+"""Components found inside runs of neighbouring edges; the rounds see what several runs share."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from model import components as model_components
+from trafficgraph.operators import components as module
+from trafficgraph.operators import connected_components, runs
+from trafficgraph.operators.materialize import table_scope
+from trafficgraph.plans.congested import component_labels
+from trafficgraph.plans.hierarchy import CLASS, components_by_class
+
+T0 = dt.datetime(2016, 5, 9, 10, 0)
+
+
+def graphs(seed):
+    """Roads of close ids with ramps, a hub, far links, self-loops and repeated edges, two times."""
+    rnd = random.Random(seed)
+    rows = []
+    for t in range(2):
+        road = [(v, v + 1) for v in range(600) if rnd.random() < 0.9]
+        ramps = [(v, v + 10) for v in range(0, 600, 10) if rnd.random() < 0.7]
+        far = [(rnd.randrange(600), rnd.randrange(900)) for _ in range(20)]
+        hub = [(700, v) for v in range(701, 780)]
+        loops = [(v, v) for v in (3, 850, 950)]
+        for a, b in road + ramps + far + hub + loops + road[:50]:
+            rows.append((T0 + dt.timedelta(days=t), *((a, b) if rnd.random() < 0.5 else (b, a))))
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("run_rows,hot_rows,text", [(7, 1_000_000, False), (64, 8, False), (50, 1_000_000, True),
+                                                    (1_000_000, 1_000_000, False)])
+def test_labels_do_not_depend_on_runs(spark, monkeypatch, run_rows, hot_rows, text):
+    monkeypatch.setattr(runs, "RUN_ROWS", run_rows)
+    if hot_rows == 8:       # joins that shuffle and split hot keys
+        monkeypatch.setattr(module, "DEFAULT_BROADCAST_MAX_BYTES", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        name = (lambda v: f"ü{v:04d}") if text else (lambda v: v)
+        rows = [(t, name(a), name(b)) for t, a, b in graphs(3)]
+        kind = "string" if text else "int"
+        df = spark.createDataFrame([*rows, (T0, None, name(1)), (T0, name(1), None)],
+                                   f"eventTime timestamp, src {kind}, dst {kind}")
+        with table_scope():
+            got = [(r["eventTime"], r["vertexId"], r["componentId"])
+                   for r in connected_components(df, hot_rows=hot_rows, nearby=True).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(t, v, c) for t in {r[0] for r in rows}
+            for v, c in model_components([r[1:] for r in rows if r[0] == t]).items()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rounds_see_only_what_runs_share(spark, monkeypatch):
+    monkeypatch.setattr(runs, "RUN_ROWS", 500)
+    df = spark.createDataFrame([(v, v + 1) for v in range(20_000)], "src int, dst int")
+    rounds = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        with table_scope():
+            labels = connected_components(df, keys=(), on_round=rounds.append, nearby=True)
+            assert {r["componentId"] for r in labels.collect()} == {0} and labels.count() == 20_001
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r.rows for r in rounds) < 20_000 / 5
+
+
+def test_roads_need_no_rounds_over_all_edges(spark, monkeypatch):
+    """Congested components and those of every class: the star joins meet few edges or none."""
+    met = []
+    star = module._large_star
+    monkeypatch.setattr(module, "_large_star", lambda o, *a: met.append(o.count()) or star(o, *a))
+    rows = [(T0 + dt.timedelta(days=t), v, v + 1, v % 4 + 1) for t in range(2) for v in range(400) if v % 90]
+    df = spark.createDataFrame(rows, f"eventTime timestamp, src int, dst int, {CLASS} int")
+    with table_scope():
+        got = {(r["eventTime"], r["vertexId"]): r["componentId"]
+               for r in component_labels(df.select("eventTime", "src", "dst")).collect()}
+        assert components_by_class(df, [1, 2, 3, 4]).where(f"{CLASS} = 1").count() == len(got)
+    want = {(t, v): c for t in {r[0] for r in rows}
+            for v, c in model_components([r[1:3] for r in rows if r[0] == t]).items()}
+    assert got == want and sum(met) < len(rows) / 10
+
+
+def test_empty_and_unordered_types(spark):
+    none = spark.createDataFrame([], "eventTime timestamp, src int, dst int")
+    assert connected_components(none, nearby=True).count() == 0
+    real = spark.createDataFrame([(1.5, 2.5), (2.5, 4.0), (7.0, 7.0)], "src double, dst double")   # rounds alone
+    got = {r["vertexId"]: r["componentId"] for r in connected_components(real, keys=(), nearby=True).collect()}
+    assert got == {1.5: 1.5, 2.5: 1.5, 4.0: 1.5, 7.0: 7.0}

@@ -22,6 +22,11 @@ pointer to their centre (a component that has become a star leaves as a whole),
 and the pointers are followed back from the last round to the first once
 the rounds are over.
 
+With ``nearby=True`` pieces that lie inside runs of neighbouring edges are found
+before the rounds (``trafficgraph.operators.runs``): every vertex points to the
+smallest vertex of such a piece, and the rounds see only the vertices that lie
+in several runs, linked to their pieces.
+
 The component id is the smallest vertex id in the component, so results do
 not depend on the order in which edges arrive.
 """
@@ -29,12 +34,14 @@ not depend on the order in which edges arrive.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficgraph.operators.materialize import cached, drop_table, materialize, write_table
+from trafficgraph.operators.materialize import (DEFAULT_BROADCAST_MAX_BYTES, Size, broadcast_within, cached,
+                                                drop_table, materialize, materialize_sized, write_table)
+from trafficgraph.operators.runs import labelled_in_runs, sorts_alike
 from trafficgraph.operators.skew import (DEFAULT_HOT_ROWS, hot_keys, hot_threshold,
                                          salted_join)
 
@@ -128,7 +135,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
                          keys: Sequence[str] = ("eventTime",), vertex: str = "vertexId",
                          component: str = "componentId",
                          hot_rows: int = DEFAULT_HOT_ROWS,
-                         on_round: Callable[[RoundStats], None] | None = None) -> DataFrame:
+                         on_round: Callable[[RoundStats], None] | None = None,
+                         nearby: bool = False) -> DataFrame:
     """Label the undirected connected components of each keyed graph.
 
     ``edges`` has the key columns plus ``src`` and ``dst`` of any orderable
@@ -137,15 +145,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     ``component`` is the smallest vertex of its component. Rows with a null
     end point are ignored. A vertex meeting more than ``hot_rows`` edges in a
     round's join is split over several tasks (``trafficgraph.operators.skew``).
-    ``on_round`` is told the figures of every round.
+    ``on_round`` is told the figures of every round. ``nearby`` tells that
+    linked vertices mostly have close ids; it changes the cost, not the labels.
     """
     k = list(keys)
     e = (edges.select(*[F.col(c) for c in k], F.col(src).alias("_a"), F.col(dst).alias("_b"))
          .where(F.col("_a").isNotNull() & F.col("_b").isNotNull()))
+    oriented = e.select(*k, F.greatest("_a", "_b").alias("_hi"), F.least("_a", "_b").alias("_lo")).distinct()
+    if nearby and sorts_alike(oriented.schema["_lo"].dataType):
+        return (_joined_runs(oriented, k, hot_rows, on_round)
+                .select(*k, F.col("_u").alias(vertex), F.col("_label").alias(component)))
     # The input is read once: distinct oriented edges, self-loops included,
     # written to the checkpoint folder; rounds and the self-loop pass read it.
-    base = materialize(e.select(*k, F.greatest("_a", "_b").alias("_hi"),
-                                F.least("_a", "_b").alias("_lo")).distinct())
+    base = materialize(oriented)
     cur, release = base.where(F.col("_hi") != F.col("_lo")), _chain()
     spent: list[str] = []      # round tables no frame reads once the next round is summarised
     levels: list[tuple[DataFrame, str, int]] = []   # (vertex, centre) of settled vertices, path, rows
@@ -199,6 +211,52 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     return labels.unionByName(loops.select(*k, vertex, F.col(vertex).alias(component)))
 
 
+def _joined_runs(oriented: DataFrame, k: list[str], hot_rows: int,
+                 on_round: Callable[[RoundStats], None] | None) -> DataFrame:
+    """``(*k, _u, _label)``: the pieces of all runs, joined by the rounds where they share a vertex.
+
+    A vertex of one run has the label of its piece's smallest vertex. A vertex of
+    several runs is linked to the smallest vertex of each of its pieces, and only those
+    links reach the rounds; a smallest vertex without such a link is its own label.
+    """
+    spark = oriented.sparkSession
+    rows, path = write_table(labelled_in_runs(oriented, k))
+    ends = (rows.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"), "_near", "_run")
+            .unionByName(rows.where(F.col("_hi") != F.col("_lo"))
+                         .select(*k, F.col("_lo").alias("_u"), F.col("_hi").alias("_w"), "_near", "_run")))
+    vertices, size = materialize_sized(
+        ends.groupBy(*k, "_u").agg(F.min("_near").alias("_near"), F.count(F.lit(1)).alias("_rows"),
+                                   (F.min("_run") != F.max("_run")).alias("_shared")))
+    shared = vertices.where("_shared")
+    found = shared.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows"),
+                       F.max("_rows").alias("most")).first()
+    pieces = vertices.select(*k, "_u", "_near")
+    if not found["n"]:
+        drop_table(spark, path)
+        return pieces.withColumnRenamed("_near", "_label")
+    few, hot = replace(size, rows=int(found["n"])), None
+    meet = broadcast_within(shared.select(*k, "_u"), few, DEFAULT_BROADCAST_MAX_BYTES)
+    hot_from = hot_threshold(int(found["rows"]), hot_rows)
+    if found["most"] > hot_from:
+        hot = hot_keys(shared, [*k, "_u"], "_rows", hot_from)
+    links, links_size = materialize_sized(
+        salted_join(ends.where(F.col("_u") != F.col("_near")), meet, [*k, "_u"], hot, ["_w"], "left_semi")
+        .select(*k, "_u", "_near").distinct())
+    drop_table(spark, path)
+    joined = connected_components(links, "_u", "_near", k, vertex="_near", component="_label",
+                                  hot_rows=hot_rows, on_round=on_round)
+    # At most two vertices of a link have a label.
+    width = max(links_size.widths["_u"], links_size.widths["_near"])
+    known = broadcast_within(joined, Size(2 * links_size.rows, {**links_size.widths, "_near": width, "_label": width}),
+                             DEFAULT_BROADCAST_MAX_BYTES)
+    hot = None
+    if known is joined and size.rows > hot_rows:
+        load = pieces.groupBy(*k, "_near").agg(F.count(F.lit(1)).alias("_rows"))
+        hot = hot_keys(load, [*k, "_near"], "_rows", hot_threshold(size.rows, hot_rows))
+    return (salted_join(pieces, known, [*k, "_near"], hot, ["_u"], "left")
+            .select(*k, "_u", F.coalesce("_label", "_near").alias("_label")))
+
+
 def _followed(labels: DataFrame, levels: list[tuple[DataFrame, str, int]], k: list[str],
               hot_rows: int) -> DataFrame:
     """Labels of all vertices: pointers of settled vertices followed from the last round back.

@@ -50,7 +50,7 @@ def congested_edges(measurements: DataFrame, graph: RoadGraph,
 
 def component_labels(cc_edges: DataFrame, final: bool = True) -> DataFrame:
     """``componentId, eventTime, final, vertexId`` (int ids) for congested edges."""
-    cc = connected_components(cc_edges, "src", "dst", ["eventTime"])
+    cc = connected_components(cc_edges, "src", "dst", ["eventTime"], nearby=True)
     return cc.select(F.col("componentId").cast("int").alias("componentId"), "eventTime",
                      F.lit(bool(final)).alias("final"),
                      F.col("vertexId").cast("int").alias("vertexId"))

@@ -62,7 +62,8 @@ def maximum_spanning_forest(edges: DataFrame, weight: str, src: str = "src", dst
                                .select(*k, F.col("_p._e").alias("_e"), F.col("_p._a").alias("_a"),
                                        F.col("_p._b").alias("_b")).distinct())
         picked.append(picks)
-        label, _ = write_table(connected_components(picks, "_a", "_b", k, vertex="_v", component="_l"))
+        label, _ = write_table(connected_components(picks, "_a", "_b", k, vertex="_v", component="_l",
+                                                    nearby=True))
         for end in ("_a", "_b"):
             live = (live.join(label.withColumnRenamed("_v", end), [*k, end])
                     .drop(end).withColumnRenamed("_l", end))
@@ -88,7 +89,7 @@ def components_by_class(classed: DataFrame, classes: Sequence[int]) -> DataFrame
     reach = F.filter(F.array(*[F.lit(int(c)) for c in sorted(classes)]), lambda c: c <= F.col(CLASS))
     rows = (forest.unionByName(loops.select(*forest.columns))
             .select("eventTime", "src", "dst", F.explode(reach).alias(CLASS)))
-    cc = connected_components(rows, "src", "dst", [CLASS, "eventTime"])
+    cc = connected_components(rows, "src", "dst", [CLASS, "eventTime"], nearby=True)
     return cc.select(CLASS, "eventTime", F.col("vertexId").cast("int").alias("vertexId"),
                      F.col("componentId").cast("int").alias("componentId"))
 
