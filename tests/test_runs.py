@@ -8,7 +8,9 @@ import pytest
 from model import components as model_components
 from trafficgraph.operators import components as module
 from trafficgraph.operators import connected_components, runs
+from trafficgraph.operators.density import clusters_from_distances
 from trafficgraph.operators.materialize import table_scope
+from trafficgraph.operators.tracking import track_clusters
 from trafficgraph.plans.congested import component_labels
 from trafficgraph.plans.hierarchy import CLASS, components_by_class
 
@@ -84,6 +86,23 @@ def test_roads_need_no_rounds_over_all_edges(spark, monkeypatch):
     assert got == want and sum(met) < len(rows) / 10
 
 
+def test_clusters_and_tracks_need_no_rounds_over_all_links(spark, monkeypatch):
+    met = []
+    star = module._large_star
+    monkeypatch.setattr(module, "_large_star", lambda o, *a: met.append(o.count()) or star(o, *a))
+    pairs = [(T0 + dt.timedelta(days=t), f"{v:04d}", f"{v + 1:04d}", 0.0)
+             for t in range(12) for v in range(200) if v % 20 and v != 20 * t + 10]
+    df = spark.createDataFrame(pairs, "eventTime timestamp, src string, dst string, distance double")
+    with table_scope():
+        clusters = clusters_from_distances(df, 0.5, 2)
+        assert clusters.where("clusterId >= 0").count() == sum(
+            len(model_components([r[1:3] for r in pairs if r[0] == t])) for t in {r[0] for r in pairs})
+        tracks = track_clusters(clusters.where("vertexType = 'CORE'"))
+        assert tracks.where("origin = 'START'").count() >= 10       # one track by road, at least
+        assert tracks.where("eventTime = '2016-05-20 10:00:00' and trackId < '0000000002'").count() >= 9
+    assert sum(met) < len(pairs) / 10
+
+
 def test_empty_and_unordered_types(spark):
     none = spark.createDataFrame([], "eventTime timestamp, src int, dst int")
     assert connected_components(none, nearby=True).count() == 0

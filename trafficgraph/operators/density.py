@@ -140,7 +140,7 @@ def clusters_from_distances(pairs: DataFrame, eps: float = DENGRAPH_EPSILON,
              .unionByName(core.select(*k, "vertexId", F.col("vertexId").alias("neighbourId"))))
     core_labels = materialize(connected_components(cc_in, "vertexId", "neighbourId", k,
                                                    vertex="vertexId", component="_cluster",
-                                                   hot_rows=hot_rows))
+                                                   hot_rows=hot_rows, nearby=True))
     border = (by_neighbour(by_vertex(nb, core, "left_anti"),
                            core_labels.withColumnRenamed("vertexId", "neighbourId"), "inner")
               .groupBy(*k, "vertexId").agg(F.min("_cluster").alias("_cluster")))

@@ -64,7 +64,8 @@ def track_clusters(clusters: DataFrame, time: str = "eventTime", cluster: str =
     chain = kept.select(_node("step", "cluster").alias("a"),
                         F.format_string("%010d.%010d", (F.col("step") + 1).cast("long"),
                                         F.col("next").cast("long")).alias("b"))
-    track = connected_components(chain, "a", "b", keys=(), vertex="node", component="trackId")
+    track = connected_components(chain, "a", "b", keys=(), vertex="node", component="trackId",
+                                 nearby=True)
     at_next = [(F.col("step") + 1).alias("step"), F.col("next").alias("cluster")]
     merged = (successor.join(kept, ["step", "cluster", "next"], "left_anti")
               .groupBy(*at_next).agg(F.count(F.lit(1)).alias("merged")))
