@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficgraph.operators.materialize import (DEFAULT_BROADCAST_MAX_BYTES, Size, broadcast_within, cached,
-                                                drop_table, materialize, materialize_sized, write_table)
+                                                drop_table, materialize, measured, write_table)
 from trafficgraph.operators.runs import labelled_in_runs, sorts_alike
 from trafficgraph.operators.skew import (DEFAULT_HOT_ROWS, hot_keys, hot_threshold,
                                          salted_join)
@@ -224,7 +224,7 @@ def _joined_runs(oriented: DataFrame, k: list[str], hot_rows: int,
     ends = (rows.select(*k, F.col("_hi").alias("_u"), F.col("_lo").alias("_w"), "_near", "_run")
             .unionByName(rows.where(F.col("_hi") != F.col("_lo"))
                          .select(*k, F.col("_lo").alias("_u"), F.col("_hi").alias("_w"), "_near", "_run")))
-    vertices, size = materialize_sized(
+    vertices = materialize(
         ends.groupBy(*k, "_u").agg(F.min("_near").alias("_near"), F.count(F.lit(1)).alias("_rows"),
                                    (F.min("_run") != F.max("_run")).alias("_shared")))
     shared = vertices.where("_shared")
@@ -234,15 +234,17 @@ def _joined_runs(oriented: DataFrame, k: list[str], hot_rows: int,
     if not found["n"]:
         drop_table(spark, path)
         return pieces.withColumnRenamed("_near", "_label")
+    size = measured(vertices)
     few, hot = replace(size, rows=int(found["n"])), None
     meet = broadcast_within(shared.select(*k, "_u"), few, DEFAULT_BROADCAST_MAX_BYTES)
     hot_from = hot_threshold(int(found["rows"]), hot_rows)
     if found["most"] > hot_from:
         hot = hot_keys(shared, [*k, "_u"], "_rows", hot_from)
-    links, links_size = materialize_sized(
+    links = materialize(
         salted_join(ends.where(F.col("_u") != F.col("_near")), meet, [*k, "_u"], hot, ["_w"], "left_semi")
         .select(*k, "_u", "_near").distinct())
     drop_table(spark, path)
+    links_size = measured(links)
     joined = connected_components(links, "_u", "_near", k, vertex="_near", component="_label",
                                   hot_rows=hot_rows, on_round=on_round)
     # At most two vertices of a link have a label.
