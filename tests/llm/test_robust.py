@@ -1,5 +1,6 @@
 """Rows that must not be lost, and labels that must not stop a fit."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,36 @@ def test_texts_of_one_id_are_not_lost(spark, monkeypatch, bitmap):
     assert minhash.drop_near_duplicates(df.limit(0), 80).count() == 0
 
 
+def test_near_copies_meet_without_all_pairs(spark, monkeypatch):
+    """A group of near copies becomes one component without its pairs; the rest is compared whole."""
+    prepare(spark)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(200):
+        w = [f"w{j}" for j in range(300)]
+        for j in rng.choice(300, int(rng.integers(3, 7)), replace=False):
+            w[j] = f"x{rng.integers(10 ** 6)}"
+        texts.append(w)
+    confirmed, confirm = [], minhash._confirm
+
+    def counted(pairs, *args):
+        confirmed.append(pairs.count())
+        return confirm(pairs, *args)
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 80).collect()}
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if want[a] != want[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    assert got == dict(enumerate(want))
+    assert sum(confirmed) <= 6 * len(texts)
+
+
 def test_more_labels_than_languages(spark):
     prepare(spark)
     texts = [(i, f"hello world number {i}", "en") for i in range(20)]

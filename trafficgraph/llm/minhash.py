@@ -16,10 +16,15 @@ threshold.
 3. Classes that share a band key meet the key's smallest class only (a star,
    not all pairs). Sizes and sketches rule candidates out, full sets confirm
    the first one left for each class, and components are formed.
-4. Keys whose classes are still in different components pair the classes outside
-   the key's largest component with those of other components, again ruled out
-   and confirmed alike. No candidate is dropped: every pair that shares a
-   key is either in one component or was compared.
+4. While keys whose classes are still in different components have many pairs for
+   their rows, rounds of stars join them first: each class outside its key's largest
+   component meets one class of that component and one of the others by key, and the
+   nearest likely one of all its keys is confirmed. What a round makes grows with the
+   rows of the keys, so a large group of near copies becomes one component without its
+   pairs.
+5. What is open then pairs the classes outside the key's largest component with those
+   of other components, again ruled out and confirmed alike. No candidate is dropped:
+   every pair that shares a key is either in one component or was compared.
 
 With 30 bands of 6 samples a pair at the threshold of 0.85 shares no key with
 probability 7e-7; sketches rule out no linked pair of at most ``BOTTOM``
@@ -52,7 +57,7 @@ from pyspark.sql import functions as F
 
 from trafficgraph.llm import textscan as ts
 from trafficgraph.operators.components import connected_components
-from trafficgraph.operators.materialize import write_table
+from trafficgraph.operators.materialize import drop_table, write_table
 from trafficgraph.operators.skew import DEFAULT_HOT_ROWS, hot_keys, salted_join
 
 SHINGLE = 5
@@ -62,6 +67,8 @@ SAMPLES = BANDS * ROWS
 BOTTOM = 1024                # bottom-k samples folded into the sketch
 SKETCH_WORDS = 16            # 64-bit words of the parity bitmap
 SKETCH_BITS = 64 * SKETCH_WORDS
+PAIRS_A_ROW = 8              # pairs left for a row of their keys from which classes are joined in rounds
+ROUND_SHARE = 0.8            # of its pairs at most are left by a round that another one follows
 BITMAP_WORDS = 1 << 21       # rows of the broadcast bitmap at most, 134 million bits
 SLICE_BYTES = 2 << 20
 MINHASH_ROWS = 2048          # set elements hashed at a time
@@ -160,12 +167,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                         + ", ".join(f"{c} long" for c in SKETCH)))
 
 
+def _bits(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+
+
 def _likely(a: str, b: str, similarity: int) -> Column:
     """Pairs whose sizes allow the similarity and whose sketches do not rule it out.
 
     Linked sets differ in at most ``(1 - J) / (1 + J)`` of the sum of their sizes.
     """
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    differ = _bits(a, b)
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     short = differ * (100 + similarity) <= (100 - similarity) * (na + nb)
     return ((100 * F.least(na, nb) >= similarity * F.greatest(na, nb))
@@ -233,6 +245,59 @@ def _labels(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "a", "b", keys=(), vertex="id", component="component")
 
 
+def _joined_in_rounds(members: DataFrame, marks: DataFrame, links: DataFrame, tried: DataFrame,
+                      docs: DataFrame, classes: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(links, tried, still)``: links and tried pairs (a, b) of all rounds, and the rows of
+    keys whose classes are in several components yet, with sketches (``key, id, component, _main, ..``).
+
+    A round lets every class outside its key's largest component meet one class of that
+    component and one of the others, dealt anew by a hash, and confirms the nearest likely
+    one: its rows grow with the keys' rows. Rounds go on while the pairs left to compare
+    are many for the rows and get fewer.
+    """
+    before, turn, spent = None, 0, []
+    while True:
+        placed, placed_path = write_table(members.join(_labels(links), "id", "left")
+                                .select("key", "id", F.coalesce("component", "id").alias("component")))
+        by_part = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
+        open_keys, open_path = write_table(
+            by_part.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_main"),
+                                       F.count("*").alias("_parts"), F.sum("_n").alias("_all"))
+            .where(F.col("_parts") > 1)
+            .select("key", F.col("_main.component").alias("_main"), "_all",
+                    (F.col("_all") - F.col("_main._n")).alias("_rest")))
+        for path in spent:          # this round's tables stand for the last one's
+            drop_table(placed.sparkSession, path)
+        spent = [placed_path, open_path]
+        still = placed.join(open_keys.select("key", "_main"), "key")
+        left = open_keys.agg(F.sum(F.col("_all").cast("double") * F.col("_rest")).alias("pairs"),
+                             F.sum("_all").alias("rows")).first()
+        if (not left["rows"] or left["pairs"] <= PAIRS_A_ROW * left["rows"]
+                or before is not None and left["pairs"] > ROUND_SHARE * before):
+            return links, tried, still.join(marks, "id")
+        before, turn = left["pairs"], turn + 1
+        # Anew in every round: one class of the largest component and one of the others.
+        dealt = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("_at"), F.col("id"), F.col("component"))
+        outside = F.col("component") != F.col("_main")
+        centres = still.groupBy("key").agg(F.min(F.when(outside, dealt)).alias("_x"),
+                                           F.min(F.when(~outside, dealt)).alias("_y"))
+        met = (still.where(outside).select("key", F.col("id").alias("_of"), "component").join(centres, "key")
+               .select("_of", "component", F.explode(F.array("_x", "_y")).alias("_c"))
+               .where(F.col("_c.component") != F.col("component"))
+               .select("_of", F.col("_c.id").alias("_c")).distinct())
+        a, b = marks.alias("a"), marks.alias("b")
+        near = (met.join(a, F.col("_of") == F.col("a.id")).join(b, F.col("_c") == F.col("b.id"))
+                .where(_likely("a", "b", similarity))
+                .select("_of", F.struct((_bits("a", "b") / (F.col("a.n") + F.col("b.n"))).alias("_far"), "_c").alias("_c")))
+        pairs, _ = write_table(near.groupBy("_of").agg(F.min("_c")["_c"].alias("_c"))
+                               .select(F.least("_of", "_c").alias("a"), F.greatest("_of", "_c").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            return links, tried, still.join(marks, "id")
+        links = links.unionByName(_confirm(pairs, docs, classes, similarity))
+        tried = tried.unionByName(pairs)
+        members = still.select("key", "id")
+
+
 def near_duplicate_sets(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``(signatures, sets)``: the written signatures (``doc_id, n, set_hi, set_lo``) and, for
     every non-empty set, ``set_hi, set_lo, copies, component`` (smallest id reachable)."""
@@ -261,15 +326,7 @@ def near_duplicate_sets(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[
     tried, _ = write_table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _confirm(tried, docs, classes, similarity)
 
-    # Keys whose classes are in several components yet.
-    labelled = (members.join(_labels(links), "id", "left")
-                .select("key", "id", F.coalesce("component", "id").alias("component")))
-    placed, _ = write_table(labelled)
-    by_part = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    open_keys = (by_part.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_main"),
-                                            F.count("*").alias("_parts"))
-                 .where(F.col("_parts") > 1).select("key", F.col("_main.component").alias("_main")))
-    still = placed.join(open_keys, "key").join(marks, "id")
+    links, tried, still = _joined_in_rounds(members.select("key", "id"), marks, links, tried, docs, classes, similarity)
     rest = still.where(F.col("component") != F.col("_main")).drop("_main").alias("a")
     every = still.alias("b")
     # Both in the rest: once; one of them in the main component: from the other.
