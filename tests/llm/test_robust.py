@@ -63,6 +63,68 @@ def test_near_copies_meet_without_all_pairs(spark, monkeypatch):
     assert sum(confirmed) <= 6 * len(texts)
 
 
+def linked_sets(texts, percent):
+    """The smallest place reachable from each word list by links of at least ``percent``."""
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in texts]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if part[a] != part[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((part[a], part[b]))
+                part = [low if c == high else c for c in part]
+    return dict(enumerate(part))
+
+
+def copies(rng, stem, n, low, high, words=200):
+    """``n`` texts that change ``low`` to ``high`` words of one."""
+    texts = []
+    for _ in range(n):
+        w = [f"{stem}{j}" for j in range(words)]
+        for j in rng.choice(words, int(rng.integers(low, high + 1)), replace=False):
+            w[j] = f"x{rng.integers(10 ** 6)}"
+        texts.append(w)
+    return texts
+
+
+@pytest.mark.parametrize("rounds", [False, True])
+def test_large_groups_need_no_rounds_of_components(spark, monkeypatch, rounds):
+    """A group of near copies around a middle, and texts that share keys but no link: one pass of stars
+    and one of components. Rounds made to run all the same change no component."""
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    texts = copies(rng, "w", 150, 1, 4) + copies(rng, "v", 250, 7, 9)
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    if rounds:
+        monkeypatch.setattr(minhash, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(minhash, "LIKELY_A_ROW", 0)
+    calls, confirmed, labels, confirm = [], [], minhash._labels, minhash._confirm
+
+    def counted(pairs, *args):
+        confirmed.append(pairs.count())
+        return confirm(pairs, *args)
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    monkeypatch.setattr(minhash, "_labels", lambda edges: calls.append(1) or labels(edges))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 80).collect()}
+    want = linked_sets(texts, 80)
+    assert got == want and max(np.bincount(list(want.values()))) > 100
+    if rounds:
+        assert len(calls) > 1
+    else:
+        assert len(calls) == 1 and sum(confirmed) <= 2 * len(texts)
+
+
+def test_flat_forest_keeps_its_components(spark):
+    links = [(i, i + 1) for i in range(100, 120)] + [(i, 300) for i in range(200, 210)] + [(400, 401)]
+    df = spark.createDataFrame(links, "a long, b long")
+    flat = minhash._flat(df)
+    assert flat.count() == len(links) and {tuple(r) for r in flat.collect()} >= {(100, 104), (117, 120), (200, 300)}
+    same = [{(r["id"], r["component"]) for r in minhash._labels(x).collect()} for x in (df, flat)]
+    assert same[0] == same[1]
+
+
 def test_more_labels_than_languages(spark):
     prepare(spark)
     texts = [(i, f"hello world number {i}", "en") for i in range(20)]
